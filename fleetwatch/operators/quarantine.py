@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetwatch.config import WindowConfig
 from fleetwatch.functions.labels import STATES, TIER_ACTIONS, TIER_STATES, lookup, transition
 from fleetwatch.plans.chunked import running, time_chunk
+from fleetwatch.plans.cut import cut
 
 # Tier changes the machine takes on its own.
 ESCALATIONS = {
@@ -35,9 +36,10 @@ def quarantine_auto(trajectory: DataFrame, win: WindowConfig = WindowConfig()) -
 def fsm_inputs(trajectory: DataFrame, actions: DataFrame, pass_count: int, win: WindowConfig) -> DataFrame:
     """The few rows per device that can change its state.
 
-    Between two operator actions (an epoch) a repeated or lower tier changes nothing,
-    so only new worst tiers of an epoch matter, plus the probe pass that would end a
-    deep test. The rest of the history is dropped before anything is gathered.
+    A deep test that begins with an operator's action can only end by itself at one
+    known probe pass: the one numbered `pass_count` past it. Between two such points
+    or actions (an epoch) a repeated or lower tier changes nothing, so only new worst
+    tiers of an epoch matter. The rest is dropped before anything is gathered.
     """
     steps = trajectory.select(
         "gpu_uuid", "ts_us", "tier_rank", F.col("event_id").alias("row_id"), F.lit(0).alias("is_action"),
@@ -47,39 +49,45 @@ def fsm_inputs(trajectory: DataFrame, actions: DataFrame, pass_count: int, win:
         "gpu_uuid", "ts_us", F.lit(None).cast("int").alias("tier_rank"), F.col("action_id").alias("row_id"),
         F.lit(1).alias("is_action"), "action", F.lit(False).alias("passed"),
     )
-    u = steps.unionByName(acts)
     order, chunk = ["ts_us", "is_action", "row_id"], time_chunk("ts_us", win.chunk_us)
-    e = running(u, ["gpu_uuid"], order, chunk, {"epoch": ("sum", F.col("is_action"))})
-    p = running(e, ["gpu_uuid", "epoch"], order, chunk, {"passes": ("sum", F.col("passed").cast("long"))})
-    p = p.withColumn("tested", (F.col("passes") >= pass_count).cast("int")).withColumn(
-        "completes", F.col("passed") & (F.col("passes") == pass_count)
+    p = cut(
+        running(steps.unionByName(acts), ["gpu_uuid"], order, chunk, {"passes": ("sum", F.col("passed").cast("long"))})
     )
-    w = running(p, ["gpu_uuid", "epoch", "tested"], order, chunk,
-                {"worst": ("max", F.col("tier_rank"))}, exclusive=True)
+    ends = p.filter("action = 'schedule_deep_test'").select(
+        "gpu_uuid", (F.col("passes") + pass_count).alias("passes"), F.lit(True).alias("passed"),
+        F.lit(True).alias("_end"),
+    ).distinct()
+    marked = p.join(ends, ["gpu_uuid", "passes", "passed"], "left").withColumn(
+        "completes", F.coalesce("_end", F.lit(False))
+    )
+    breaks = F.greatest("is_action", F.col("completes").cast("int"))
+    e = cut(running(marked, ["gpu_uuid"], order, chunk, {"epoch": ("sum", breaks)}))
+    w = running(e, ["gpu_uuid", "epoch"], order, chunk, {"worst": ("max", F.col("tier_rank"))}, exclusive=True)
     new_worst = (F.col("tier_rank") >= 2) & (F.col("tier_rank") > F.coalesce(F.col("worst"), F.lit(1)))
-    kinds = F.filter(
+    kinds = F.array_compact(
         F.array(
             F.when(F.col("is_action") == 1, F.struct(F.lit(2).alias("k"), F.col("action").alias("action"))),
-            F.when(F.col("completes"), F.struct(F.lit(0).alias("k"), F.lit("deep_test_passed").alias("action"))),
+            F.when(F.col("completes"), F.struct(F.lit(0).alias("k"), F.lit("reinstate").alias("action"))),
             F.when(new_worst, F.struct(F.lit(1).alias("k"), lookup(TIER_ACTIONS, F.col("tier_rank")).alias("action"))),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    return w.select("gpu_uuid", "ts_us", "is_action", "row_id", F.explode(kinds).alias("_k")).select(
-        "gpu_uuid", "ts_us", "is_action", "row_id", "_k.k", "_k.action"
+        )
     )
+    return w.select("gpu_uuid", "ts_us", "is_action", "row_id", "passes", F.inline(kinds))
 
 
 def quarantine_fsm(
     trajectory: DataFrame, actions: DataFrame, pass_count: int = 1000, win: WindowConfig = WindowConfig()
 ) -> DataFrame:
-    """Every applied transition and every rejected operator action, in order."""
+    """Every applied transition and every rejected operator action, in order.
+
+    What is gathered per device is bounded by its operator actions (a few rows each).
+    """
     rows = fsm_inputs(trajectory, actions, pass_count, win)
     ordered = rows.groupBy("gpu_uuid").agg(
-        F.array_sort(F.collect_list(F.struct("ts_us", "is_action", "row_id", "k", "action"))).alias("inputs")
+        F.array_sort(F.collect_list(F.struct("ts_us", "is_action", "row_id", "k", "action", "passes"))).alias("inputs")
     )
     init = F.struct(
         F.lit("HEALTHY").alias("state"),
+        F.lit(0).cast("long").alias("since"),
         F.expr(
             "cast(array() as array<struct<ts_us:bigint,source:string,row_id:string,action:string,"
             "from_state:string,to_state:string,applied:boolean>>)"
@@ -89,21 +97,22 @@ def quarantine_fsm(
     def step(acc, x):
         legal = transition(acc["state"], x["action"])
         key = F.concat_ws("|", acc["state"], legal)
+        tested = (acc["state"] == "DEEP_TEST") & (x["passes"] == acc["since"] + pass_count)
         nxt = (
-            F.when(x["k"] == 0, F.when(acc["state"] == "DEEP_TEST", "HEALTHY"))
+            F.when(x["k"] == 0, F.when(tested, "HEALTHY"))
             .when(x["k"] == 1, F.when(key.isin(*sorted(ESCALATIONS)), legal))
             .otherwise(legal)
         )
         source = F.when(x["k"] == 0, "deep_test").when(x["k"] == 1, "tier").otherwise("operator")
         entry = F.struct(
             x["ts_us"].alias("ts_us"), source.alias("source"), x["row_id"].alias("row_id"),
-            F.when(x["k"] == 0, "reinstate").otherwise(x["action"]).alias("action"),
-            acc["state"].alias("from_state"), F.coalesce(nxt, acc["state"]).alias("to_state"),
-            nxt.isNotNull().alias("applied"),
+            x["action"].alias("action"), acc["state"].alias("from_state"),
+            F.coalesce(nxt, acc["state"]).alias("to_state"), nxt.isNotNull().alias("applied"),
         )
         keep = nxt.isNotNull() | (x["k"] == 2)
         return F.struct(
             F.coalesce(nxt, acc["state"]).alias("state"),
+            F.when(nxt == "DEEP_TEST", x["passes"]).otherwise(acc["since"]).alias("since"),
             F.when(keep, F.concat(acc["log"], F.array(entry))).otherwise(acc["log"]).alias("log"),
         )
 
