@@ -215,20 +215,15 @@ def pending_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries with hashes. Each row chains to the payload hash of the row before, so
-    the whole table is one pass; rows with key % 997 = 3 carry a tampered payload."""
-    from fleetwatch.plans.ranks import with_previous
+    """The orders as sealed entries, one chain per batch of 1000; rows whose key is 3
+    modulo 997 then get a tampered payload."""
+    from fleetwatch.operators.audit import seal_batches
 
     p = pending_entries(spark, sf_dir)
-    prev = with_previous(p.withColumn("own", F.sha2("data", 256)), "seq", ["own"])
-    previous = F.unhex(F.coalesce(F.col("prev_own"), F.lit("0" * 64)))
-    broken = F.col("seq") % 997 == 3
-    return prev.select(
-        (F.col("seq") + 1).alias("entry_id"), "entry_type", "ts", "ts_us", "gpu_uuid", "sm_id",
-        F.when(broken, F.concat(F.col("data"), F.lit("x").cast("binary"))).otherwise(F.col("data")).alias("data"),
-        previous.alias("previous_hash"),
-        F.unhex(F.col("own")).alias("entry_hash"),
-        F.floor(F.col("seq") / 1000).alias("batch_sequence"),
+    numbered = p.withColumn("batch_sequence", F.floor(F.col("seq") / 1000)).withColumn("pos", F.col("seq") % 1000)
+    broken = (F.col("entry_id") - 1) % 997 == 3
+    return seal_batches(numbered).withColumn(
+        "data", F.when(broken, F.concat(F.col("data"), F.lit("x").cast("binary"))).otherwise(F.col("data"))
     )
 
 
