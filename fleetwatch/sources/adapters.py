@@ -151,7 +151,7 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("model-"), F.col("label").cast("string")).alias("model_name"),
         gpu(v % 13).alias("gpu_uuid"),
         (v * 700_000).alias("ts_us"),
-        F.transform("embedding", lambda x: (x * 10).cast("double")).alias("logits"),
+        F.transform("embedding", lambda x: x.cast("double") * 10).alias("logits"),
     )
 
 
