@@ -12,7 +12,7 @@ from fleetwatch.plans.chunked import time_chunk
 from fleetwatch.sources import adapters as A
 
 GCFG = GradientConfig(alpha=0.05, warmup=20, sigma=2.0)
-GN = """gn AS (SELECT l_returnflag AS run_id, 'GPU-' || l_suppkey AS layer_name, l_orderkey * 8 + l_linenumber AS step, l_extendedprice / 1000 AS norm FROM lineitem),
+GN = """gn AS (SELECT l_returnflag AS run_id, 'GPU-' || l_suppkey AS layer_name, l_orderkey * 8 + l_linenumber AS step, l_extendedprice / 997 AS norm FROM lineitem),
 gnn AS (SELECT *, row_number() OVER (PARTITION BY run_id, layer_name ORDER BY step, norm) AS n FROM gn),
 RECURSIVE gr AS (SELECT run_id, layer_name, n, step, norm, norm AS ew_mean, 0::DOUBLE AS ew_var, 0::DOUBLE AS z FROM gnn WHERE n = 1
   UNION ALL SELECT g.run_id, g.layer_name, g.n, g.step, g.norm, r.ew_mean + 0.05::DOUBLE * (g.norm - r.ew_mean), 0.95::DOUBLE * (r.ew_var + 0.05::DOUBLE * pow(g.norm - r.ew_mean, 2)),
@@ -24,7 +24,7 @@ def norms(spark, d):
     li = A.table(spark, d, "lineitem")
     return li.select(
         F.col("l_returnflag").alias("run_id"), A.gpu(F.col("l_suppkey")).alias("layer_name"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("step"), (F.col("l_extendedprice") / 1000).alias("norm"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("step"), (F.col("l_extendedprice") / 997).alias("norm"),
     )
 
 

@@ -128,6 +128,23 @@ def verify_chain(entries: DataFrame, expected_previous: bytes | None = None) ->
     return linked.select("entry_id", F.explode(kinds).alias("failure"))
 
 
+def verify_linked(entries: DataFrame) -> DataFrame:
+    """As `verify_chain` for a ledger sealed in parallel: the first row of a batch may
+    also continue from the payload root of the batch before."""
+    start = entries.groupBy("batch_sequence").agg(F.min("entry_id").alias("_first"))
+    payload = entries.join(start, "batch_sequence").select(
+        "batch_sequence", (F.col("entry_id") - F.col("_first")).alias("pos"), sha256(F.col("data")).alias("_leaf")
+    )
+    seeds = merkle_roots(payload, ["batch_sequence"], "pos", "_leaf")
+    heads = start.withColumn("_b", F.col("batch_sequence") - 1).join(
+        seeds.select(F.col("batch_sequence").alias("_b"), "merkle_root"), "_b"
+    ).select(F.col("_first").alias("entry_id"), F.col("merkle_root").alias("_seed"))
+    linked_ok = entries.select("entry_id", "previous_hash").join(heads, "entry_id").filter("previous_hash = _seed")
+    f = verify_chain(entries)
+    wrong = f.filter("failure = 'hash_mismatch'")
+    return wrong.unionByName(f.filter("failure = 'chain_break'").join(linked_ok.select("entry_id"), "entry_id", "left_anti"))
+
+
 def verify_batches(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """Batches whose recomputed root differs from the stored one."""
     again = batch_roots(entries).select("batch_sequence", F.col("merkle_root").alias("_again"))

@@ -21,7 +21,11 @@ def gpu(user: Column) -> Column:
 
 
 def events_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return as_events(table(spark, sf_dir, "events"))
+
+
+def as_events(e: DataFrame) -> DataFrame:
+    """Raw event rows (batch or stream) as canonical events."""
     eid, uid, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     event_type = (
         F.when((kind == "error") & ((uid % 10 == 0) | (eid % 40 == 0)), "probe_fail")
@@ -76,13 +80,17 @@ def gpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def operator_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_actions(table(spark, sf_dir, "events"))
+
+
+def as_actions(e: DataFrame) -> DataFrame:
     """Every purchase event read as an operator's action on that device."""
     r = F.col("event_id") % 40
     action = (
         F.when(r == 0, "condemn").when(r <= 8, "schedule_deep_test").when(r <= 20, "reinstate")
         .when(r <= 28, "clear_suspect").when(r <= 34, "mark_suspect").otherwise("quarantine")
     )
-    return table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(
+    return e.filter("event_type = 'purchase'").select(
         F.col("event_id").cast("string").alias("action_id"),
         gpu(F.col("user_id")).alias("gpu_uuid"),
         micros(F.col("ts")).alias("ts_us"),
@@ -143,8 +151,12 @@ def factor_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_captures(table(spark, sf_dir, "embeddings"))
+
+
+def as_captures(e: DataFrame) -> DataFrame:
     v = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").select(
+    return e.select(
         v.alias("request_id"),
         F.floor(v / 2).cast("string").alias("input_hash"),
         (v % 2).cast("string").alias("replica_id"),
@@ -194,7 +206,11 @@ def grad_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pending_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ledger rows before hashing: one per order, its type from the order's status."""
+    return as_pending(table(spark, sf_dir, "orders"))
+
+
+def as_pending(o: DataFrame) -> DataFrame:
+    """Ledger rows before hashing: one per order, its type from the order's key."""
     k = F.col("o_orderkey")
     label = (
         F.when(k % 10 < 5, "ProbeResult").when(k % 10 == 5, "AnomalyEvent")
@@ -203,7 +219,7 @@ def pending_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     action = F.when(k % 20 == 6, "unquarantine").otherwise("quarantine")
     text = F.concat_ws("|", action, k.cast("string"), "o_orderpriority")
-    return table(spark, sf_dir, "orders").select(
+    return o.select(
         k.alias("seq"),
         label.alias("entry_type"),
         F.col("o_orderdate").cast("timestamp").alias("ts"),
