@@ -77,7 +77,7 @@ DED = with_(EV, TRAJ, AUTO, FRAME, PATT, TEL, PROBES, ALERTS, _SLOW, DEDUP)
 
 
 def deduped(spark, d):
-    return AL.dedup_alerts(fired(spark, d).withColumn("cooldown_seconds", F.col("cooldown_seconds") * 1000), 2 * 86_400_000_000)
+    return AL.dedup_alerts(fired(spark, d).withColumn("cooldown_seconds", F.col("cooldown_seconds") * 1000), 10 * 86_400_000_000)
 
 
 @query(DED + "SELECT * FROM sent")

@@ -226,7 +226,7 @@ def stream_loss(spark, d):
 
 @query(with_(CAP, STATS, _JSD) + f"SELECT input_hash, replica_a, replica_b, request_a, request_b, {r6('d', 'divergence')} FROM div WHERE d > 0.01")
 def stream_cross_replica(spark, d):
-    c = A.as_captures(S.read_stream(spark, f"{d}/embeddings*.parquet")).withColumn("ts", F.timestamp_micros("ts_us"))
+    c = A.as_captures(S.read_stream(spark, f"{d}/embeddings*.parquet")).withColumn("ts", F.timestamp_micros(F.col("ts_us") + 86_400_000_000))
     out = S.run_to_table(S.stream_cross_replica(c, DivergenceConfig()), scratch(spark, "out"), scratch(spark, "cp"))
     return rounded(out, "divergence")
 
@@ -237,7 +237,7 @@ def stream_dedup_alerts(spark, d):
     SF.use_rocksdb(spark)
     path = scratch(spark, "alerts")
     fired(spark, d).withColumn("cooldown_seconds", F.col("cooldown_seconds") * 1000).drop("channels").write.parquet(path)
-    s = SF.stream_dedup_alerts(S.read_stream(spark, path), 86_400)
+    s = SF.stream_dedup_alerts(S.read_stream(spark, path), 7_200_000)
     return S.run_to_table(s, scratch(spark, "out"), scratch(spark, "cp")).select("alert_id")
 
 

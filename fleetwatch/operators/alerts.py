@@ -154,13 +154,14 @@ def _cooled(rows: Column, start: Column, cooldown_us: Column) -> Column:
     return F.aggregate(rows, init, step)
 
 
-def dedup_alerts(alerts: DataFrame, chunk_us: int = 3_600_000_000) -> DataFrame:
+def dedup_alerts(alerts: DataFrame, chunk_us: int = 86_400_000_000) -> DataFrame:
     """Keep an alert unless one with its key was sent less than its cooldown before.
 
     The kept set depends on itself, so each (key, chunk) is folded from a start value:
     the last sent time of the chunk before. All chunks first run as if nothing had been
     sent; those whose start proves wrong run again until none does. A pause as long as
-    the cooldown makes a chunk independent of its start, so this takes few rounds.
+    the cooldown makes a chunk independent of its start, so with
+    chunks much longer than the cooldown this takes two or three rounds.
     """
     free = alerts.filter("cooldown_seconds = 0")
     held = alerts.filter("cooldown_seconds > 0").withColumn("_chunk", time_chunk("ts_us", chunk_us))

@@ -10,9 +10,10 @@ from fleetwatch.operators.audit import batch_roots, export_rows, html_rows
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Date-partitioned events, sorted by device inside files for row-group skipping."""
+    """Date-partitioned events, sorted by device inside files for row-group skipping.
+    The rebalance splits a large date over several tasks and merges small ones."""
     (
-        events.withColumn("date", F.to_date("ts")).repartition("date", F.pmod(F.xxhash64("gpu_uuid"), F.lit(64)))
+        events.withColumn("date", F.to_date("ts")).hint("rebalance", F.col("date"))
         .sortWithinPartitions("date", "gpu_uuid", "ts").write.mode(mode).partitionBy("date").parquet(path)
     )
 
@@ -49,7 +50,8 @@ def write_audit_batch(entries: DataFrame, root: str, batch_id: int) -> None:
     """Entries and their batch roots under one batch id; a retry overwrites itself.
     The roots are written last and mark the batch as complete."""
     e = entries.withColumn("month", month_key(F.col("ts")))
-    e.write.mode("overwrite").partitionBy("month").parquet(f"{root}/entries/commit={batch_id}")
+    # Rebalancing gathers a month's rows into few files and still splits a large month.
+    e.hint("rebalance", F.col("month")).write.mode("overwrite").partitionBy("month").parquet(f"{root}/entries/commit={batch_id}")
     batch_roots(entries).write.mode("overwrite").parquet(f"{root}/roots/commit={batch_id}")
 
 

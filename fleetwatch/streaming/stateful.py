@@ -274,14 +274,15 @@ def stream_loss(values: DataFrame, cfg: LossConfig = LossConfig()) -> DataFrame:
 
 
 class CooldownProcessor(StatefulProcessor):
-    """Send an alert unless its key was sent less than its cooldown ago. The state has a
-    time to live of twice the cooldown given, after which a key is forgotten."""
+    """Send an alert unless its key was sent less than its cooldown ago. A timer forgets
+    the key once event time is `keep_ms` past the last sent alert."""
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts_us bigint", ttlDurationMs=self.ttl_ms)
+        self.handle = handle
+        self.last = handle.getValueState("last", "ts_us bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
@@ -292,14 +293,21 @@ class CooldownProcessor(StatefulProcessor):
                 out.append((key[0], r.alert_id, last))
         if last != before:
             self.last.update((last,))
+            self.handle.registerTimer(last // 1000 + self.keep_ms)
         yield pd.DataFrame(out, columns=["dedup_key", "alert_id", "ts_us"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self.last.get()[0] // 1000 + self.keep_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        yield pd.DataFrame({"dedup_key": [], "alert_id": [], "ts_us": []}).astype({"dedup_key": str, "alert_id": str, "ts_us": int})
+
     def close(self) -> None:
         pass
 
 
-def stream_dedup_alerts(alerts: DataFrame, ttl_seconds: int = 600) -> DataFrame:
-    cols = alerts.select("dedup_key", "alert_id", "ts_us", "cooldown_seconds")
-    return cols.groupBy("dedup_key").transformWithStateInPandas(
-        CooldownProcessor(ttl_seconds * 1000), "dedup_key string, alert_id string, ts_us bigint", "Append", "ProcessingTime"
+def stream_dedup_alerts(alerts: DataFrame, keep_seconds: int = 7200, late: str = "10 minutes") -> DataFrame:
+    """`keep_seconds` must be at least the longest cooldown (twice it by default)."""
+    cols = alerts.select("dedup_key", "alert_id", "ts_us", "cooldown_seconds", F.timestamp_micros("ts_us").alias("ts"))
+    return cols.withWatermark("ts", late).groupBy("dedup_key").transformWithStateInPandas(
+        CooldownProcessor(keep_seconds * 1000), "dedup_key string, alert_id string, ts_us bigint", "Append", "EventTime"
     )
