@@ -177,7 +177,7 @@ def scored(spark, d):
         F.when(F.col("l_returnflag") == "R", "probe").when(F.col("l_returnflag") == "A", "inference").otherwise("training").alias("layer"),
         F.col("l_discount").alias("confidence"),
     )
-    return EVAL.score_detections(inj, det)
+    return EVAL.score_detections(inj, det, 365 * 86_400_000_000)
 
 
 @query(with_(INJ) + "SELECT scenario, gpu_index, injected_us, expected_layer, detected, round(latency_s, 3) AS latency_s, layer_match, within_budget, detected AND layer_match AND within_budget AS passed FROM res")

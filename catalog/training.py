@@ -32,7 +32,7 @@ KEYS, ORDER = ["run_id", "layer_name"], ["step", "norm"]
 
 
 def wide(col="step"):
-    return time_chunk(col, 40_000)
+    return time_chunk(col, 200_000)
 
 
 @query(with_(GN) + f"SELECT run_id, layer_name, step, n, {r6('norm')}, {r6('ew_mean')}, {r6('ew_var')}, {r6('z')} FROM gr")

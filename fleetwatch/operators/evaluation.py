@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetwatch.functions.hashing import differing_bits, float_bits, ulp_distance
-from fleetwatch.plans.chunked import running
+from fleetwatch.plans.chunked import asof, running
 from fleetwatch.plans.ranks import order_statistics
 
 # Allowed distance in units in the last place; other probes are exact.
@@ -42,25 +42,28 @@ def golden_report(compared: DataFrame, category: str = "probe_type") -> DataFram
     return g.withColumn("failed", F.col("total") - F.col("passed")).withColumn("ok", F.col("failed") == 0)
 
 
-def score_detections(injections: DataFrame, detections: DataFrame) -> DataFrame:
+def score_detections(injections: DataFrame, detections: DataFrame, chunk_us: int = 86_400_000_000) -> DataFrame:
     """Earliest detection on the injected device from the expected layer, at or after the
     injection, and whether it met the time budget.
 
-    Detections are reduced to those at or after their device's first injection before
-    the join; min_by keeps one per scenario.
+    The earliest at-or-after row is an as-of join over reversed time, so the work is
+    linear in both tables, however many of either a device has.
     """
-    i = injections.select("scenario", "gpu_index", "injected_us", "expected_layer", "expected_time_s")
-    d = detections.select("gpu_index", F.col("ts_us"), "layer", "confidence")
-    hit = (F.col("ts_us") >= F.col("injected_us")) & (F.col("layer") == F.col("expected_layer"))
-    seen = F.col("ts_us") >= F.col("injected_us")
-    g = i.join(d, "gpu_index", "left").groupBy("scenario", "gpu_index", "injected_us", "expected_layer", "expected_time_s").agg(
-        F.coalesce(F.max(seen), F.lit(False)).alias("detected"), F.min(F.when(hit, F.col("ts_us"))).alias("_t"),
-        F.min_by("confidence", F.when(hit, F.col("ts_us"))).alias("confidence"),
+    back = -F.col("_us")
+    i = injections.select("scenario", "gpu_index", "expected_layer", "expected_time_s", F.col("injected_us").alias("_us"))
+    i = i.withColumn("_back", back)
+    d = detections.select("gpu_index", F.col("layer").alias("expected_layer"), F.col("ts_us").alias("_us"), "confidence").withColumn("_back", back)
+    any_layer = asof(i, d.select("gpu_index", "_back"), ["gpu_index"], "_back", chunk_us, "_seen")
+    hit = asof(any_layer, d.select("gpu_index", "expected_layer", "_back", "confidence"), ["gpu_index", "expected_layer"], "_back",
+               chunk_us, "_match", tie="confidence")
+    latency = (-F.col("_match._back") - F.col("_us")) / 1e6
+    r = hit.select(
+        "scenario", "gpu_index", F.col("_us").alias("injected_us"), "expected_layer", "expected_time_s",
+        F.col("_seen").isNotNull().alias("detected"), latency.alias("latency_s"), F.col("_match.confidence").alias("confidence"),
+        F.col("_match").isNotNull().alias("layer_match"),
     )
-    latency = (F.col("_t") - F.col("injected_us")) / 1e6
-    r = g.withColumn("latency_s", latency).withColumn("layer_match", F.col("_t").isNotNull())
     r = r.withColumn("within_budget", F.coalesce(F.col("latency_s") <= F.col("expected_time_s"), F.lit(False)))
-    return r.withColumn("passed", F.col("detected") & F.col("layer_match") & F.col("within_budget")).drop("_t")
+    return r.withColumn("passed", F.col("detected") & F.col("layer_match") & F.col("within_budget"))
 
 
 def detection_report(scored: DataFrame) -> DataFrame:

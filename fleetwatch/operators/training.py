@@ -200,7 +200,7 @@ def relative_norm_divergence(norms: DataFrame, keys: list[str], limit: float = 0
 def mad_outliers(norms: DataFrame, keys: list[str], limit: float = 3.0) -> DataFrame:
     """Device norms more than `limit` median absolute deviations from the median."""
     size = norms.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= 2).drop("_n")
-    m = medians(norms, keys, "norm", "median").join(size, keys)
+    m = cut(medians(norms, keys, "norm", "median").join(size, keys))  # one row per group
     d = norms.join(m, keys).withColumn("_d", F.abs(F.col("norm") - F.col("median")))
     mad = medians(d, keys, "_d", "mad").filter(F.col("mad") >= 1e-12)
     return d.join(mad, keys).withColumn("deviation", F.col("_d") / F.col("mad")).filter(

@@ -157,17 +157,21 @@ def transitive_trust(pairs: DataFrame, edges: DataFrame, cfg: TrustConfig = Trus
     usable = all_edges.filter(F.col("comparisons") >= cfg.min_comparisons).select(
         F.col("src").alias("via"), F.col("dst").alias("next"), "trust"
     )
-    best = asked.filter("direct is null").select("src").distinct().select(
-        "src", F.col("src").alias("node"), F.lit(1.0).alias("product")
+    # A node's step to itself keeps shorter paths, so each hop reads the frontier once.
+    usable = usable.unionByName(
+        endpoints(edges).select(F.col("gpu_uuid").alias("via"), F.col("gpu_uuid").alias("next"), F.lit(1.0).alias("trust"))
     )
-    for _ in range(cfg.max_hops):
+    open_pairs = asked.filter("direct is null").select("src", "dst")
+    best = open_pairs.select("src").distinct().select("src", F.col("src").alias("node"), F.lit(1.0).alias("product"))
+    for _ in range(cfg.max_hops - 1):
         step = best.join(usable, best.node == usable.via).select(
             "src", F.col("next").alias("node"), (F.col("product") * F.col("trust")).alias("product")
         )
-        best = best.unionByName(step).groupBy("src", "node").agg(F.max("product").alias("product"))
-    return asked.join(best.withColumnRenamed("node", "dst"), ["src", "dst"], "left").select(
-        "src", "dst", F.coalesce("direct", "product", F.lit(0.0)).alias("trust")
-    )
+        best = step.groupBy("src", "node").agg(F.max("product").alias("product"))
+    # The last hop starts at the destinations asked for instead of widening the frontier.
+    into = open_pairs.join(usable, F.col("dst") == F.col("next")).select("src", "dst", F.col("via").alias("node"), "trust")
+    last = best.join(into, ["src", "node"]).groupBy("src", "dst").agg(F.max(F.col("product") * F.col("trust")).alias("product"))
+    return asked.join(last, ["src", "dst"], "left").select("src", "dst", F.coalesce("direct", "product", F.lit(0.0)).alias("trust"))
 
 
 def select_tmr_partners(targets: DataFrame, available: DataFrame, edges: DataFrame) -> DataFrame:

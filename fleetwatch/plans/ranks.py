@@ -17,24 +17,20 @@ def order_statistics(
 ) -> DataFrame:
     """Exact values at 0-based sorted positions per key.
 
-    Each position is an expression over `n` (the group's row count). Equal values are
-    counted together first; the distinct values are then placed in equal-width
-    buckets per key, bucket counts locate each position, and only the buckets hit are
-    sorted. No step gathers a whole group.
+    Each position is an expression over `n` (the group's row count). Three passes, each
+    partially aggregated before its shuffle: the range per key; row counts in equal-width
+    buckets, which locate every position; and value counts inside the buckets hit, a
+    small share of the rows. The input is never shuffled as a whole or sorted by group.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(
-        F.count("*").alias("_n")
-    )
-    span = counted.groupBy(*keys).agg(
-        F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_n").alias("n")
-    )
-    placed = counted.join(span, list(keys)).withColumn(
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
+    span = rows.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("n"))
+    placed = rows.join(span, list(keys)).withColumn(
         "_b",
         F.when(F.col("_hi") > F.col("_lo"),
                F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets),
                        F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int"),
     )
-    per_bucket = placed.groupBy(*keys, "n", "_b").agg(F.sum("_n").alias("_bn"))
+    per_bucket = placed.groupBy(*keys, "n", "_b").agg(F.count("*").alias("_bn"))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     wanted = F.explode(
         F.array(*[F.struct(F.lit(k).alias("name"), e.cast("long").alias("pos")) for k, e in positions.items()])
@@ -47,9 +43,13 @@ def order_statistics(
         .agg(F.collect_list("_p").alias("_ps"))
     )
     inner = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    counted = placed.join(hit.select(*keys, "_b"), [*keys, "_b"], "left_semi").groupBy(*keys, "_b", "_x").agg(
+        F.count("*").alias("_n")
+    )
     found = (
-        placed.join(hit, [*keys, "_b"])
-        .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(inner), F.lit(0)))
+        counted.withColumn("_in", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
+        .join(hit, [*keys, "_b"])
+        .withColumn("_start", F.col("_before") + F.col("_in"))
         .select(*keys, "_x", "_n", "_start", F.explode("_ps").alias("_p"))
         .filter((F.col("_p.pos") >= F.col("_start")) & (F.col("_p.pos") < F.col("_start") + F.col("_n")))
     )

@@ -54,17 +54,16 @@ def ewma(
         for b in batches:
             if b.empty:
                 continue
-            ids = b[group].apply(tuple, axis=1)
-            seg = (ids != ids.shift()).cumsum()
-            first = seg != seg.shift()
+            first = (b[group] != b[group].shift()).any(axis=1)
+            seg = first.cumsum()
             before = b["_start"].astype(float).where(first)
-            if ids.iloc[0] == last_key:
+            if tuple(b[group].iloc[0]) == last_key:
                 before.iloc[0] = last_y
             x = b[value].astype(float)
             x = x.where(~first, alpha * x + q * before)
             y = x.groupby(seg.to_numpy()).ewm(alpha=alpha, adjust=False).mean().to_numpy()
             prev = pd.Series(y, index=b.index).shift().where(~first, before)
-            last_key, last_y = ids.iloc[-1], float(y[-1])
+            last_key, last_y = tuple(b[group].iloc[-1]), float(y[-1])
             yield b.drop(columns=["_start"]).assign(**{name: y, f"{name}_prev": prev})
 
     return rows.mapInPandas(replay, schema).drop("_chunk")
