@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from fleetwatch.config import GradientConfig, LossConfig
 from fleetwatch.functions import vectors as V
-from fleetwatch.plans.chunked import halo, running, time_chunk
+from fleetwatch.functions.hashing import merkle_roots
+from fleetwatch.plans.chunked import running, sliding_sums, time_chunk
 from fleetwatch.plans.cut import cut
 from fleetwatch.plans.ranks import medians
 from fleetwatch.plans.scan import ewma, numbered, with_row_halo
@@ -237,14 +238,14 @@ def shard_hashes(shards: DataFrame, tolerance: float = 1e-6) -> DataFrame:
 
 
 def payload_hashes(params: DataFrame, keys: list[str]) -> DataFrame:
-    """SHA-256 per checkpoint over its sorted (name, chunk hash) lines. Values are hashed
-    where they are; only the short lines of one checkpoint meet."""
-    lines = params.select(
-        *keys, "param", "chunk",
-        F.concat_ws(":", "param", F.col("chunk").cast("string"), V.sha256_of_floats()("values")).alias("_l"),
-    )
-    return lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("param", "chunk", "_l"))).alias("_a")).select(
-        *keys, F.sha2(F.array_join(F.col("_a._l"), "\n"), 256).alias("sha256")
+    """SHA-256 per checkpoint over its sorted "name:root" lines, where a parameter's root
+    is the Merkle root of its chunks' hashes. Values are hashed where they are, chunks
+    meet 1024 at a time, and only one short line per parameter name is gathered."""
+    leaves = params.select(*keys, "param", "chunk", F.unhex(V.sha256_of_floats()("values")).alias("_h"))
+    roots = merkle_roots(leaves, [*keys, "param"], "chunk", "_h")
+    line = F.concat_ws(":", "param", F.lower(F.hex("merkle_root")))
+    return roots.groupBy(*keys).agg(F.array_sort(F.collect_list(line)).alias("_a")).select(
+        *keys, F.sha2(F.array_join("_a", "\n"), 256).alias("sha256")
     )
 
 
@@ -320,13 +321,17 @@ def excess(scores: DataFrame) -> DataFrame:
 def composite_score(
     scores: DataFrame, keys: list[str], seconds: int = 60, limit: float = 1.0, chunk_us: int = 86_400_000_000
 ) -> DataFrame:
-    """Weighted excess over the trailing window at each score. Scores are rare rows, so a
-    plain range frame is used, inside time chunks that carry the window's overlap."""
-    width = seconds * 1_000_000
-    h = halo(excess(scores), "ts_us", width, chunk_us)
-    w = Window.partitionBy(*keys, "_chunk").orderBy("ts_us").rangeBetween(-width, 0)
-    s = h.withColumn("composite", F.sum("_e").over(w)).filter("_own").drop("_e", "_chunk", "_own")
-    return s.withColumn("sdc_suspected", F.col("composite") > limit)
+    """Weighted excess over the trailing window at each score. Finite excess is summed
+    exactly as decimals; an infinite one (or one past 1e17) makes the frame infinite."""
+    small = F.col("_e") < 1e17
+    s = sliding_sums(
+        excess(scores), keys, "ts_us", seconds * 1_000_000, chunk_us,
+        {"_sum": F.when(small, F.col("_e").cast("decimal(33,15)")), "_inf": (~small).cast("int")},
+    )
+    total = F.when(F.col("_inf") > 0, float("inf")).otherwise(F.coalesce(F.col("_sum").cast("double"), F.lit(0.0)))
+    return s.withColumn("composite", total).drop("_e", "_sum", "_inf").withColumn(
+        "sdc_suspected", F.col("composite") > limit
+    )
 
 
 def anomaly_summary(scores: DataFrame, keys: list[str], as_of_us: int, seconds: int = 60, limit: float = 1.0) -> DataFrame:

@@ -111,7 +111,8 @@ def sliding_sums(
         "*", F.explode(F.when(touched, F.array(enter, leave)).otherwise(F.array(enter))).alias("_m")
     ).select("*", F.col("_m.at").alias("_at"), F.col("_m.sign").alias("_sign"))
     aggs: dict[str, tuple[str, Column]] = {
-        n: ("sum", F.coalesce(e, F.lit(0)) * F.col("_sign")) for n, e in amounts.items()
+        n: ("sum", F.when(F.col("_sign") == 1, F.coalesce(e, F.lit(0))).otherwise(-F.coalesce(e, F.lit(0))))
+        for n, e in amounts.items()
     }
     aggs |= {
         n: ("sum", F.when(F.col("_sign") == 1, F.coalesce(e, F.lit(0))).otherwise(F.lit(0)))
@@ -201,16 +202,3 @@ def asof(
             value, F.when(hit[ts_us] >= F.col(ts_us) - F.lit(within_us), hit)
         )
     return out.drop("_at", "_side", "_tie", "_hit")
-
-
-def halo(df: DataFrame, ts_us: str, width_us: int, chunk_us: int) -> DataFrame:
-    """Copy each row to every time chunk its trailing window reaches.
-
-    Adds `_chunk` and `_own` (true on the row's own chunk). A frame of `width` inside
-    (key, `_chunk`) then holds all its rows; keep `_own` rows afterwards.
-    """
-    first = time_chunk(ts_us, chunk_us)
-    last = time_chunk(F.col(ts_us) + F.lit(width_us), chunk_us)
-    return df.select("*", F.explode(F.sequence(first, last)).alias("_chunk")).withColumn(
-        "_own", F.col("_chunk") == first
-    )
