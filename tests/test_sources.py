@@ -9,7 +9,7 @@ from fleetwatch.sources import readers as R
 def test_golden_and_thresholds(spark, tmp_path):
     g = tmp_path / "golden.json"
     g.write_text(json.dumps({"version": 1, "fma": [{"index": 0, "expected_result": 1.5}], "transcendental": [{"index": 3, "expected_result": 0.25}]}))
-    got = {(r.probe_type, r.index, r.expected_result) for r in R.read_golden(spark, str(g)).collect()}
+    got = {(r.probe_type, r["index"], r.expected_result) for r in R.read_golden(spark, str(g)).collect()}
     assert got == {("FMA", 0, 1.5), ("TRANSCENDENTAL", 3, 0.25)}
     t = tmp_path / "limits.yaml"
     t.write_text("# limits\nthermal:\n  warn_c: 85  # degrees\n  mode: \"exact\"\n")
