@@ -126,8 +126,8 @@ def with_first_failure_sm(patterns: DataFrame, events: DataFrame, win: WindowCon
         "ordinal",
         F.when(F.col("pattern") == "probe_and_anomaly", F.col("fails_so_far") - F.col("n_fail") + 1),
     )
-    needs = p.filter("ordinal is not null").join(first, ["gpu_uuid", "ordinal"], "left")
-    return needs.unionByName(p.filter("ordinal is null"), allowMissingColumns=True).drop("ordinal")
+    # Other patterns have no ordinal and so no SM; the left join reads the frames once.
+    return p.join(first, ["gpu_uuid", "ordinal"], "left").drop("ordinal")
 
 
 def sm_localized(events: DataFrame, win: WindowConfig = WindowConfig(), min_failures: int = 2) -> DataFrame:
