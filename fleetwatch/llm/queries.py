@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatch.llm import host_rules, mixing, sharding
+from fleetwatch.llm import host_rules, mixing, sharding, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,19 @@ def op8_shuffle_shards(spark, sf_dir):
     """All documents in 16 shards of equal counts, in random order."""
     out = sharding.assign_shards(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op9_warc_index(spark, sf_dir):
+    """Every page written to WARC archives and read back by the index."""
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+@query()
+def op10_url_rules(spark, sf_dir):
+    """A verdict on every page's URL; rules are mined from the labels of documents with the pages' ids."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    bad = labels.groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
+    labelled = pages.join(bad, pages["page_id"] == bad["doc_id"]).select("url", "bad")
+    return url_rules.judge_urls(pages, labelled)
