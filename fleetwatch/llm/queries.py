@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatch.llm import host_rules, mixing, sharding, url_rules, warc
+from fleetwatch.llm import host_rules, mixing, ngram_join, sharding, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,9 @@ def op10_url_rules(spark, sf_dir):
     bad = labels.groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
     labelled = pages.join(bad, pages["page_id"] == bad["doc_id"]).select("url", "bad")
     return url_rules.judge_urls(pages, labelled)
+
+
+@query()
+def op4_ngram_join(spark, sf_dir):
+    """Near-duplicate components of all documents."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))

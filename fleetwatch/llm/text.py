@@ -96,3 +96,41 @@ def blocks(texts: list[bytes], size: int = 8 << 20):
         total += len(t)
     if at < len(texts):
         yield at, len(texts)
+
+
+#: Odd multipliers for the places of an n-gram.
+_PLACES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each run of n word hashes."""
+    count = len(hashes) - n + 1
+    if count <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(count, np.uint64)
+    for k in range(n):
+        out += hashes[k : k + count] * _PLACES[k]
+    return mix(out)
+
+
+def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
+    """For each UTF-8 text the sorted distinct hashes of its n-word shingles.
+
+    A text of fewer words is one shingle of them all; one without words has none.
+    """
+    out: list[np.ndarray] = []
+    for i, j in blocks(texts):
+        data, begin = joined(texts[i:j])
+        start, hashes = word_hashes(data)
+        edge = np.searchsorted(start, begin)
+        every = grams(hashes, n)
+        for k in range(j - i):
+            a, b = edge[k], edge[k + 1]
+            if b - a >= n:
+                one = np.sort(every[a : b - n + 1])
+                out.append(one[np.concatenate(([True], one[1:] != one[:-1]))])
+            elif b > a:
+                out.append(grams(hashes[a:b], b - a) + np.uint64(b - a))
+            else:
+                out.append(np.zeros(0, np.uint64))
+    return out
