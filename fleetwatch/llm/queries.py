@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatch.llm import host_rules, mixing, ngram_join, sharding, url_rules, warc
+from fleetwatch.llm import host_rules, mixing, ngram_join, pieces, sharding, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,9 @@ def op10_url_rules(spark, sf_dir):
 def op4_ngram_join(spark, sf_dir):
     """Near-duplicate components of all documents."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_nbest_pieces(spark, sf_dir):
+    """The four best segmentations of every document's text; the best one's ids."""
+    return pieces.encode(table(spark, sf_dir, "documents"), ["doc_id"], pieces.Vocabulary.load(pieces.default_path()))
