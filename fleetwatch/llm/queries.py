@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatch.llm import host_rules, mixing, ngram_join, pieces, sharding, url_rules, warc
+from fleetwatch.llm import host_rules, language_model, mixing, ngram_join, pieces, sharding, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,12 @@ def op4_ngram_join(spark, sf_dir):
 def op6_nbest_pieces(spark, sf_dir):
     """The four best segmentations of every document's text; the best one's ids."""
     return pieces.encode(table(spark, sf_dir, "documents"), ["doc_id"], pieces.Vocabulary.load(pieces.default_path()))
+
+
+@query()
+def op7_kneser_ney(spark, sf_dir):
+    """Every document scored by a model of those that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", language_model.held_out(F.col("doc_id")).alias("held_out"))
+    trained = language_model.train(docs.where("NOT held_out"))
+    out = language_model.score(docs, ["doc_id", "held_out"], trained)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(trained[0].tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
