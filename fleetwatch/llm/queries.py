@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatch.llm import host_rules, language_model, mixing, ngram_join, pieces, sharding, url_rules, warc
+from fleetwatch.llm import co_training, host_rules, language_model, mixing, ngram_join, pieces, sharding, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,10 @@ def op7_kneser_ney(spark, sf_dir):
     trained = language_model.train(docs.where("NOT held_out"))
     out = language_model.score(docs, ["doc_id", "held_out"], trained)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(trained[0].tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
+@query()
+def op2_co_training(spark, sf_dir):
+    """Every document scored by two co-trained views."""
+    docs = table(spark, sf_dir, "documents")
+    return co_training.score(docs, ["doc_id"], co_training.fit(docs, table(spark, sf_dir, "labels")))
