@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatch.llm import co_training, host_rules, language_model, mixing, ngram_join, pieces, sharding, url_rules, warc
+from fleetwatch.llm import co_training, host_rules, language_model, mixing, ngram_join, pieces, projected_search, sharding, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,10 @@ def op2_co_training(spark, sf_dir):
     """Every document scored by two co-trained views."""
     docs = table(spark, sf_dir, "documents")
     return co_training.score(docs, ["doc_id"], co_training.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op1_projected_search(spark, sf_dir):
+    """The 20 largest inner products of every twentieth vector with all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return projected_search.search(vectors, vectors.where("vec_id % 20 = 0"))
