@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetwatch.llm import host_rules, mixing
+from fleetwatch.llm import co_training, host_rules, mixing, ngram_join, pieces
 from fleetwatch.plans.cut import shared_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -17,14 +17,33 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return host_rules.keep_good(docs).select(*COLUMNS)
 
 
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that two co-trained views hold to be good."""
+    views = co_training.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return co_training.score(docs, COLUMNS, views, only_kept=True).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near and exact copies."""
+    return ngram_join.keep_one(docs).select(*COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix over sources says, dealt out at random."""
     return mixing.poisson_mix(docs).select(*COLUMNS)
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, with the scores of its best segmentations."""
+    return pieces.encode(docs, ["doc_id"], pieces.Vocabulary.load(pieces.default_path()))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", rules),
+    ("quality_classifier", classifier),
+    ("near_duplicates", near_duplicates),
     ("mixing", mix),
+    ("pieces", tokens),
 ]
 
 #: Trained models and an A-star search are among the stages: not for SQL.
