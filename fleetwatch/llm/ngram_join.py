@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from fleetwatch.llm import cells
 from fleetwatch.llm.components import components
-from fleetwatch.llm.text import mix, shingle_sets
+from fleetwatch.llm.text import blocks, mix, shingle_sets
 from fleetwatch.plans.cut import cut
 
 
@@ -44,7 +44,7 @@ class JoinLimits:
     percent: int = 80
     fragments: int = 4
     block: int = 512
-    rounds: int = 3
+    rounds: int = 2
 
 
 def _set_id(s: np.ndarray) -> int:
@@ -56,22 +56,26 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _texts(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Slices of a batch and the sets of its texts, a few megabytes of text at a time."""
+    texts = [x or b"" for x in batch.column("text").to_pylist()]
+    for i, j in blocks(texts, 4 << 20):
+        yield i, j, shingle_sets(texts[i:j], n)
+
+
 def _read_sets(n: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(cells.CELLS, np.uint64), set()
         for batch in batches:
-            sets = shingle_sets([x or b"" for x in batch.column("text").to_pylist()], n)
-            ids = [_set_id(s) for s in sets]
-            fresh = []
-            for i, s in zip(ids, sets):
-                if i not in seen and len(s):
-                    seen.add(i)
-                    fresh.append(s)
-            if fresh:
-                counts += np.bincount((np.concatenate(fresh) & np.uint64(cells.CELLS - 1)).astype(np.int64), minlength=cells.CELLS).astype(np.uint64)
-            size = len(ids)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "set": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
-                                              "block": pa.nulls(size, pa.int64()), "counts": pa.nulls(size, pa.binary())})
+            for i, j, sets in _texts(batch, n):
+                ids = [_set_id(s) for s in sets]
+                for k, s in zip(ids, sets):
+                    if k not in seen:
+                        seen.add(k)
+                        np.add.at(counts, (s & np.uint64(cells.CELLS - 1)).astype(np.int64), np.uint64(1))
+                size = j - i
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[i:j], "set": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
+                                                  "block": pa.nulls(size, pa.int64()), "counts": pa.nulls(size, pa.binary())})
         found = list(cells.rows(counts))
         size = len(found)
         yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(size, pa.int64()), "set": pa.nulls(size, pa.int64()), "n": pa.nulls(size, pa.int64()),
@@ -92,14 +96,16 @@ def _read_prefixes(limits: JoinLimits, frequency):
         seen = set()
         order = frequency.value
         for batch in batches:
-            grams, owners = [], []
-            for s in shingle_sets([x or b"" for x in batch.column("text").to_pylist()], limits.n):
-                if len(s) and (i := _set_id(s)) not in seen:
-                    seen.add(i)
-                    grams.append(prefix(s, order, limits.percent))
-                    owners.append(np.full(len(grams[-1]), i, np.int64))
-            if grams:
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(_signed(np.concatenate(grams))), "set": pa.array(np.concatenate(owners))})
+            for _, _, sets in _texts(batch, limits.n):
+                grams, owners, sizes = [], [], []
+                for s in sets:
+                    if len(s) and (i := _set_id(s)) not in seen:
+                        seen.add(i)
+                        grams.append(prefix(s, order, limits.percent))
+                        owners.append(np.full(len(grams[-1]), i, np.int64))
+                        sizes.append(np.full(len(grams[-1]), len(s), np.int64))
+                if grams:
+                    yield pa.RecordBatch.from_pydict({"gram": pa.array(_signed(np.concatenate(grams))), "set": pa.array(np.concatenate(owners)), "n": pa.array(np.concatenate(sizes))})
 
     return read
 
@@ -110,30 +116,32 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8))
 
 
-def _read_fragments(limits: JoinLimits, wanted):
-    shift = np.uint64(64 - (limits.fragments - 1).bit_length()) if limits.fragments > 1 else np.uint64(63)
+def _read_parts(limits: JoinLimits, wanted, maps: bool):
+    """For texts whose id falls in a wanted cell: the parity map of their set, or its n-grams by fragment."""
+    shift = np.uint64(64 - (limits.fragments - 1).bit_length())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = wanted.value
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            ids = np.where(pd.isna(ids), -1, ids).astype(np.int64)
+            ids = batch.column("doc_id").fill_null(-1).to_numpy()
             chosen = np.flatnonzero(there[(mix(ids.view(np.uint64)) & np.uint64(cells.CELLS - 1)).astype(np.int64)])
             if not len(chosen):
                 continue
-            got = batch.take(pa.array(chosen))
-            out = {"doc_id": [], "set": [], "n": [], "fragment": [], "data": []}
-            for doc_id, s in zip(got.column("doc_id").to_pylist(), shingle_sets([x or b"" for x in got.column("text").to_pylist()], limits.n)):
-                if not len(s):
-                    continue
-                i = _set_id(s)
-                edges = np.searchsorted(s >> shift if limits.fragments > 1 else np.zeros(len(s), np.uint64), np.arange(limits.fragments + 1, dtype=np.uint64))
-                parts = [(-1, parity(s).tobytes())] + [(k, s[edges[k] : edges[k + 1]].tobytes()) for k in range(limits.fragments) if edges[k + 1] > edges[k]]
-                for k, data in parts:
-                    for name, value in zip(out, (doc_id, i, len(s), k, data)):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(out["doc_id"], pa.int64()), "set": pa.array(out["set"], pa.int64()), "n": pa.array(out["n"], pa.int64()),
-                                              "fragment": pa.array(out["fragment"], pa.int32()), "data": pa.array(out["data"], pa.binary())})
+            for _, _, sets in _texts(batch.take(pa.array(chosen)), limits.n):
+                out = {"set": [], "n": [], "fragment": [], "data": []}
+                for s in sets:
+                    if not len(s):
+                        continue
+                    if maps:
+                        parts = [(-1, parity(s).tobytes())]
+                    else:
+                        edges = np.searchsorted(s >> shift, np.arange(limits.fragments + 1, dtype=np.uint64))
+                        parts = [(k, s[edges[k] : edges[k + 1]].tobytes()) for k in range(limits.fragments) if edges[k + 1] > edges[k]]
+                    i = _set_id(s)
+                    for k, data in parts:
+                        for name, value in zip(out, (i, len(s), k, data)):
+                            out[name].append(value)
+                yield pa.RecordBatch.from_pydict({"set": pa.array(out["set"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "fragment": pa.array(out["fragment"], pa.int32()), "data": pa.array(out["data"], pa.binary())})
 
     return read
 
@@ -176,7 +184,7 @@ def _compare(limits: JoinLimits, every: bool):
             fits = ((100 + p) * apart <= (100 - p) * both) & (ca[j, None] != cb[None, :]) & (100 * na[j, None] >= p * nb[None, :]) & (100 * nb[None, :] >= p * na[j, None])
             if every:
                 x, y = np.nonzero(fits)
-                yield pd.DataFrame({"set": sa[j][x], "partner": sb[y], "score": np.zeros(len(x))})
+                yield pd.DataFrame({"set": sa[j][x], "partner": sb[y], "score": np.zeros(len(x)), "size": na[j][x], "other": nb[y]})
                 continue
             for k, t in enumerate(tried[j]):
                 if t is not None and len(t):
@@ -185,7 +193,7 @@ def _compare(limits: JoinLimits, every: bool):
             best = score.argmin(axis=1)
             low = score[np.arange(len(best)), best]
             ok = np.isfinite(low)
-            yield pd.DataFrame({"set": sa[j][ok], "partner": sb[best[ok]], "score": low[ok]})
+            yield pd.DataFrame({"set": sa[j][ok], "partner": sb[best[ok]], "score": low[ok], "size": na[j][ok], "other": nb[best[ok]]})
 
     def group(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         low, high = rows["low"].iloc[0], rows["high"].iloc[0]
@@ -217,27 +225,30 @@ def _compare(limits: JoinLimits, every: bool):
 def _overlap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         count = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(batch["left"], batch["right"])]
-        yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "overlap": np.array(count, np.int64)})
+        yield batch.drop(columns=["left", "right"]).assign(overlap=np.array(count, np.int64))
 
 
 def count_overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     """a, b and the size of their intersection: counted in each fragment, then summed. pairs: a, b; fragments: set, fragment, data."""
     left = fragments.select(F.col("set").alias("a"), "fragment", F.col("data").alias("left"))
     right = fragments.select(F.col("set").alias("b"), "fragment", F.col("data").alias("right"))
-    parts = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "left", "right").mapInPandas(_overlap, "a long, b long, overlap long")
-    return parts.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    kinds = "".join(f", {c} long" for c in rest)
+    parts = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", *rest, "fragment", "left", "right").mapInPandas(_overlap, f"a long, b long{kinds}, fragment int, overlap long")
+    # A set may have been read from several texts; each fragment of a pair counts once.
+    return parts.groupBy("a", "b", *rest, "fragment").agg(F.max("overlap").alias("overlap")).groupBy("a", "b", *rest).agg(F.sum("overlap").alias("overlap"))
 
 
-def _proposals(lists: DataFrame, maps: DataFrame, roots: DataFrame, tried: DataFrame | None, limits: JoinLimits, every: bool) -> DataFrame:
+def _proposals(lists: DataFrame, roots: DataFrame, limits: JoinLimits, every: bool) -> DataFrame:
+    """Pairs that may be linked, across the components known so far. lists: gram, set, n, tried, data."""
     rows = lists.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     spread = rows.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 < r1").select("gram", "size")
-    rows = rows.join(spread, "gram").join(maps, "set")
-    rows = rows.join(tried, "set", "left") if tried is not None else rows.withColumn("tried", F.lit(None).cast("array<long>"))
+    rows = rows.join(spread, "gram")
     last = F.floor((F.col("size") - 1) / limits.block)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("set"), last + 1)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     rows = rows.select("gram", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set", "n", "root", "tried", "data")
     key = ["gram", "low", "high"]
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(_compare(limits, every), "set long, partner long, score double")
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(_compare(limits, every), "set long, partner long, score double, size long, other long")
 
 
 def classes(docs: DataFrame, limits: JoinLimits = JoinLimits()) -> tuple[DataFrame, DataFrame]:
@@ -248,39 +259,48 @@ def classes(docs: DataFrame, limits: JoinLimits = JoinLimits()) -> tuple[DataFra
     members = first.where("block IS NULL").select("doc_id", "set", "n")
     frequency = spark.sparkContext.broadcast(np.minimum(cells.gather(first.where("block IS NOT NULL").select("block", "counts")), np.uint64((1 << 24) - 1)))
 
-    grams = texts.select("text").mapInArrow(_read_prefixes(limits, frequency), "gram long, set long")
+    grams = texts.select("text").mapInArrow(_read_prefixes(limits, frequency), "gram long, set long, n long")
     each = Window.partitionBy("gram")
-    shared = cut(grams.withColumn("lo", F.min("set").over(each)).withColumn("hi", F.max("set").over(each)).where("lo < hi").select("gram", "set").distinct())
+    shared = grams.withColumn("lo", F.min("set").over(each)).withColumn("hi", F.max("set").over(each)).where("lo < hi").select("gram", "set", "n").distinct()
+    # Of sets whose sizes alone rule a link out, the ones without a neighbour in size go.
+    sized = Window.partitionBy("gram").orderBy("n", "set")
+    near = (100 * F.lag("n").over(sized) >= limits.percent * F.col("n")) | (100 * F.col("n") >= limits.percent * F.lead("n").over(sized))
+    shared = cut(shared.withColumn("near", near).where("near").select("gram", "set", "n"))
     # Lists of the same classes propose the same pairs: one of them is enough.
     one = shared.groupBy("gram").agg(F.bit_xor(F.xxhash64("set")).alias("x"), F.sum(F.col("set").cast("decimal(38,0)")).alias("s"), F.count("*").alias("c")).groupBy("x", "s", "c").agg(F.min("gram").alias("gram"))
     lists = cut(shared.join(one.select("gram"), "gram"))
 
-    named = lists.select("set").distinct()
-    chosen = cut(members.join(named, "set").groupBy("set").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL"))
-    wanted = spark.sparkContext.broadcast(cells.gather(chosen.select("doc_id").mapInPandas(_cell_counts, "block long, counts binary")) > 0)
-    schema = "doc_id long, set long, n long, fragment int, data binary"
-    parts = cut(texts.mapInArrow(_read_fragments(limits, wanted), schema).join(chosen, ["doc_id", "set"]).dropDuplicates(["set", "fragment"]).select("set", "n", "fragment", "data"))
-    maps, fragments = parts.where("fragment < 0").select("set", "n", "data"), parts.where("fragment >= 0").select("set", "fragment", "data")
-    sizes = maps.select("set", "n")
+    def read(named: DataFrame, maps: bool) -> DataFrame:
+        """Parts of the sets of some classes, each read from the text with the smallest id; a few others come along."""
+        chosen = members.join(named, "set").groupBy("set").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL")
+        wanted = spark.sparkContext.broadcast(cells.gather(chosen.select("doc_id").mapInPandas(_cell_counts, "block long, counts binary")) > 0)
+        return cut(texts.mapInArrow(_read_parts(limits, wanted, maps), "set long, n long, fragment int, data binary"))
 
+    maps = read(lists.select("set").distinct(), True).select("set", "data")
+    lists = cut(lists.join(maps, "set").withColumn("tried", F.array().cast("array<long>")))
     roots = spark.createDataFrame([], "node long, root long")
-    tried = None
-    links = None
+    fragments = links = None
     for turn in range(limits.rounds + 1):
         every = turn == limits.rounds
-        found = _proposals(lists, maps, roots, tried, limits, every)
+        found = _proposals(lists, roots, limits, every)
+        if not every:
+            found = found.groupBy("set").agg(F.min_by(F.struct("partner", "size", "other"), F.struct("score", "partner")).alias("p")).select("set", "p.*")
+        found = cut(found)
+        if found.isEmpty():  # all pairs across components that may be linked have been counted
+            break
+        if fragments is None:  # a set that proposes nothing here has no partner at all
+            fragments = read(found.select("set").distinct(), False).select("set", "fragment", "data")
+            lists = lists.join(found.select("set").distinct(), "set", "left_semi")
         if not every:
-            found = cut(found.groupBy("set").agg(F.min_by("partner", F.struct("score", "partner")).alias("partner")))
-            if found.isEmpty():  # all pairs across components that may be linked have been counted
-                break
-            tries = found.select("set", F.array("partner").alias("tried"))
-            tried = tries if tried is None else tried.unionByName(tries)
-            tried = cut(tried.groupBy("set").agg(F.flatten(F.collect_list("tried")).alias("tried")))  # one for each round at most
-        pairs = cut(found.select(F.least("set", "partner").alias("a"), F.greatest("set", "partner").alias("b")).distinct())
-        both = count_overlaps(pairs, fragments).join(sizes.select(F.col("set").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("set").alias("b"), F.col("n").alias("nb")), "b")
+            tries = found.select("set", F.col("partner").alias("_tried"))
+            lists = cut(lists.join(tries, "set", "left").withColumn("tried", F.when(F.col("_tried").isNull(), F.col("tried")).otherwise(F.array_append("tried", F.col("_tried")))).drop("_tried"))
+        first = F.col("set") < F.col("partner")
+        pairs = found.select(F.least("set", "partner").alias("a"), F.greatest("set", "partner").alias("b"), F.when(first, F.col("size")).otherwise(F.col("other")).alias("na"), F.when(first, F.col("other")).otherwise(F.col("size")).alias("nb")).distinct()
+        both = count_overlaps(pairs, fragments)
         linked = both.where(100 * F.col("overlap") >= limits.percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = cut(linked if links is None else links.union(linked))
-        roots = cut(components(links))
+        # What is joined already is a star for each component.
+        links = linked if links is None else linked.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        roots = components(links)
     return members, roots
 
 
