@@ -85,7 +85,6 @@ class DistributionConfig:
     baseline_size: int = 5000
     ks_p: float = 0.001
     ad_level_index: int = 1
-    max_samples: int = 50_000
 
 
 @dataclass(frozen=True)

@@ -96,8 +96,14 @@ def split_pending(raw: DataFrame, now_us: int) -> tuple[DataFrame, DataFrame]:
 
 # --- verification ----------------------------------------------------------------
 
+def _differs(a: Column, b: Column) -> Column:
+    """True unless both are there and equal: a missing hash or payload verifies nothing."""
+    return ~F.coalesce(a == b, F.lit(False))
+
+
 def verify_entries(entries: DataFrame) -> DataFrame:
-    bad = chain_hash(F.col("data"), F.col("previous_hash")) != F.col("entry_hash")
+    """Entries whose hash isn't that of their data and previous hash; a NULL in any of the three is a mismatch."""
+    bad = _differs(chain_hash(F.col("data"), F.col("previous_hash")), F.col("entry_hash"))
     return entries.filter(bad).select("entry_id", F.lit("hash_mismatch").alias("failure"))
 
 
@@ -105,16 +111,18 @@ def verify_chain(entries: DataFrame, expected_previous: bytes | None = None) ->
     """One row per failure: a broken link to the row before, or a wrong hash.
 
     The first row is compared with the given hash, else zeros if its id is at most 1,
-    else it is taken as the start.
+    else it is taken as the start. A NULL hash or payload is a failure of its row, and
+    a NULL hash of the row that follows it as well.
     """
     e = entries.select("entry_id", "data", "previous_hash", "entry_hash")
-    linked = with_previous(e, "entry_id", ["entry_hash"])
+    linked = with_previous(e, "entry_id", ["entry_id", "entry_hash"])
     first = (
         F.lit(expected_previous) if expected_previous is not None
         else F.when(F.col("entry_id") <= 1, F.unhex(F.lit(ZERO_HASH))).otherwise(F.col("previous_hash"))
     )
-    broken = F.col("previous_hash") != F.coalesce("prev_entry_hash", first)
-    wrong = chain_hash(F.col("data"), F.col("previous_hash")) != F.col("entry_hash")
+    before = F.when(F.col("prev_entry_id").isNull(), first).otherwise(F.col("prev_entry_hash"))
+    broken = _differs(F.col("previous_hash"), before)
+    wrong = _differs(chain_hash(F.col("data"), F.col("previous_hash")), F.col("entry_hash"))
     kinds = F.array_compact(F.array(F.when(broken, F.lit("chain_break")), F.when(wrong, F.lit("hash_mismatch"))))
     return linked.select("entry_id", F.explode(kinds).alias("failure"))
 
@@ -137,10 +145,10 @@ def verify_linked(entries: DataFrame) -> DataFrame:
 
 
 def verify_batches(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """Batches whose recomputed root differs from the stored one."""
+    """Batches whose recomputed root differs from the stored one, or that lack either."""
     again = batch_roots(entries).select("batch_sequence", F.col("merkle_root").alias("_again"))
-    j = roots.select("batch_sequence", "merkle_root").join(again, "batch_sequence", "left")
-    return j.select("batch_sequence", (~F.col("merkle_root").eqNullSafe(F.col("_again"))).alias("root_mismatch"))
+    j = roots.select("batch_sequence", "merkle_root").join(again, "batch_sequence", "full")
+    return j.select("batch_sequence", _differs(F.col("merkle_root"), F.col("_again")).alias("root_mismatch"))
 
 
 def verification_summary(entries: DataFrame, failures: DataFrame) -> DataFrame:

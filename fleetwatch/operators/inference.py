@@ -233,76 +233,110 @@ def spectral_features(captures: DataFrame, cfg: SpectralConfig = SpectralConfig(
 
 FOUND = "stat_name string, observed double, baseline_n int, severity string"
 
+#: Limits on the share's z-score (warning, critical) and on the spectra's cosine.
+Z_LIMITS, COSINE_LIMIT = (4.0, 6.0), 0.8
+#: Significance levels that an index chooses from.
+LEVELS = (0.15, 0.10, 0.05, 0.025, 0.01)
+
+
+class CleanSpectra:
+    """Shares and spectra of the latest clean rows. Each row's checks are columns of a block."""
+
+    def __init__(self, size: int, saved: bytes):
+        self.size = size
+        self.rows: deque[tuple[float, bytes]] = deque(pickle.loads(saved) if saved else (), maxlen=size)
+
+    def z_score(self, share: float) -> float:
+        """0 while there are few rows or none of them differ."""
+        if 2 * len(self.rows) < self.size - self.size % 2:
+            return 0.0
+        shares = np.fromiter((r for r, _ in self.rows), float, len(self.rows))
+        spread = shares.std()
+        return (share - shares.mean()) / spread if spread > 1e-12 else 0.0
+
+    def cosine(self, spectrum: np.ndarray) -> float:
+        """With the mean spectrum of this length; 1 where there is nothing to compare with."""
+        if 2 * len(self.rows) < self.size - self.size % 2 or not self.rows or len(self.rows[-1][1]) != spectrum.nbytes:
+            return 1.0
+        mean = np.stack([np.frombuffer(b) for _, b in self.rows if len(b) == spectrum.nbytes]).mean(axis=0)
+        size = np.sqrt(spectrum @ spectrum), np.sqrt(mean @ mean)
+        return float(spectrum @ mean / (size[0] * size[1])) if min(size) > 1e-12 else 1.0
+
+    def save(self) -> bytes:
+        return pickle.dumps(list(self.rows), protocol=5)
+
+
+def _found(rows: pd.DataFrame, keep: list[str], hits: list[tuple[int, str, float, int, str]]) -> pd.DataFrame:
+    """Findings (row number, name, value, baseline size, severity) with the rows' keys."""
+    out = rows[keep].iloc[[h[0] for h in hits]].reset_index(drop=True)
+    for k, name in enumerate(("stat_name", "observed", "baseline_n", "severity"), 1):
+        out[name] = pd.Series([h[k] for h in hits], dtype={2: "float64", 3: "int32"}.get(k, "object"))
+    return out
+
 
 def spectral_monitor(
     features: DataFrame, keys: list[str], order_by: list[str], chunk: Column, cfg: SpectralConfig = SpectralConfig()
 ) -> DataFrame:
     """High-frequency share, its z-score and spectrum shape against recent clean rows."""
-    need, keep = cfg.baseline_window // 2, [*keys, *order_by]
+    keep = [*keys, *order_by]
 
     def step(rows: pd.DataFrame, state: bytes) -> tuple[pd.DataFrame, bytes]:
-        ratios, psds = pickle.loads(state) if state else ([], [])
-        ratios, psds = deque(ratios, maxlen=cfg.baseline_window), deque(psds, maxlen=cfg.baseline_window)
-        out = []
-        for ident, r, p in zip(rows[keep].itertuples(index=False), rows["hf_ratio"], rows["psd"], strict=True):
-            p = np.asarray(p, float)
-            hits = []
-            if r > cfg.hf_ratio:
-                hits.append(("high_freq_ratio", r, "warning"))
-            if len(ratios) >= need:
-                base = np.asarray(ratios)
-                mean, std = base.mean(), base.std()
-                if std > 1e-12 and abs(z := (r - mean) / std) > 4.0:
-                    hits.append(("high_freq_z_score", z, "critical" if abs(z) > 6.0 else "warning"))
-                same = [np.frombuffer(b) for b in psds if len(b) == p.nbytes]
-                if psds and len(psds[-1]) == p.nbytes:
-                    mid = np.mean(same, axis=0)
-                    norm = np.linalg.norm(p), np.linalg.norm(mid)
-                    if min(norm) > 1e-12 and (cos := float(p @ mid) / (norm[0] * norm[1])) < 0.8:
-                        hits.append(("psd_cosine_similarity", cos, "warning"))
-            out += [(*ident, name, float(v), len(ratios), sev) for name, v, sev in hits]
-            if not hits:
-                ratios.append(float(r))
-                psds.append(p.tobytes())
-        cols = [*keep, "stat_name", "observed", "baseline_n", "severity"]
-        return pd.DataFrame(out, columns=cols), pickle.dumps((list(ratios), list(psds)), protocol=5)
+        clean, hits = CleanSpectra(cfg.baseline_window, state), []
+        for at, (share, raw) in enumerate(zip(rows["hf_ratio"].to_numpy(float), rows["psd"], strict=True)):
+            spectrum, n = np.asarray(raw, float), len(clean.rows)
+            z, shape = clean.z_score(share), clean.cosine(spectrum)
+            checks = (
+                ("high_freq_ratio", share, share > cfg.hf_ratio, False),
+                ("high_freq_z_score", z, abs(z) > Z_LIMITS[0], abs(z) > Z_LIMITS[1]),
+                ("psd_cosine_similarity", shape, shape < COSINE_LIMIT, False),
+            )
+            mine = [(at, name, float(v), n, "critical" if grave else "warning") for name, v, bad, grave in checks if bad]
+            hits += mine
+            if not mine:
+                clean.rows.append((float(share), spectrum.tobytes()))
+        return _found(rows, keep, hits), clean.save()
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.select(*keep).schema.fields)
     return state_scan(features.select(*keep, "hf_ratio", "psd"), keys, order_by, chunk, step, f"{ddl}, {FOUND}")
 
 
+class CleanValues:
+    """All values of the latest clean rows, kept sorted: a row's values are merged in and taken out, not sorted anew."""
+
+    def __init__(self, size: int, saved: bytes):
+        self.size = size
+        self.rows: deque[np.ndarray] = deque(pickle.loads(saved) if saved else ())
+        self.pool = np.sort(np.concatenate(self.rows)) if self.rows else np.zeros(0)
+
+    def add(self, values: np.ndarray) -> None:
+        self.rows.append(values)
+        self.pool = np.insert(self.pool, np.searchsorted(self.pool, values), values)
+        if len(self.rows) > self.size:
+            old = self.rows.popleft()
+            repeat = np.arange(len(old)) - np.searchsorted(old, old)  # equal values go one after the other
+            self.pool = np.delete(self.pool, np.searchsorted(self.pool, old) + repeat)
+
+    def save(self) -> bytes:
+        return pickle.dumps(list(self.rows), protocol=5)
+
+
 def distribution_monitor(
     captures: DataFrame, keys: list[str], order_by: list[str], chunk: Column, cfg: DistributionConfig = DistributionConfig()
 ) -> DataFrame:
-    """KS and Anderson-Darling tests of each row's values against the recent clean rows."""
-    least, keep = max(50, cfg.baseline_size // 10), [*keys, *order_by]
-    level = (0.15, 0.10, 0.05, 0.025, 0.01)[min(cfg.ad_level_index, 4)]
-
-    def thin(x: np.ndarray, seed: int) -> np.ndarray:
-        if len(x) <= cfg.max_samples:
-            return x
-        return x[np.random.default_rng(seed=seed).choice(len(x), size=cfg.max_samples, replace=False)]
+    """KS and Anderson-Darling tests of each row's values against all values of the recent clean rows."""
+    keep = [*keys, *order_by]
+    tests = (("ks_test", ks_2sample, cfg.ks_p), ("anderson_darling", ad_2sample, LEVELS[min(cfg.ad_level_index, len(LEVELS) - 1)]))
 
     def step(rows: pd.DataFrame, state: bytes) -> tuple[pd.DataFrame, bytes]:
-        base = deque(pickle.loads(state) if state else [], maxlen=cfg.baseline_size)
-        out = []
-        for ident, logits in zip(rows[keep].itertuples(index=False), rows["logits"], strict=True):
-            x = np.asarray(logits, float)
-            hits = []
-            if len(base) >= least:
-                ref = np.sort(thin(np.concatenate([np.frombuffer(b) for b in base]), 0))
-                cur = np.sort(thin(x, 1))
-                d, p = ks_2sample(cur, ref)
-                if p < cfg.ks_p:
-                    hits.append(("ks_test", d, "critical" if p < cfg.ks_p / 10 else "warning"))
-                a, ap = ad_2sample(cur, ref)
-                if ap < level:
-                    hits.append(("anderson_darling", a, "critical" if ap < level / 10 else "warning"))
-            out += [(*ident, name, float(v), len(base), sev) for name, v, sev in hits]
-            if not hits:
-                base.append(x.tobytes())
-        cols = [*keep, "stat_name", "observed", "baseline_n", "severity"]
-        return pd.DataFrame(out, columns=cols), pickle.dumps(list(base), protocol=5)
+        clean, hits = CleanValues(cfg.baseline_size, state), []
+        for at, raw in enumerate(rows["logits"]):
+            values, n = np.sort(np.asarray(raw, float)), len(clean.rows)
+            results = [(name, *test(values, clean.pool), limit) for name, test, limit in tests if n >= max(50, cfg.baseline_size // 10)]
+            mine = [(at, name, float(v), n, "critical" if 10 * p < limit else "warning") for name, v, p, limit in results if p < limit]
+            hits += mine
+            if not mine:
+                clean.add(values)
+        return _found(rows, keep, hits), clean.save()
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in captures.select(*keep).schema.fields)
     return state_scan(captures.select(*keep, "logits"), keys, order_by, chunk, step, f"{ddl}, {FOUND}")

@@ -28,17 +28,24 @@ def _metadata(**values: Column) -> Column:
     return F.map_filter(m, lambda k, v: v.isNotNull())
 
 
-def normalize_probes(batches: DataFrame) -> DataFrame:
-    """One event per execution. Result codes: 1 pass, 2 fail, 3 error, else timeout."""
-    x = batches.select(F.explode("executions").alias("x")).select("x.*")
-    r = F.col("result")
+def normalize_probes(batches: DataFrame, now_us: int | None = None) -> DataFrame:
+    """One event per execution. Result codes: 1 pass, 2 fail, 3 error, else timeout.
+
+    An execution without a host name gets that of its batch's agent (agent_hostname, where
+    batches have it), one without a time the given one, by default that of the query.
+    """
+    agent = F.col("agent_hostname") if "agent_hostname" in batches.columns else F.lit(None).cast("string")
+    now = F.current_timestamp() if now_us is None else F.timestamp_micros(F.lit(now_us))
+    x = batches.select(agent.alias("_agent"), F.explode("executions").alias("x")).select("_agent", "x.*")
+    x = x.withColumn("timestamp", F.coalesce("timestamp", now))
+    r, host = F.col("result"), F.coalesce("gpu.hostname", "_agent")
     return x.select(
-        F.col("execution_id").alias("event_id"), F.col("gpu.uuid").alias("gpu_uuid"), F.col("gpu.hostname").alias("hostname"),
+        F.col("execution_id").alias("event_id"), F.col("gpu.uuid").alias("gpu_uuid"), host.alias("hostname"),
         F.when(r == 1, "probe_pass").when(r == 2, "probe_fail").otherwise("probe_error").alias("event_type"),
         F.col("timestamp").alias("ts"), F.unix_micros("timestamp").alias("ts_us"),
         F.when(r == 2, 1.0).otherwise(0.0).alias("score"), "sm_id",
         F.when(r == 1, 1).when(r == 2, 4).when(r == 3, 3).otherwise(2).alias("severity"),
-        _metadata(hostname=F.col("gpu.hostname"), probe_type=F.col("probe_type"), temperature_c=F.col("gpu_temperature_c"),
+        _metadata(hostname=host, probe_type=F.col("probe_type"), temperature_c=F.col("gpu_temperature_c"),
                   power_w=F.col("gpu_power_w")).alias("metadata"),
     )
 

@@ -204,3 +204,45 @@ def test_projection_of_chunks_adds_up(spark):
     p = np.array(TN.checkpoint_projections(d, ["step"], 8, 42).first().projection)
     want = sum(np.random.RandomState(42 ^ c).randn(8, 16).astype(np.float32) @ v[c * 16 : c * 16 + 16] for c in range(3)) / np.sqrt(8)
     assert p == pytest.approx(want, rel=1e-4)
+
+
+def test_missing_hashes_are_failures(spark):
+    """A NULL in the data, the hash or the previous hash of a ledger row never verifies."""
+    import hashlib
+
+    from fleetwatch.operators import audit as AU
+
+    rows, before = [], bytes(32)
+    for i in range(1, 7):
+        data = f"entry {i}".encode()
+        rows.append([i, bytearray(data), bytearray(before), bytearray(hashlib.sha256(data + before).digest()), (i - 1) // 3])
+        before = bytes(rows[-1][3])
+    schema = "entry_id long, data binary, previous_hash binary, entry_hash binary, batch_sequence long"
+
+    def failures(change=None):
+        mine = [list(r) for r in rows]
+        if change:
+            mine[change[0] - 1][change[1]] = None
+        e = spark.createDataFrame(mine, schema)
+        single = {r["entry_id"] for r in AU.verify_entries(e).collect()}
+        return single, {(r["entry_id"], r["failure"]) for r in AU.verify_chain(e).collect()}
+
+    assert failures() == (set(), set())
+    assert failures((3, 1)) == ({3}, {(3, "hash_mismatch")})
+    assert failures((3, 2)) == ({3}, {(3, "hash_mismatch"), (3, "chain_break")})
+    assert failures((3, 3)) == ({3}, {(3, "hash_mismatch"), (4, "chain_break")})
+    e = spark.createDataFrame(rows, schema)
+    stored = AU.batch_roots(e).filter("batch_sequence = 0")
+    extra = stored.withColumn("batch_sequence", F.lit(9).cast("long"))
+    got = {r["batch_sequence"]: r["root_mismatch"] for r in AU.verify_batches(e, stored.unionByName(extra)).collect()}
+    assert got == {0: False, 1: True, 9: True}
+
+
+def test_probe_without_host_or_time_takes_the_batch_and_query(spark):
+    from fleetwatch.sources.readers import normalize_probes
+
+    gpu = "struct<uuid:string,hostname:string>"
+    batches = spark.sql(f"""SELECT 'agent-1' AS agent_hostname, array(named_struct('execution_id', 'e', 'gpu', CAST(named_struct('uuid', 'g', 'hostname', NULL) AS {gpu}),
+      'result', 1, 'timestamp', CAST(NULL AS TIMESTAMP), 'sm_id', 0, 'probe_type', 'fma', 'gpu_temperature_c', 1.0, 'gpu_power_w', 2.0)) AS executions""")
+    r = normalize_probes(batches, now_us=5_000_000).first()
+    assert (r["hostname"], r["metadata"]["hostname"], r["ts_us"]) == ("agent-1", "agent-1", 5_000_000)
