@@ -54,8 +54,11 @@ def text_view(texts: list[bytes]) -> np.ndarray:
         data, begin = joined(texts[i:j])
         n, size = j - i, np.diff(begin)
         owner = np.repeat(np.arange(n), size)
-        code = (data[:-1].astype(np.int64) << 8) | data[1:]
-        pairs = np.log1p(np.bincount(owner[:-1] * BUCKETS + _BUCKET[code], minlength=n * BUCKETS).reshape(n, BUCKETS))
+        within = np.ones(len(data), bool)
+        within[begin[1:] - 1] = False  # no pair goes over the end of a text
+        within = np.flatnonzero(within)
+        code = (data[within].astype(np.int64) << 8) | data[within + 1]
+        pairs = np.log1p(np.bincount(owner[within] * BUCKETS + _BUCKET[code], minlength=n * BUCKETS).reshape(n, BUCKETS))
         out[i:j, :BUCKETS] = pairs / np.maximum(1e-9, np.sqrt((pairs**2).sum(axis=1, keepdims=True)))
         kinds = np.bincount(owner * KINDS + _KIND[data], minlength=n * KINDS).reshape(n, KINDS)
         out[i:j, BUCKETS : BUCKETS + KINDS] = kinds / size[:, None]

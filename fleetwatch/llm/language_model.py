@@ -363,7 +363,7 @@ def _word_mass(model: Model) -> float:
 def word_probability(model: Model, contexts: np.ndarray) -> np.ndarray:
     """Lower-order probabilities of words that follow so many contexts; 0 for words never seen."""
     d = np.array([0.0, *model.word_discounts])[np.minimum(contexts, 3).astype(np.int64)]
-    return (np.maximum(contexts - d, 0) / model.pairs if model.pairs else 0.0) + _word_mass(model) / (model.vocabulary + 1)
+    return np.maximum(contexts - d, 0) / max(model.pairs, 1) + _word_mass(model) / (model.vocabulary + 1)
 
 
 def pair_probability(model: Model, count: np.ndarray, total: np.ndarray, left: np.ndarray, lower: np.ndarray) -> np.ndarray:
