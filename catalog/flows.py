@@ -67,7 +67,8 @@ def normalize_anomalies(spark, d):
 def normalize_telemetry(spark, d):
     t = A.telemetry(spark, d)
     x = F.struct("gpu_uuid", F.col("ts").alias("timestamp"), "temperature_c", "throttle_active", "power_w")
-    b = t.groupBy(F.lit("h").alias("hostname"), F.floor(F.col("ts_us") / 3_600_000_000).alias("s")).agg(F.collect_list(x).alias("readings"))
+    host = F.concat(F.lit("node-"), F.floor(F.substring("gpu_uuid", 5, 20).cast("long") / 8).cast("string"))
+    b = t.groupBy(host.alias("hostname"), F.floor(F.col("ts_us") / 3_600_000_000).alias("s")).agg(F.collect_list(x).alias("readings"))
     n = R.normalize_telemetry(b.drop("s"))
     return rounded(n.select("gpu_uuid", "ts_us", "temperature_c", "throttle_active"), "temperature_c")
 

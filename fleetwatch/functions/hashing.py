@@ -55,13 +55,18 @@ def _fold_pairs(leaves: Column) -> Column:
     return F.get(F.aggregate(F.sequence(F.lit(1), F.lit(10)), leaves, pair_up), 0)
 
 
-def merkle_roots(df: DataFrame, keys: Sequence[str], position: str, leaf: str, rounds: int = 3) -> DataFrame:
+def merkle_roots(df: DataFrame, keys: Sequence[str], position: str, leaf: str, rounds: int | None = None) -> DataFrame:
     """Merkle root per key over leaves in order (`position` counts from 0).
 
     Aligned blocks of 1024 leaves are whole subtrees, also with odd nodes moved up, so
     a root of roots is the root. Each round shrinks the data 1024-fold and no group
-    exceeds 1024 rows, however large a key is; three rounds hold 2^30 leaves.
+    exceeds 1024 rows, however large a key is. There are as many rounds as the largest
+    position needs; that is measured unless `rounds` says it.
     """
+    if rounds is None:
+        last, rounds = df.agg(F.max(position)).first()[0] or 0, 1
+        while last >= 1024**rounds:
+            rounds += 1
     level = df.select(*keys, F.col(position).cast("long").alias("_p"), F.col(leaf).alias("_h"))
     for _ in range(rounds):
         level = (

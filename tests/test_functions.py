@@ -107,3 +107,9 @@ def test_display_strings(spark):
     d = spark.createDataFrame([(0.12345, 1_234_567.0, 59_000), (1.0, 999.0, 3_700_000), (0.5, 1500.0, 90_000_000)], "p double, n double, ms long")
     r = d.select(L.format_percent(F.col("p")), L.format_quantity(F.col("n")), L.format_duration(F.col("ms"))).collect()
     assert [tuple(x) for x in r] == [("12.35%", "1.23M", "59s"), ("100.00%", "999.00", "1h 1m"), ("50.00%", "1.50K", "1d 1h")]
+
+
+def test_merkle_rounds_follow_the_largest_key(spark):
+    rows = [(0, i, bytearray(hashlib.sha256(str(i).encode()).digest())) for i in range(1025)] + [(1, 0, bytearray(b"x" * 32))]
+    got = {r.b: bytes(r.merkle_root) for r in H.merkle_roots(spark.createDataFrame(rows, "b int, pos long, h binary"), ["b"], "pos", "h").collect()}
+    assert got == {0: merkle([bytes(r[2]) for r in rows[:-1]]), 1: b"x" * 32}
