@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import pandas as pd
 
 from fleetwatch.llm import mixing, sharding
 
@@ -32,7 +33,7 @@ def test_mix_equals_sql_and_takes_awkward_rows(awkward, no_docs, spark):
     con.register("documents", awkward.drop("copy").toArrow())
     want = con.execute(mixing.mix_sql()).fetchdf()
     got = out.toPandas()
-    key = lambda f: sorted(("" if r.doc_id != r.doc_id else str(int(r.doc_id)), r.copy_, r.shuffle_key) for r in f.rename(columns={"copy": "copy_"}).itertuples())
+    key = lambda f: sorted(("" if pd.isna(r.doc_id) else str(int(r.doc_id)), r.copy_, r.shuffle_key) for r in f.rename(columns={"copy": "copy_"}).itertuples())
     assert key(got) == key(want)
     assert set(out.columns) == {*awkward.columns, "n_copies", "shuffle_key"}
 
