@@ -36,7 +36,7 @@ def factor_weights(current: DataFrame, edges: DataFrame) -> DataFrame:
     own = edges.filter("gpu_uuid is not null").select("gpu_uuid", "factor", F.col("weight").alias("_own"))
     fleet = edges.filter("gpu_uuid is null").select("factor", F.col("weight").alias("_fleet"))
     return (
-        current.join(own, ["gpu_uuid", "factor"], "left").join(F.broadcast(fleet), "factor", "left")  # <= 10 factors
+        current.join(own, ["gpu_uuid", "factor"], "left").join(fleet, "factor", "left")
         .withColumn("weight", F.coalesce("_own", "_fleet", F.lit(0.0))).drop("_own", "_fleet")
     )
 

@@ -172,8 +172,10 @@ def ingest_counters(events: DataFrame, patterns: DataFrame, transitions: DataFra
 # --- filters and listings --------------------------------------------------------
 
 def query_events(events: DataFrame, gpu: str | None, start_us: int, end_us: int, limit: int) -> DataFrame:
-    """Inclusive at both ends, first `limit` in arrival order."""
+    """Inclusive at both ends, first `limit` in arrival order. Stored events are read by their `date` folders."""
     hit = F.col("ts_us").between(start_us, end_us)
+    if "date" in events.columns:
+        hit &= F.col("date").cast("date").between(*[F.to_date(F.timestamp_micros(F.lit(x))) for x in (start_us, end_us)])
     if gpu is not None:
         hit &= F.col("gpu_uuid") == gpu
     return events.filter(hit).orderBy("ts_us", "event_id").limit(limit)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetwatch.config import GradientConfig, LossConfig
 from fleetwatch.functions import vectors as V
 from fleetwatch.functions.hashing import merkle_roots
-from fleetwatch.plans.chunked import running, sliding_sums, time_chunk
+from fleetwatch.plans.chunked import running, sliding_sums
 from fleetwatch.plans.cut import cut
 from fleetwatch.plans.ranks import medians
 from fleetwatch.plans.scan import ewma, numbered, with_row_halo
@@ -220,9 +220,6 @@ def gradient_hashes(gradients: DataFrame, keys: list[str], dim: int = 256, seed:
     return total.select(*keys, V.sha256_of_floats(tolerance)("_v").alias("hash"))
 
 
-EMPTY_GRADIENT_TEXT = "empty_gradients"
-
-
 def checkpoint_projections(params: DataFrame, keys: list[str], dim: int = 512, seed: int = 42) -> DataFrame:
     """Projection of each checkpoint from its (chunk, values) rows, and its hash."""
     p = params.select(*keys, V.partial_projection(dim, seed)("values", "chunk").alias("_p"))
@@ -342,7 +339,3 @@ def anomaly_summary(scores: DataFrame, keys: list[str], as_of_us: int, seconds:
         F.sum("_e").alias("composite"), *[F.count_if(bad & (F.col("anomaly_type") == t)).alias(t) for t in TYPE_WEIGHTS],
         F.count("*").alias("window_size"),
     ).withColumn("sdc_suspected", F.col("composite") > limit)
-
-
-def step_chunk(step: str, width: int) -> Column:
-    return time_chunk(step, width)
