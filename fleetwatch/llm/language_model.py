@@ -33,7 +33,7 @@ from fleetwatch.plans.cut import cut, shared_path
 #: Hashes of the marks at the begin and end of a text.
 BEGIN, END = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 #: Bytes of text that a task counts or scores at a time, and bytes of text for each cell.
-SLICE, CELL_BYTES = 12 << 20, 48 << 20
+SLICE, CELL_BYTES = 6 << 20, 24 << 20
 #: Counts are kept in a byte; larger ones beside them.
 MANY = 255
 
@@ -136,6 +136,7 @@ def _count(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or b"" for x in batch.column("text").to_pylist()]
+            del batch
             for i, j in blocks(texts, SLICE):
                 before, word, count = _distinct(*pairs_of(texts[i:j])[:2])
                 edge = _cells(before, bits)
