@@ -36,6 +36,10 @@ from fleetwatch.llm.text import blocks, mix, shingle_sets
 from fleetwatch.plans.cut import cut
 
 
+#: So many set ids, of eight bytes each, are sent to all tasks to choose the n-grams that a round needs.
+SENT = 200_000
+
+
 @dataclass(frozen=True)
 class JoinLimits:
     """n: words in an n-gram; percent: least Jaccard similarity. The rest only divides the work."""
@@ -230,22 +234,37 @@ def _overlap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def count_overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     """a, b and the size of their intersection: counted in each fragment, then summed. pairs: a, b; fragments: set, fragment, data."""
-    left = fragments.select(F.col("set").alias("a"), "fragment", F.col("data").alias("left"))
-    right = fragments.select(F.col("set").alias("b"), "fragment", F.col("data").alias("right"))
     rest = [c for c in pairs.columns if c not in ("a", "b")]
     kinds = "".join(f", {c} long" for c in rest)
-    parts = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", *rest, "fragment", "left", "right").mapInPandas(_overlap, f"a long, b long{kinds}, fragment int, overlap long")
+    wanted = cut(pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct())
+    few = wanted.count() <= SENT
+    fragments = fragments.join(F.broadcast(wanted) if few else wanted, "set", "left_semi")
+    left = fragments.select(F.col("set").alias("a"), F.col("fragment").alias("_f"), F.col("data").alias("left"))
+    right = fragments.select(F.col("set").alias("b"), "fragment", F.col("data").alias("right"))
+    # Both joins are by set alone, so that the fragments are dealt out once for both.
+    parts = pairs.join(left, "a").join(right, (pairs["b"] == right["b"]) & (F.col("_f") - F.col("fragment") == 0)).select("a", pairs["b"], *rest, "fragment", "left", "right")
+    parts = parts.mapInPandas(_overlap, f"a long, b long{kinds}, fragment int, overlap long")
     # A set may have been read from several texts; each fragment of a pair counts once.
     return parts.groupBy("a", "b", *rest, "fragment").agg(F.max("overlap").alias("overlap")).groupBy("a", "b", *rest).agg(F.sum("overlap").alias("overlap"))
 
 
-def _proposals(lists: DataFrame, roots: DataFrame, limits: JoinLimits, every: bool) -> DataFrame:
-    """Pairs that may be linked, across the components known so far. lists: gram, set, n, tried, data."""
-    rows = lists.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    spread = rows.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 < r1").select("gram", "size")
+def _proposals(lists: DataFrame, maps: DataFrame, known: tuple[DataFrame, DataFrame] | None, limits: JoinLimits, every: bool) -> DataFrame:
+    """Pairs that may be linked, across the components known so far.
+
+    lists: gram, set, n; maps: set, data; known: node, root and set, tried, or None at the start.
+    Maps come in last, when the lists inside one component are gone.
+    """
+    if known is None:
+        rows = lists.withColumn("root", F.col("set")).withColumn("tried", F.array().cast("array<long>"))
+        spread = lists.groupBy("gram").agg(F.count("*").alias("size"))
+    else:
+        rows = lists.join(known[0].withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+        spread = rows.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 < r1").select("gram", "size")
     rows = rows.join(spread, "gram")
+    if known is not None:
+        rows = rows.join(known[1], "set", "left")
     last = F.floor((F.col("size") - 1) / limits.block)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("set"), last + 1)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    rows = rows.join(maps, "set").withColumn("block", F.pmod(F.xxhash64("set"), last + 1)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     rows = rows.select("gram", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set", "n", "root", "tried", "data")
     key = ["gram", "low", "high"]
     return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(_compare(limits, every), "set long, partner long, score double, size long, other long")
@@ -277,30 +296,32 @@ def classes(docs: DataFrame, limits: JoinLimits = JoinLimits()) -> tuple[DataFra
         return cut(texts.mapInArrow(_read_parts(limits, wanted, maps), "set long, n long, fragment int, data binary"))
 
     maps = read(lists.select("set").distinct(), True).select("set", "data")
-    lists = cut(lists.join(maps, "set").withColumn("tried", F.array().cast("array<long>")))
     roots = spark.createDataFrame([], "node long, root long")
-    fragments = links = None
+    fragments = links = known = tried = None
     for turn in range(limits.rounds + 1):
         every = turn == limits.rounds
-        found = _proposals(lists, roots, limits, every)
+        found = _proposals(lists, maps, known, limits, every)
         if not every:
             found = found.groupBy("set").agg(F.min_by(F.struct("partner", "size", "other"), F.struct("score", "partner")).alias("p")).select("set", "p.*")
         found = cut(found)
         if found.isEmpty():  # all pairs across components that may be linked have been counted
             break
         if fragments is None:  # a set that proposes nothing here has no partner at all
-            fragments = read(found.select("set").distinct(), False).select("set", "fragment", "data")
-            lists = lists.join(found.select("set").distinct(), "set", "left_semi")
+            named = found.select("set").distinct()
+            fragments = read(named, False).select("set", "fragment", "data")
+            lists = cut(lists.join(named, "set", "left_semi"))
         if not every:
-            tries = found.select("set", F.col("partner").alias("_tried"))
-            lists = cut(lists.join(tries, "set", "left").withColumn("tried", F.when(F.col("_tried").isNull(), F.col("tried")).otherwise(F.array_append("tried", F.col("_tried")))).drop("_tried"))
+            tries = found.select("set", F.array("partner").alias("tried"))
+            tried = tries if tried is None else cut(tried.union(tries).groupBy("set").agg(F.flatten(F.collect_list("tried")).alias("tried")))  # one for each round at most
         first = F.col("set") < F.col("partner")
         pairs = found.select(F.least("set", "partner").alias("a"), F.greatest("set", "partner").alias("b"), F.when(first, F.col("size")).otherwise(F.col("other")).alias("na"), F.when(first, F.col("other")).otherwise(F.col("size")).alias("nb")).distinct()
+        pairs = cut(pairs)
         both = count_overlaps(pairs, fragments)
         linked = both.where(100 * F.col("overlap") >= limits.percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
         # What is joined already is a star for each component.
         links = linked if links is None else linked.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
         roots = components(links)
+        known = roots, tried
     return members, roots
 
 
