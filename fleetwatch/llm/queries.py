@@ -42,7 +42,7 @@ def op5_poisson_mix(spark, sf_dir):
 
 @query()
 def op8_shuffle_shards(spark, sf_dir):
-    """All documents in 16 shards of equal counts, in random order."""
+    """All documents written to 16 shards of equal counts in random order, and read back."""
     out = sharding.assign_shards(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

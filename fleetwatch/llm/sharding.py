@@ -1,20 +1,22 @@
 """Shards by a two-pass external shuffle.
 
-Pass one scatters records into buckets by a seeded hash; there are so many buckets that each
-holds about `bucket_bytes`. Pass two permutes each bucket with Fisher and Yates' algorithm
-(Spark's `shuffle`). Buckets in order, each permuted, are one random order of all records;
-shards are equal ranges of it, so their row counts differ by one at most.
-
-Only the key of a record goes through the permutation. Records with equal keys are counted
-before they are scattered, and numbered after, so that no key makes a bucket large.
+Pass one scatters whole records into buckets by a seeded hash and writes them, as the files of
+one Spark shuffle; there are so many buckets that each holds about `bucket_bytes`. Pass two reads
+a bucket, permutes it with Fisher and Yates' algorithm (Spark's `shuffle`, drawn for the bucket's
+places) and writes its records into the shards. Buckets in order, each permuted, are one random
+order of all records; shards are equal ranges of it, so their row counts differ by one at most.
+
+Every record's bucket, and its place there, follow from its contents and the seed, so a repeated
+task deals out the same records again. Only records so often repeated that they would make a
+bucket large get a random bucket each; they are written with it before they are scattered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwatch.plans.cut import cut
+from fleetwatch.plans.cut import cut, shared_path
 
 #: Bytes that a record takes in a bucket beside its text.
 OVERHEAD = 64
@@ -22,52 +24,65 @@ OVERHEAD = 64
 
 def records(docs: DataFrame) -> DataFrame:
     """doc_id, size (UTF-8 bytes, 0 for null, plus 1) and CRC-32 of each text; null ids stay null."""
+    return docs.select(*_keys())
+
+
+def _keys() -> list[Column]:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return [F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")]
 
 
 def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 20240613, bucket_bytes: int = 32 << 20) -> DataFrame:
-    """A shard and a slot for each record: doc_id, size, text_crc32, occurrence, shard, slot.
+    """The shard and slot of each record, read back from written shards: doc_id, size, text_crc32, shard, slot.
+
+    Slots count from 0 in each shard without gaps. An empty table gives an empty table; with
+    fewer records than shards some shards are empty.
+    """
+    path, names = shared_path(docs.sparkSession, "shards"), ("into_shard", "into_slot")
+    write_shards(docs, path, shards, seed, bucket_bytes, names)
+    schema = docs.select("doc_id", "text", F.lit(0).alias(names[0]), F.lit(0).cast("long").alias(names[1])).schema
+    back = docs.sparkSession.read.schema(schema).parquet(path)
+    return back.select(*_keys(), F.col(names[0]).alias("shard"), F.col(names[1]).alias("slot"))
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 20240613, bucket_bytes: int = 32 << 20, names: tuple[str, str] = ("shard", "slot")) -> None:
+    """Write all columns of `docs` as Parquet under `path`, a folder for each shard, rows of a file by slot.
 
-    Slots count from 0 in each shard without gaps. Records equal in all of doc_id, size and
-    text_crc32 are told apart by `occurrence`, from 1. Other columns of `docs` are not used.
-    An empty table gives an empty table; with fewer records than shards some shards are empty.
+    `names` are those of the shard's and the slot's column, which `docs` must not have.
     """
+    if clash := {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns {sorted(clash)} are there already: give other names")
     key = ["doc_id", "size", "text_crc32"]
     counted = cut(records(docs).groupBy(*key).agg(F.count("*").alias("n")))
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("size") + OVERHEAD) * F.col("n")), F.lit(0))).first()
+    weight = (F.col("size") + OVERHEAD) * F.col("n")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(weight), F.lit(0))).first()
     rows, buckets = max(1, total[0]), max(4 * shards, -(-total[1] // bucket_bytes))
-    scattered = counted.select(*key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("occurrence")).select(
-        F.pmod(F.xxhash64(F.lit(seed), *key, "occurrence"), F.lit(buckets)).alias("bucket"), F.struct(*key, "occurrence").alias("record"))
-    # The sorted lists are written before they are permuted: a lost task then reads the same
-    # list in the same order again and draws the same permutation.
-    lists = cut(scattered.groupBy("bucket").agg(F.sort_array(F.collect_list("record")).alias("records"), F.count("*").alias("n")))
-    ahead = F.coalesce(F.sum("n").over(_before()), F.lit(0))
-    offsets = lists.select("bucket", ahead.alias("offset"))
-    at = F.col("offset") + F.col("pos")
-    return (
-        lists.select("bucket", F.shuffle("records", seed).alias("records")).join(offsets, "bucket")
-        .select("offset", F.posexplode("records").alias("pos", "record"))
-        .select("record.*", at.alias("at")).withColumn("shard", F.expr(f"at * {shards} div {rows}").cast("int"))
-        .withColumn("slot", F.expr(f"at - (shard * {rows}L + {shards - 1}) div {shards}")).drop("at")
-    )
+    bucket = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(buckets)).alias("bucket")
+
+    held = docs.select(F.struct(*docs.columns).alias("row"), *_keys())
+    plain = held.select("row", *key, bucket)
+    sizes = counted.select(bucket, "n")
+    hot = counted.where(weight > bucket_bytes).select(*[F.col(k).alias(f"_{k}") for k in key])  # one for each bucket at most
+    if not hot.isEmpty():
+        same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("size") == F.col("_size")) & (F.col("text_crc32") == F.col("_text_crc32"))
+        often = cut(held.join(F.broadcast(hot), same, "left_semi").select("row", *key, F.floor(F.rand(seed) * buckets).alias("bucket")))
+        plain = plain.join(F.broadcast(hot), same, "left_anti").union(often)
+        sizes = counted.join(F.broadcast(hot), same, "left_anti").select(bucket, "n").union(often.groupBy("bucket").agg(F.count("*").alias("n")))
+
+    sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("n"))
+    offsets = cut(sizes.select("bucket", "n", F.coalesce(F.sum("n").over(_before()), F.lit(0)).alias("offset")))
+    # Buckets are sorted before places are drawn: a repeated task then draws the same ones.
+    places = offsets.repartition(buckets, "bucket").sortWithinPartitions("bucket").select("bucket", "offset", F.shuffle(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), seed).alias("places"))
+    # Records that are alike in key and contents may take each other's place.
+    mixed = F.xxhash64(*[F.col("row")[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"])
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed), *key), *key, mixed)
+    dealt = plain.repartition(buckets, "bucket").withColumn("nth", F.row_number().over(order))
+    at = dealt.join(places, "bucket").select("row", (F.col("offset") + F.get("places", F.col("nth") - 1)).alias("at"))
+    at = at.withColumn("to", F.expr(f"at * {shards} div {rows}").cast("int"))
+    out = at.select("row.*", F.col("to").alias(names[0]), F.expr(f"at - (to * {rows}L + {shards - 1}) div {shards}").alias(names[1]))
+    out.sortWithinPartitions(*names).write.partitionBy(names[0]).parquet(path)
 
 
-def _before():
-    from pyspark.sql import Window
 
+def _before():
     return Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one small row for each bucket
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 20240613, bucket_bytes: int = 32 << 20) -> None:
-    """Write all columns of `docs` as Parquet under `path`, a folder for each shard, rows by slot."""
-    from pyspark.sql import Window
-
-    key = ["doc_id", "size", "text_crc32"]
-    slots = assign_shards(docs, shards, seed, bucket_bytes).select(*[F.col(k).alias(f"_{k}") for k in key], F.col("occurrence").alias("_occurrence"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    mine = docs.withColumns({"_d": F.col("doc_id").cast("long"), "_s": (F.octet_length(text) + 1).cast("long"), "_c": F.crc32(text)})
-    mine = mine.withColumn("_o", F.row_number().over(Window.partitionBy("_d", "_s", "_c").orderBy("_d")).cast("long"))
-    same = F.col("_d").eqNullSafe(F.col("_doc_id")) & (F.col("_s") == F.col("_size")) & (F.col("_c") == F.col("_text_crc32")) & (F.col("_o") == F.col("_occurrence"))
-    out = mine.join(slots, same).select(*docs.columns, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
-    out.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -66,3 +66,23 @@ def test_written_shards_hold_all_columns(awkward, tmp_path, spark):
     sharding.write_shards(awkward.drop("shard"), str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == awkward.count() and set(back.columns) == {*awkward.columns, "slot"}
+
+
+def test_shards_come_from_written_records(awkward, tmp_path, spark, monkeypatch):
+    wrote = []
+    write = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda docs, path, *rest: (wrote.append(path), write(docs, path, *rest)))
+    want = {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.assign_shards(awkward, 4).collect()}
+    files = spark.read.parquet(wrote[0])
+    assert {(r["doc_id"], r["into_shard"], r["into_slot"]) for r in files.collect()} == want
+    assert Counter(map(str, files.select(awkward.columns).collect())) == Counter(map(str, awkward.collect()))
+
+
+def test_equal_keys_keep_their_other_columns(tmp_path, spark):
+    docs = spark.range(3000).selectExpr("IF(id < 2000, 7, id) AS doc_id", "IF(id < 2000, 'same', CAST(id AS STRING)) AS text", "id AS other")
+    sharding.write_shards(docs, str(tmp_path / "out"), 4, bucket_bytes=4000)  # doc 7 would fill 34 buckets
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r["other"] for r in rows) == list(range(3000))
+    spread = Counter(r["shard"] for r in rows if r["doc_id"] == 7)
+    assert all(400 < spread[k] < 600 for k in range(4))
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(k, s) for k in range(4) for s in range(750)]
