@@ -1,8 +1,8 @@
 """URL verdicts: a list of host and path rules first, mined association rules for the rest.
 
 URLs become sets of tokens (scheme, host, registered name, labels, path words, file ending,
-query keys). FP-growth mines which token sets go with a bad label; rules with enough support
-and confidence, and none that a shorter rule already covers, are kept. Each rule is listed
+query keys). Token sets that fit enough bad URLs are grown level by level; those with enough
+confidence, and none that a shorter rule already covers, are kept. Each rule is listed
 under its rarest token; a URL looks up its tokens in that inverted index and the few rules
 found are compared with all its tokens.
 """
@@ -10,8 +10,8 @@ found are compared with all its tokens.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +20,15 @@ from fleetwatch.plans.cut import cut
 #: (verdict, host and path). A rule fits its host and all subdomains, if the path starts with the rule's.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
-BAD = "label:bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
 class MiningLimits:
-    """`support`: share of labelled URLs, of which there must be `least` as well; `items`: the most tokens in a rule."""
+    """`least`: bad URLs that a rule must fit, however many are labelled; `confidence`: least share of bad ones among all it fits."""
 
-    support: float = 0.002
     least: int = 25
     confidence: float = 0.6
-    items: int = 4
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -69,26 +66,40 @@ def tokens(url: Column) -> Column:
 def mine(labelled: DataFrame, limits: MiningLimits = MiningLimits()) -> DataFrame:
     """Rules from labelled URLs (url, bad boolean): items, confidence, support, first (the rarest item).
 
-    Rows with a null label take no part. Nothing to learn from, or no rule good enough: no rows.
+    Token sets grow by a token a level, as long as there are any. A set that is a rule grows no
+    further, as the rule covers all larger ones; neither does one of which a token can go without
+    a URL more fitting it, as what is left grows in its place. Rows with a null label take no
+    part. Nothing to learn from, or no rule good enough: no rows.
     """
-    spark = labelled.sparkSession
-    known = cut(labelled.where("bad IS NOT NULL").select(F.when(F.col("bad"), F.array_append(tokens(F.col("url")), F.lit(BAD))).otherwise(tokens(F.col("url"))).alias("items")))
-    empty = spark.createDataFrame([], "items array<string>, confidence double, support double, first string")
-    n = known.count()
-    support = max(limits.support, limits.least / max(n, 1))
-    if support > 1:
-        return empty
-    # A URL of many tokens costs FP-growth as many as are frequent, so rare ones go first.
-    counts = cut(known.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= support * n))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=limits.confidence).fit(known)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= limits.items))
-    rules = cut(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support"))
-    # A rule of which one item can go, and what is left is a rule as well, adds nothing.
-    shorter = rules.where(F.size("items") > 1).select("items", F.explode("items").alias("item")).select("items", F.array_remove("items", F.col("item")).alias("rest"))
-    covered = shorter.join(rules.select(F.col("items").alias("rest")), "rest").select("items").distinct()
-    rules = rules.join(covered, "items", "left_anti")
-    rarest = rules.select("items", F.explode("items").alias("item")).join(counts, "item").groupBy("items").agg(F.min_by("item", F.struct("n", "item")).alias("first"))
-    return cut(rules.join(rarest, "items").select("items", "confidence", "support", "first"))
+    url = F.col("url")
+    rows = labelled.where("bad IS NOT NULL").select(F.array_sort(tokens(url)).alias("items"), F.col("bad").cast("long").alias("bad"))
+    rows = cut(rows.groupBy("items").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).withColumn("row", F.monotonically_increasing_id()))
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    held = rows.select("row", "n", "bad", F.explode("items").alias("item")).select("row", "n", "bad", F.array("item").alias("items"))
+    rules, live, counts, size = [], None, None, 1
+    while True:
+        found = held.groupBy("items").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("bad") >= limits.least)
+        if live is None:
+            found = found.withColumn("wider", F.lit(total))
+        else:  # all sets of a token less have to be alive
+            less = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.concat(F.slice("items", 1, i - 1), F.slice("items", i + 1, size)))
+            parts_of = found.select("*", F.explode(less).alias("less")).join(live.select(F.col("items").alias("less"), F.col("n").alias("wider")), "less")
+            found = parts_of.groupBy("items", "n", "bad").agg(F.min("wider").alias("wider"), F.count("*").alias("k")).where(F.col("k") == size).drop("k")
+        found = cut(found.withColumn("rule", F.col("bad") / F.col("n") >= limits.confidence))
+        counts = found.select(F.col("items")[0].alias("item"), "n") if counts is None else counts
+        rules.append(found.where("rule"))
+        live = found.where("NOT rule AND n < wider")
+        if live.isEmpty():
+            break
+        held = cut(held.join(live.select("items"), "items"))
+        # Two sets of a row that differ in their last token only make one of the next level.
+        ends = held.groupBy("row", "n", "bad", F.slice("items", 1, size - 1).alias("head")).agg(F.sort_array(F.collect_list(F.element_at("items", -1))).alias("ends"))
+        pairs = ends.select("row", "n", "bad", "head", "ends", F.posexplode("ends").alias("at", "one")).select("row", "n", "bad", "head", "one", F.explode(F.slice("ends", F.col("at") + 2, F.size("ends"))).alias("two"))
+        held = pairs.select("row", "n", "bad", F.concat("head", F.array("one", "two")).alias("items"))
+        size += 1
+    found = reduce(DataFrame.union, rules)
+    rarest = found.select("items", F.explode("items").alias("item")).join(counts, "item").groupBy("items").agg(F.min_by("item", F.struct("n", "item")).alias("first"))
+    return cut(found.join(rarest, "items").select("items", (F.col("bad") / F.col("n")).alias("confidence"), (F.col("bad") / F.lit(max(total, 1))).alias("support"), "first"))
 
 
 def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:

@@ -106,3 +106,21 @@ def test_mined_rules_find_planted_combinations(spark):
     got = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(pages, pages.where("page_id < 800"), rules=[("allow", "nowhere.example/")]).collect()}
     for i, url, _ in rows[800:]:
         assert got[i] == ("block" if "/casino/" in url and "?ref" in url else "allow")
+
+
+def test_few_bad_urls_of_many_make_a_rule(spark):
+    good = spark.range(30_000).selectExpr("concat('http://h', id % 40, '.org/p/', id) AS url", "false AS bad")
+    few = spark.range(30).selectExpr("concat('http://evil.net/p/', id) AS url", "true AS bad")  # 0.1 % of all
+    mined = {tuple(r["items"]): (r["confidence"], r["support"]) for r in url_rules.mine(good.union(few)).collect()}
+    assert mined["host:evil.net",] == (1.0, pytest.approx(30 / 30_030))
+    assert url_rules.mine(good.union(few.limit(24))).count() == 0
+
+
+def test_rules_of_more_than_four_tokens(spark):
+    words = "abcdef"
+    rows = [(f"http://x.org/{'/'.join(words)}", True)] * 60
+    for k in range(6):  # any five of the words are mostly good
+        rows += [(f"http://x.org/{'/'.join(words[:k] + words[k + 1 :])}", False)] * 60
+    mined = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert [sorted(r["items"]) for r in mined] == [[f"path:{w}" for w in words]]
+    assert (mined[0]["confidence"], mined[0]["support"]) == (1.0, pytest.approx(60 / 420))
