@@ -125,7 +125,7 @@ def _read_parts(limits: JoinLimits, wanted, maps: bool):
     shift = np.uint64(64 - (limits.fragments - 1).bit_length())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = wanted.value
+        there, seen = wanted.value, set()
         for batch in batches:
             ids = batch.column("doc_id").fill_null(-1).to_numpy()
             chosen = np.flatnonzero(there[(mix(ids.view(np.uint64)) & np.uint64(cells.CELLS - 1)).astype(np.int64)])
@@ -134,14 +134,14 @@ def _read_parts(limits: JoinLimits, wanted, maps: bool):
             for _, _, sets in _texts(batch.take(pa.array(chosen)), limits.n):
                 out = {"set": [], "n": [], "fragment": [], "data": []}
                 for s in sets:
-                    if not len(s):
+                    if not len(s) or (i := _set_id(s)) in seen:
                         continue
+                    seen.add(i)
                     if maps:
                         parts = [(-1, parity(s).tobytes())]
                     else:
                         edges = np.searchsorted(s >> shift, np.arange(limits.fragments + 1, dtype=np.uint64))
                         parts = [(k, s[edges[k] : edges[k + 1]].tobytes()) for k in range(limits.fragments) if edges[k + 1] > edges[k]]
-                    i = _set_id(s)
                     for k, data in parts:
                         for name, value in zip(out, (i, len(s), k, data)):
                             out[name].append(value)
@@ -244,8 +244,7 @@ def count_overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     # Both joins are by set alone, so that the fragments are dealt out once for both.
     parts = pairs.join(left, "a").join(right, (pairs["b"] == right["b"]) & (F.col("_f") - F.col("fragment") == 0)).select("a", pairs["b"], *rest, "fragment", "left", "right")
     parts = parts.mapInPandas(_overlap, f"a long, b long{kinds}, fragment int, overlap long")
-    # A set may have been read from several texts; each fragment of a pair counts once.
-    return parts.groupBy("a", "b", *rest, "fragment").agg(F.max("overlap").alias("overlap")).groupBy("a", "b", *rest).agg(F.sum("overlap").alias("overlap"))
+    return parts.groupBy("a", "b", *rest).agg(F.sum("overlap").alias("overlap"))
 
 
 def _proposals(lists: DataFrame, maps: DataFrame, known: tuple[DataFrame, DataFrame] | None, limits: JoinLimits, every: bool) -> DataFrame:
@@ -290,10 +289,11 @@ def classes(docs: DataFrame, limits: JoinLimits = JoinLimits()) -> tuple[DataFra
     lists = cut(shared.join(one.select("gram"), "gram"))
 
     def read(named: DataFrame, maps: bool) -> DataFrame:
-        """Parts of the sets of some classes, each read from the text with the smallest id; a few others come along."""
+        """Parts of the sets of some classes, each once, read from the text with the smallest id; a few others come along."""
         chosen = members.join(named, "set").groupBy("set").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL")
         wanted = spark.sparkContext.broadcast(cells.gather(chosen.select("doc_id").mapInPandas(_cell_counts, "block long, counts binary")) > 0)
-        return cut(texts.mapInArrow(_read_parts(limits, wanted, maps), "set long, n long, fragment int, data binary"))
+        # Copies of a text may all have been read, as may others whose ids fall in a wanted cell.
+        return cut(texts.mapInArrow(_read_parts(limits, wanted, maps), "set long, n long, fragment int, data binary").dropDuplicates(["set", "fragment"]))
 
     maps = read(lists.select("set").distinct(), True).select("set", "data")
     roots = spark.createDataFrame([], "node long, root long")

@@ -76,3 +76,18 @@ def test_components_across_tasks(spark, monkeypatch):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 100) for i in range(1, 50)] + [(7, 7), (200, 201)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 150)}, 200: 200, 201: 200}
+
+
+def test_copies_of_a_text_are_joined_once(spark, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base.replace("w30 ", "other ")
+    rows = [(1, base)] * 40 + [(2, near)]
+    seen = []
+    propose, count = ngram_join._proposals, ngram_join.count_overlaps
+    monkeypatch.setattr(ngram_join, "_proposals", lambda lists, maps, *rest: (seen.append(maps.groupBy("set").count()), propose(lists, maps, *rest))[1])
+    monkeypatch.setattr(ngram_join, "count_overlaps", lambda pairs, fragments: (seen.append(fragments.groupBy("set", "fragment").count()), count(pairs, fragments))[1])
+    limits = ngram_join.JoinLimits(percent=70)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(docs, limits).collect()}
+    assert got == {(1, 1), (2, 1)}
+    assert len(seen) > 1 and all(r["count"] == 1 for f in seen for r in f.collect())
