@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fleetwatch.config import AuditConfig
 from fleetwatch.functions.hashing import ZERO_HASH, chain_hash, hex_lower, merkle_roots, sha256
@@ -63,6 +68,27 @@ def seal_batches(numbered: DataFrame, seeds: DataFrame | None = None, first_id:
     )
 
 
+def seal_serial(numbered: DataFrame, last_hash: bytes, first_id: int = 1) -> DataFrame:
+    """Chain all rows one after another from `last_hash`, across batches. One task streams them in order of seq."""
+    rows = numbered.select((F.col("seq") + first_id).alias("entry_id"), *_FIELDS, "batch_sequence").repartition(1).sortWithinPartitions("entry_id")
+    schema = StructType([f for f in rows.schema.fields if f.name != "batch_sequence"])
+    schema = schema.add("previous_hash", "binary").add("entry_hash", "binary").add(rows.schema["batch_sequence"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = last_hash
+        for batch in batches:
+            hashes = [h]
+            for i, data in zip(batch.column("entry_id").to_pylist(), batch.column("data").to_pylist()):
+                if data is None:
+                    raise ValueError(f"entry {i} has no payload to seal")
+                h = hashlib.sha256(data + h).digest()
+                hashes.append(h)
+            columns = {n: batch.column(n) for n in batch.schema.names} | {"previous_hash": pa.array(hashes[:-1], pa.binary()), "entry_hash": pa.array(hashes[1:], pa.binary())}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in schema.names], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def linked_seeds(numbered: DataFrame) -> DataFrame:
     """Start hash of each batch: the Merkle root of the batch before's payload hashes.
 

@@ -98,12 +98,10 @@ def stream_heartbeat_lost(events: DataFrame, timeout: str = "120 seconds", late:
 
 
 def seal_stream(pending: DataFrame, root: str, checkpoint: str, tie: str, cfg: AuditConfig = AuditConfig()):
-    """Seal each micro-batch onto the ledger under `root`.
+    """Seal each micro-batch onto the ledger under `root`, as one unbroken serial chain.
 
-    The first batch of a micro-batch continues from the ledger's last entry hash, so
-    micro-batches of at most `batch_rows` rows give one unbroken serial chain. A larger
-    micro-batch is cut into batches that are sealed in parallel, each seeded by the
-    payload root of the batch before.
+    Hashes follow from the order of the rows alone, not from how many arrive together. Each
+    needs the one before, so a micro-batch's rows stream through one task in order.
     """
     spark = pending.sparkSession
 
@@ -112,10 +110,7 @@ def seal_stream(pending: DataFrame, root: str, checkpoint: str, tie: str, cfg: A
             return
         last_id, last_hash, next_batch = ledger_tail(spark, root, batch_id)
         n = AU.number_pending(batch, tie, cfg).withColumn("batch_sequence", F.col("batch_sequence") + next_batch)
-        n = cut(n)
-        head = spark.createDataFrame([(next_batch, bytearray(last_hash))], "batch_sequence long, seed binary")
-        seeds = AU.linked_seeds(n).unionByName(head)
-        write_audit_batch(AU.seal_batches(n, seeds, last_id + 1), root, batch_id)
+        write_audit_batch(cut(AU.seal_serial(cut(n), last_hash, last_id + 1)), root, batch_id)
 
     return (
         pending.writeStream.foreachBatch(seal).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
