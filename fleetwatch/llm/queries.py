@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatch.llm import co_training, host_rules, language_model, mixing, ngram_join, pieces, projected_search, sharding, url_rules, warc
+from fleetwatch.llm import alignment, co_training, host_rules, language_model, mixing, ngram_join, pieces, projected_search, sharding, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,11 @@ def op1_projected_search(spark, sf_dir):
     """The 20 largest inner products of every twentieth vector with all others."""
     vectors = table(spark, sf_dir, "embeddings")
     return projected_search.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query()
+def op13_alignment(spark, sf_dir):
+    """Every document's tokens under two tokenizers, aligned; links weighed by the pairs' document counts."""
+    pair = alignment.Pair.load(*alignment.default_paths())
+    out = alignment.score(alignment.align(table(spark, sf_dir, "documents"), ["doc_id"], pair))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
