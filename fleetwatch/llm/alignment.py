@@ -175,7 +175,7 @@ def _encoder(held) -> Encoder:
     return _ENCODERS[key]
 
 
-def _align(held, schema: pa.Schema, names: list[str], with_groups: bool):
+def _align(held, schema: pa.Schema, names: list[str], with_groups: bool, bound: int, slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held)
         base = encoder.base
@@ -193,7 +193,7 @@ def _align(held, schema: pa.Schema, names: list[str], with_groups: bool):
 
         for batch in batches:
             texts = [x or b"" for x in batch.column("_text").to_pylist()]
-            for i, j in blocks(texts, SLICE):
+            for i, j in blocks(texts, slice_bytes):
                 encoded = encoder.encode(texts[i:j])
                 found = Aligned(encoder, encoded)
                 # Each text's different links, in order of their codes, with how often it has them and whether an identity group is among these.
@@ -208,10 +208,10 @@ def _align(held, schema: pa.Schema, names: list[str], with_groups: bool):
                     other, n = np.unique(code[~plain], return_counts=True)
                     codes.append(other)
                     counts.append(n)
-                    if sum(map(len, codes)) > 2 * HELD:
+                    if sum(map(len, codes)) > 2 * bound:
                         c, n = _sums(codes, counts)
                         codes, counts = [c], [n]
-                        if len(c) > HELD:
+                        if len(c) > bound:
                             yield from flush(c, n)
                             codes, counts = [], []
                 strings = found.group_strings()
@@ -331,7 +331,7 @@ def align(docs: DataFrame, keep: list[str], pair: Pair, text: str = "text", grou
     schema = ", ".join([*_fields(docs, names), *own])
     shape = _arrow(spark.createDataFrame([], schema))
     chosen = docs.select(*names, F.col(text).cast("binary").alias("_text"))
-    done = cut(chosen.mapInArrow(_align(held, shape, names, groups), schema))
+    done = cut(chosen.mapInArrow(_align(held, shape, names, groups, HELD, SLICE), schema))
     return Corpus(done.where("a IS NULL").drop("a", "b", "n"), done.where("a IS NOT NULL").select("a", "b", "n"), Encoder(pair).base)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatch.llm import alignment, co_training, host_rules, language_model, mixing, ngram_join, pieces, projected_search, sharding, url_rules, warc
+from fleetwatch.llm import alignment, co_training, divergence, host_rules, language_model, mixing, ngram_join, pieces, projected_search, sharding, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,9 @@ def op13_alignment(spark, sf_dir):
     pair = alignment.Pair.load(*alignment.default_paths())
     out = alignment.score(alignment.align(table(spark, sf_dir, "documents"), ["doc_id"], pair))
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query(divergence.audit_sql())
+def op11_source_divergence(spark, sf_dir):
+    """How far each source is from the others of its language, and the terms that set it apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
