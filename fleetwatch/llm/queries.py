@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwatch.llm import alignment, co_training, divergence, host_rules, language_model, mixing, ngram_join, pieces, projected_search, sharding, url_rules, warc
+from fleetwatch.llm import alignment, co_training, divergence, host_rules, language_model, licenses, mixing, ngram_join, pieces, projected_search, sharding, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,9 @@ def op13_alignment(spark, sf_dir):
 def op11_source_divergence(spark, sf_dir):
     """How far each source is from the others of its language, and the terms that set it apart."""
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query(licenses.labels_sql())
+def op12_license_scan(spark, sf_dir):
+    """Licence labels of every document, from phrases and from blocks that hold a notice's words."""
+    return licenses.labelled(licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"]))
