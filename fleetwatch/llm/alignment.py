@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,11 @@ HELD = 2_000_000
 #: Pairs in one file of the table.
 FILE = 2_000_000
 #: Bytes of text encoded at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
+
+# Fixed value: how byte-level BPE splits a text before its merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LONG_BLANK = re.compile(r"\s{500}")
 
 MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
 
@@ -89,18 +94,37 @@ class Encoder:
         own |= {self.b_bytes[i]: i for i in reversed(range(size)) if not (fallback[i] or self.b.is_control(i) or self.b.is_unknown(i))}
         #: For each A id the B id of the same bytes (a piece before a single byte), or -1.
         self.same = np.array([-1 if i in extra else own.get(x, -1) for i, x in enumerate(self.a_bytes)], np.int64)
+        self.ranked = self._ranked(spec, symbols)
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
         self.base = size
 
+    @staticmethod
+    def _ranked(spec: dict, symbols: dict[str, int]):
+        """A's vocabulary in a faster encoder, where its merges stand in the order of their ids; else None."""
+        first, model = spec["pre_tokenizer"] or {}, spec["model"]
+        ids = {bytes(symbols[c] for c in s): i for s, i in model["vocab"].items()}
+        made = [ids.get(bytes(symbols[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))) for m in model["merges"]]
+        plain = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not spec["normalizer"] and not model.get("ignore_merges")
+        if not plain or made != list(range(256, 256 + len(made))):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ids, special_tokens={})
+
+    def _encode_a(self, text: str) -> list[int]:
+        # The faster encoder's stack doesn't hold very long runs of blanks.
+        if self.ranked is None or LONG_BLANK.search(text):
+            return self.a.encode(" " + text, add_special_tokens=False).ids
+        return self.ranked.encode_ordinary(" " + text)
+
     def encode(self, texts: list[bytes]) -> list[tuple[list[int], list[int]]]:
         """A and B ids of each text; none for an empty one or one that either side's tokens don't give back."""
         out: list[tuple[list[int], list[int]]] = [([], [])] * len(texts)
         full = [k for k, t in enumerate(texts) if t]
         plain = [texts[k].decode("utf-8", "replace") for k in full]
-        ours = self.a.encode_batch_fast([" " + t for t in plain], add_special_tokens=False)
-        for k, one, other in zip(full, ours, self.b.encode(plain, num_threads=1)):
-            whole, ids = b" " + texts[k], one.ids
+        for k, ids, other in zip(full, map(self._encode_a, plain), self.b.encode(plain, num_threads=1)):
+            whole = b" " + texts[k]
             if b"".join(map(self.a_bytes.__getitem__, ids)) == whole and b"".join(map(self.b_bytes.__getitem__, other)) == whole:
                 out[k] = ids, other
         return out

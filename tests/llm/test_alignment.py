@@ -75,6 +75,17 @@ def test_equals_brute_force(spark, monkeypatch, bound):
     assert got[8]["n_a"] == 0 and got[7]["n_a"] > 0
 
 
+def test_faster_encoder_gives_the_same_ids():
+    """Every code point of the first planes in several places, and very long runs."""
+    encoder = alignment.Encoder(alignment.Pair.load(A_PATH, B_PATH))
+    assert encoder.ranked is not None
+    points = [c for c in [*range(0x3100), *range(0xA000, 0xAC00), *range(0xF900, 0x10400), *range(0x1F000, 0x1FB00)] if not 0xD800 <= c <= 0xDFFF]
+    texts = [f"a{chr(c)}b 1{chr(c)}2 .{chr(c)}, {chr(c)}a  {chr(c)}{chr(c)}x {chr(c)}1" for c in points]
+    texts += ["x" * 100_000, "ab1" * 50_000, " " * 200_000 + "a", "\n" * 3000 + "b \t" * 2000, ".,'s" * 30_000, "\u00a0" * 600]
+    want = [e.ids for e in encoder.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    assert [encoder._encode_a(t) for t in texts] == want
+
+
 def test_identity_map():
     encoder = alignment.Encoder(alignment.Pair.load(A_PATH, B_PATH))
     for i, j in enumerate(encoder.same.tolist()):
