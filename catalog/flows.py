@@ -21,6 +21,7 @@ from fleetwatch.plans.cut import checkpoint_dir
 from fleetwatch.sinks import writers as W
 from fleetwatch.sources import adapters as A
 from fleetwatch.sources import readers as R
+from fleetwatch.streaming import event_time as ET
 from fleetwatch.streaming import stateful as SF
 from fleetwatch.streaming import streams as S
 
@@ -181,48 +182,116 @@ def stream_trust(spark, d):
     return rounded(e.select("gpu_a", "gpu_b", "agreements", "disagreements", "trust"), "trust")
 
 
-@query(with_(EV, FRAME, PATT) + "SELECT * FROM patterns")
+def step_clock(pos):
+    """A second for each step, for series that are ordered by a step number."""
+    return (pos * 1_000_000).alias("ts_us")
+
+
+# The watermark of a stream that has ended stays at its latest time: what lies there is still held.
+_PASSED = "ts_us // 1000 < (SELECT max(ts_us) // 1000 FROM evn)"
+
+
+@query(with_(EV, FRAME, PATT) + f"SELECT * FROM patterns WHERE {_PASSED}")
 def stream_patterns(spark, d):
     SF.use_rocksdb(spark)
-    s = SF.stream_patterns(A.as_events(S.read_stream(spark, f"{d}/events*.parquet")), WIN.window_seconds)
-    return S.run_to_table(s, scratch(spark, "out"), scratch(spark, "cp"))
+    s = ET.stream_patterns(A.as_events(S.read_stream(spark, f"{d}/events*.parquet")), WIN.window_seconds, "0 seconds")
+    return ET.accepted(S.run_to_table(s, scratch(spark, "out"), scratch(spark, "cp")))
+
+
+# Events land in four parts; some come one part late, some two. What the watermark has passed by then is late.
+LATE_DAYS = 3
+_LANDED = EV.replace("evn AS (", "landed AS (") + f""",
+parts AS (SELECT *, least(3, (CASE WHEN ts < TIMESTAMP '2024-01-09' THEN 0 WHEN ts < TIMESTAMP '2024-01-16' THEN 1 WHEN ts < TIMESTAMP '2024-01-23' THEN 2 ELSE 3 END)
+    + CASE WHEN CAST(event_id AS BIGINT) % 31 = 0 THEN 2 WHEN CAST(event_id AS BIGINT) % 7 = 0 THEN 1 ELSE 0 END) AS part FROM landed),
+marks AS (SELECT p.part, (SELECT max(ts_us) // 1000 - {LATE_DAYS * 86_400_000} FROM parts b WHERE b.part < p.part) AS mark FROM (SELECT DISTINCT part FROM parts) p),
+marked AS (SELECT p.*, coalesce(p.ts_us // 1000 < m.mark, false) AS late FROM parts p JOIN marks m USING (part)),
+evn AS (SELECT * FROM marked WHERE NOT late)"""
+
+
+def landings(spark, d):
+    """The events in the four parts in which they land."""
+    e = A.table(spark, d, "events")
+    week = F.when(F.col("ts") < "2024-01-09", 0).when(F.col("ts") < "2024-01-16", 1).when(F.col("ts") < "2024-01-23", 2).otherwise(3)
+    behind = F.when(F.col("event_id") % 31 == 0, 2).when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    part = F.least(F.lit(3), week + behind)
+    return [e.filter(part == k) for k in range(4)]
 
 
-@query(_FSM + "SELECT gpu_uuid, ts_us, source, row_id, action, from_state, to_state, applied FROM run WHERE logged")
+def in_landings(spark, d):
+    """Patterns of a stream that is started again after each landing, from its checkpoint."""
+    SF.use_rocksdb(spark)
+    path, out, cp = scratch(spark, "landed"), scratch(spark, "out"), scratch(spark, "cp")
+    for part in landings(spark, d):
+        part.write.mode("append").parquet(path)
+        got = S.run_to_table(ET.stream_patterns(A.as_events(S.read_stream(spark, path)), WIN.window_seconds, f"{LATE_DAYS} days"), out, cp)
+    return got
+
+
+@query(with_(_LANDED, FRAME, PATT) + f"SELECT * FROM patterns WHERE ts_us // 1000 < (SELECT max(ts_us) // 1000 - {LATE_DAYS * 86_400_000} FROM marked)")
+def stream_patterns_unordered(spark, d):
+    """Rows out of the order of time give what the batch gives on the accepted ones."""
+    return ET.accepted(in_landings(spark, d))
+
+
+@query(with_(_LANDED) + "SELECT gpu_uuid, event_id, ts_us FROM marked WHERE late")
+def stream_late_rows(spark, d):
+    return ET.late_rows(in_landings(spark, d)).select("gpu_uuid", "event_id", "ts_us")
+
+
+@query(with_(EV, FRAME, PATT) + f"SELECT * FROM patterns WHERE {_PASSED}")
+def stream_patterns_resumed(spark, d):
+    """A stream is stopped half way, its state saved as a table, and a new one started from there."""
+    SF.use_rocksdb(spark)
+    e, halves = A.table(spark, d, "events"), []
+    records, floor = None, 0
+    for k, part in enumerate((e.filter("ts < '2024-01-16'"), e.filter("ts >= '2024-01-16'"))):
+        path, cp = scratch(spark, "half"), scratch(spark, "cp")
+        part.write.parquet(path)
+        s = ET.stream_patterns(A.as_events(S.read_stream(spark, path)), WIN.window_seconds, "0 seconds", records, floor)
+        halves.append(ET.accepted(S.run_to_table(s, scratch(spark, "out"), cp)))
+        if k == 0:
+            root = scratch(spark, "state")
+            W.save_state(ET.snapshot(spark, cp, "gpu_uuid"), root, ["gpu_uuid"], "seen_ms", 1)
+            records = W.load_state(spark, root, 1)
+            floor = ET.floor_of(records)
+    return halves[0].union(halves[1])
+
+
+@query(_FSM + f"SELECT gpu_uuid, ts_us, source, row_id, action, from_state, to_state, applied FROM run WHERE logged AND {_PASSED}")
 def stream_quarantine(spark, d):
     SF.use_rocksdb(spark)
     raw = S.read_stream(spark, f"{d}/events*.parquet")
-    s = SF.stream_quarantine(SF.quarantine_inputs(A.as_events(raw), A.as_actions(raw)), CFG, PASSES)
-    return S.run_to_table(s, scratch(spark, "out"), scratch(spark, "cp"))
+    s = ET.stream_quarantine(ET.quarantine_inputs(A.as_events(raw), A.as_actions(raw)), CFG, PASSES, "0 seconds")
+    return ET.accepted(S.run_to_table(s, scratch(spark, "out"), scratch(spark, "cp")))
 
 
-@query(with_(CAP, STATS, _LONG, _chart_sql("lg", "gpu_uuid || '|' || stat_name", "value", "request_id")) + f"SELECT k AS series, o AS pos, n::BIGINT AS count, {r6('ewma')}, {r6('target')}, {r6('sigma')}, breach FROM chart")
+@query(with_(CAP, STATS, _LONG, _chart_sql("lg", "gpu_uuid || '|' || stat_name", "value", "request_id")) + f"SELECT k AS series, o AS pos, n::BIGINT AS count, {r6('ewma')}, {r6('target')}, {r6('sigma')}, breach FROM chart WHERE o < (SELECT max(o) FROM chart)")
 def stream_ewma(spark, d):
     SF.use_rocksdb(spark)
     c = A.as_captures(S.read_stream(spark, f"{d}/embeddings*.parquet"))
     v = I.stats_long(I.logit_stats(c), "gpu_uuid", "request_id").select(
-        F.concat_ws("|", "gpu_uuid", "stat_name").alias("series"), F.col("request_id").alias("pos"), "value")
-    out = S.run_to_table(SF.stream_ewma(v, CHART), scratch(spark, "out"), scratch(spark, "cp"))
-    return rounded(out.drop("value"), "ewma", "target", "sigma")
+        F.concat_ws("|", "gpu_uuid", "stat_name").alias("series"), step_clock(F.col("request_id")), F.col("request_id").alias("pos"), "value")
+    out = ET.accepted(S.run_to_table(ET.stream_ewma(v, CHART, "0 seconds"), scratch(spark, "out"), scratch(spark, "cp")))
+    return rounded(out.drop("value", "ts_us", "severity"), "ewma", "target", "sigma")
 
 
-@query(with_(GN) + f"SELECT run_id || '|' || layer_name AS series, step AS pos, CASE WHEN norm > ew_mean THEN 'gradient_spike' ELSE 'gradient_collapse' END AS anomaly_type, {r6('z', 'score')}, {r6('ew_mean')} FROM gr WHERE z > 2.0 AND n >= 20")
+@query(with_(GN) + f"SELECT run_id || '|' || layer_name AS series, step AS pos, CASE WHEN norm > ew_mean THEN 'gradient_spike' ELSE 'gradient_collapse' END AS anomaly_type, {r6('z', 'score')}, {r6('ew_mean')} FROM gr WHERE z > 2.0 AND n >= 20 AND step < (SELECT max(l_orderkey * 8 + l_linenumber) FROM lineitem)")
 def stream_gradients(spark, d):
     SF.use_rocksdb(spark)
     li = S.read_stream(spark, f"{d}/lineitem*.parquet")
-    v = li.select(F.concat_ws("|", "l_returnflag", A.gpu(F.col("l_suppkey"))).alias("series"),
-                  (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), (F.col("l_extendedprice") / 997).alias("value"))
-    out = S.run_to_table(SF.stream_gradients(v, GCFG), scratch(spark, "out"), scratch(spark, "cp"))
-    return rounded(out, "score", "ew_mean")
+    pos = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    v = li.select(F.concat_ws("|", "l_returnflag", A.gpu(F.col("l_suppkey"))).alias("series"), step_clock(pos), pos.alias("pos"), (F.col("l_extendedprice") / 997).alias("value"))
+    out = ET.accepted(S.run_to_table(ET.stream_gradients(v, GCFG, "0 seconds"), scratch(spark, "out"), scratch(spark, "cp")))
+    return rounded(out.drop("ts_us"), "score", "ew_mean")
 
 
 @query()
 def stream_loss(spark, d):
     SF.use_rocksdb(spark)
     o = S.read_stream(spark, f"{d}/orders*.parquet")
-    v = o.select(F.col("o_orderpriority").alias("series"), F.col("o_orderkey").alias("pos"),
+    v = o.select(F.col("o_orderpriority").alias("series"), step_clock(F.col("o_orderkey")), F.col("o_orderkey").alias("pos"),
                  F.when(F.col("o_orderkey") % 211 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice") / 1000).alias("value"))
-    return S.run_to_table(SF.stream_loss(v, LossConfig(sigma=1.5)), scratch(spark, "out"), scratch(spark, "cp"))
+    return ET.accepted(S.run_to_table(ET.stream_loss(v, LossConfig(sigma=1.5), "0 seconds"), scratch(spark, "out"), scratch(spark, "cp"))).drop("ts_us")
 
 
 @query(with_(CAP, STATS, _JSD) + f"SELECT input_hash, replica_a, replica_b, request_a, request_b, {r6('d', 'divergence')} FROM div WHERE d > 0.01")

@@ -1,23 +1,15 @@
-"""Keyed streaming operators with their own state (transformWithState)."""
+"""Alert cool-down as a keyed stream with its own state; streams in event order are in `event_time`."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from fleetwatch.config import BeliefConfig, EwmaConfig, GradientConfig, LossConfig
-from fleetwatch.functions.labels import TRANSITIONS
-from fleetwatch.operators.patterns import PATTERNS, SIGNALS
-from fleetwatch.operators.quarantine import ESCALATIONS
-
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PATTERN_SCHEMA = "gpu_uuid string, event_id string, ts_us bigint, pattern string, confidence double, severity int, sm_id int, contributing bigint"
 
 
 def use_rocksdb(spark) -> None:
@@ -29,250 +21,6 @@ def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(parts).sort_values(by, kind="stable") if parts else pd.DataFrame()
 
 
-class PatternProcessor(StatefulProcessor):
-    """Signals of the device's trailing window; every event reports what its window
-    matches. Only signals are kept, so passes do not grow the state."""
-
-    def __init__(self, window_us: int):
-        self.window_us = window_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.signals = handle.getListState("signals", "ts_us bigint, event_type string, sm_id int")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows, ["ts_us", "event_id"])
-        kept = [(int(t), k, s) for t, k, s in (self.signals.get() if self.signals.exists() else [])]
-        kinds, out = set(SIGNALS.values()), []
-        for ts, same in batch.groupby("ts_us", sort=True):
-            ts = int(ts)
-            for r in same.itertuples():
-                if r.event_type in kinds:
-                    kept.append((ts, r.event_type, None if pd.isna(r.sm_id) else int(r.sm_id)))
-            kept = [k for k in kept if k[0] >= ts - self.window_us]
-            found = self.matches(kept)
-            out += [(key[0], e, ts, *f) for e in same["event_id"] for f in found]
-        if kept:
-            self.signals.put(kept)
-        else:
-            self.signals.clear()
-        cols = ["gpu_uuid", "event_id", "ts_us", "pattern", "confidence", "severity", "sm_id", "contributing"]
-        yield pd.DataFrame(out, columns=cols).astype({"sm_id": "Int32"})
-
-    @staticmethod
-    def matches(window: list[tuple]) -> list[tuple]:
-        n = {name: sum(k == t for _, k, _ in window) for name, t in SIGNALS.items()}
-        fail, anom = n["n_fail"], n["n_inference"] + n["n_training"] + n["n_invariant"]
-        seen = sum(n[x] > 0 for x in ("n_fail", "n_inference", "n_training", "n_invariant", "n_ecc"))
-        first = next((s for _, k, s in window if k == "probe_fail"), None)
-        ecc = fail + n["n_inference"] + n["n_training"]
-        hits = [
-            ("probe_and_anomaly", fail and anom, first, fail + anom),
-            ("thermal_correlated", fail and n["n_thermal"], None, fail + n["n_thermal"]),
-            ("anomaly_without_probe", not fail and anom, None, anom),
-            ("multi_signal", seen >= 2, None, fail + anom + n["n_ecc"]),
-            ("power_correlated", fail and n["n_power"], None, fail + n["n_power"]),
-            ("ecc_correlated", n["n_ecc"] and ecc, None, n["n_ecc"] + ecc),
-        ]
-        sms: dict[int, int] = {}
-        for _, k, s in window:
-            if k == "probe_fail" and s is not None:
-                sms[s] = sms.get(s, 0) + 1
-        hits += [("sm_localized", c >= 2, s, c) for s, c in sms.items()]
-        return [(p, PATTERNS[p][0], PATTERNS[p][1], sm, size) for p, ok, sm, size in hits if ok]
-
-    def close(self) -> None:
-        pass
-
-
-def stream_patterns(events: DataFrame, window_seconds: int = 300) -> DataFrame:
-    """Patterns per event; rows later than the watermark are dropped before."""
-    cols = events.select("gpu_uuid", "event_id", "ts_us", "event_type", "sm_id")
-    return cols.groupBy("gpu_uuid").transformWithStateInPandas(
-        PatternProcessor(window_seconds * 1_000_000), PATTERN_SCHEMA, "Append", "None"
-    )
-
-
-class QuarantineProcessor(StatefulProcessor):
-    """Belief counts and lifecycle state of a device; reports each transition and each
-    rejected operator action."""
-
-    FIELDS = ["state", "passes", "failures", "anomalies", "tested"]
-
-    def __init__(self, cfg: BeliefConfig, pass_count: int):
-        self.cfg, self.pass_count = cfg, pass_count
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.record = handle.getValueState("record", "state string, passes bigint, failures bigint, anomalies bigint, tested bigint")
-
-    def target(self, s: dict) -> str | None:
-        a = self.cfg.prior_alpha + s["passes"]
-        b = self.cfg.prior_beta + s["failures"] * self.cfg.failure_weight + s["anomalies"] * self.cfg.anomaly_weight
-        r = a / (a + b)
-        if r < self.cfg.condemn_below:
-            return "condemn"
-        if r < self.cfg.quarantine_below:
-            return "quarantine"
-        return "mark_suspect" if r < self.cfg.suspect_below else None
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows, ["ts_us", "is_action", "row_id"])
-        s = dict(zip(self.FIELDS, self.record.get(), strict=True)) if self.record.exists() else {
-            "state": "HEALTHY", "passes": 0, "failures": 0, "anomalies": 0, "tested": 0}
-        out = []
-
-        def move(r, source: str, action: str, to: str | None) -> None:
-            out.append((key[0], int(r.ts_us), source, r.row_id, action, s["state"], to or s["state"], to is not None))
-            if to is not None:
-                s["state"], s["tested"] = to, 0
-
-        for r in batch.itertuples():
-            if r.is_action:
-                move(r, "operator", r.action, TRANSITIONS.get(f"{s['state']}|{r.action}"))
-                continue
-            kind = r.event_type
-            s["passes"] += kind == "probe_pass"
-            s["failures"] += kind == "probe_fail"
-            s["anomalies"] += kind in ("inference_anomaly", "training_anomaly", "invariant_violation", "probe_error")
-            if kind == "probe_pass" and s["state"] == "DEEP_TEST":
-                s["tested"] += 1
-                if s["tested"] >= self.pass_count:
-                    move(r, "deep_test", "reinstate", "HEALTHY")
-            action = self.target(s)
-            to = TRANSITIONS.get(f"{s['state']}|{action}")
-            if to and f"{s['state']}|{to}" in ESCALATIONS:
-                move(r, "tier", action, to)
-        self.record.update(tuple(int(s[f]) if f != "state" else s[f] for f in self.FIELDS))
-        cols = ["gpu_uuid", "ts_us", "source", "row_id", "action", "from_state", "to_state", "applied"]
-        yield pd.DataFrame(out, columns=cols)
-
-    def close(self) -> None:
-        pass
-
-
-def quarantine_inputs(events: DataFrame, actions: DataFrame) -> DataFrame:
-    e = events.select("gpu_uuid", "ts_us", F.col("event_id").alias("row_id"), F.lit(0).alias("is_action"), "event_type",
-                      F.lit(None).cast("string").alias("action"))
-    a = actions.select("gpu_uuid", "ts_us", F.col("action_id").alias("row_id"), F.lit(1).alias("is_action"),
-                       F.lit(None).cast("string").alias("event_type"), "action")
-    return e.unionByName(a)
-
-
-def stream_quarantine(inputs: DataFrame, cfg: BeliefConfig = BeliefConfig(), pass_count: int = 1000) -> DataFrame:
-    schema = "gpu_uuid string, ts_us bigint, source string, row_id string, action string, from_state string, to_state string, applied boolean"
-    return inputs.groupBy("gpu_uuid").transformWithStateInPandas(QuarantineProcessor(cfg, pass_count), schema, "Append", "None")
-
-
-class TrackerProcessor(StatefulProcessor):
-    """Control chart over `value` (cumulative target and sigma, smoothed test value)."""
-
-    def __init__(self, cfg: EwmaConfig):
-        self.cfg = cfg
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.acc = handle.getValueState("acc", "n bigint, s double, ss double, ewma double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, s, ss, y = self.acc.get() if self.acc.exists() else (0, 0.0, 0.0, 0.0)
-        spread = math.sqrt(self.cfg.lam / (2 - self.cfg.lam))
-        out = []
-        for r in _ordered(rows, ["pos"]).itertuples():
-            v = float(r.value)
-            n, s, ss = n + 1, s + v, ss + v * v
-            y = v if n == 1 else self.cfg.lam * v + (1 - self.cfg.lam) * y
-            target = s / n
-            sigma = 0.0 if n == 1 else math.sqrt(max(ss / n - target * target, 1e-15))
-            breach = n > 1 and n >= self.cfg.burn_in and sigma >= 1e-12 and abs(y - target) > self.cfg.limit * sigma * spread
-            out.append((key[0], int(r.pos), v, n, y, target, sigma, breach))
-        self.acc.update((n, s, ss, y))
-        yield pd.DataFrame(out, columns=["series", "pos", "value", "count", "ewma", "target", "sigma", "breach"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_ewma(values: DataFrame, cfg: EwmaConfig = EwmaConfig()) -> DataFrame:
-    """`values` are (series, pos, value)."""
-    schema = "series string, pos bigint, value double, count bigint, ewma double, target double, sigma double, breach boolean"
-    return values.groupBy("series").transformWithStateInPandas(TrackerProcessor(cfg), schema, "Append", "None")
-
-
-class GradientProcessor(StatefulProcessor):
-    """Exponentially weighted mean and variance; z against the state before the value."""
-
-    def __init__(self, cfg: GradientConfig):
-        self.cfg = cfg
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.acc = handle.getValueState("acc", "n bigint, mean double, var double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, mean, var = self.acc.get() if self.acc.exists() else (0, 0.0, 0.0)
-        a, out = self.cfg.alpha, []
-        for r in _ordered(rows, ["pos", "value"]).itertuples():
-            v = float(r.value)
-            if not math.isfinite(v):
-                continue
-            z = abs(v - mean) / math.sqrt(max(var, 1e-12)) if n >= self.cfg.warmup else 0.0
-            n, d = n + 1, v - mean
-            mean, var = (v, 0.0) if n == 1 else (mean + a * d, (1 - a) * (var + a * d * d))
-            if z > self.cfg.sigma and n >= self.cfg.warmup:
-                out.append((key[0], int(r.pos), "gradient_spike" if v > mean else "gradient_collapse", z, mean))
-        self.acc.update((n, mean, var))
-        yield pd.DataFrame(out, columns=["series", "pos", "anomaly_type", "score", "ew_mean"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_gradients(values: DataFrame, cfg: GradientConfig = GradientConfig()) -> DataFrame:
-    schema = "series string, pos bigint, anomaly_type string, score double, ew_mean double"
-    return values.groupBy("series").transformWithStateInPandas(GradientProcessor(cfg), schema, "Append", "None")
-
-
-class LossProcessor(StatefulProcessor):
-    """AR residual test and non-finite count; the state is the running lag products."""
-
-    def __init__(self, cfg: LossConfig):
-        self.cfg = cfg
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.acc = handle.getValueState("acc", "n bigint, bad bigint, last array<double>, sums array<double>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        p = self.cfg.order
-        n, bad, last, sums = self.acc.get() if self.acc.exists() else (0, 0, [], [0.0] * ((p + 2) ** 2))
-        last, m, out = list(last), np.array(list(sums), float).reshape(p + 2, p + 2), []
-        for r in _ordered(rows, ["pos"]).itertuples():
-            v = float(r.value)
-            if not math.isfinite(v):
-                bad += 1
-                out.append((key[0], int(r.pos), "loss_nan", math.inf))
-                continue
-            if n >= self.cfg.warmup and m[0, 0] > 0:
-                a, b, cnt = m[1 : p + 1, 1 : p + 1], m[1 : p + 1, p + 1], m[0, 0]
-                c = np.linalg.solve(a + 1e-8 * np.eye(p), b)
-                mean = (m[0, p + 1] - c @ m[0, 1 : p + 1]) / cnt
-                std = math.sqrt(max((m[p + 1, p + 1] - 2 * c @ b + c @ a @ c) / cnt - mean**2, 0.0))
-                z = abs(v - float(c @ np.array(last[::-1]))) / std if std >= 1e-12 else 0.0
-                if z > self.cfg.sigma:
-                    out.append((key[0], int(r.pos), "loss_spike", z))
-            if len(last) == p:
-                row = np.array([1.0, *last[::-1], v])
-                m += np.outer(row, row)
-            last = [*last, v][-p:]
-            n += 1
-        self.acc.update((n, bad, last, [float(x) for x in m.ravel()]))
-        yield pd.DataFrame(out, columns=["series", "pos", "anomaly_type", "score"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_loss(values: DataFrame, cfg: LossConfig = LossConfig()) -> DataFrame:
-    schema = "series string, pos bigint, anomaly_type string, score double"
-    return values.groupBy("series").transformWithStateInPandas(LossProcessor(cfg), schema, "Append", "None")
-
-
 class CooldownProcessor(StatefulProcessor):
     """Send an alert unless its key was sent less than its cooldown ago. A timer forgets
     the key once event time is `keep_ms` past the last sent alert."""

@@ -1,15 +1,18 @@
 """A stream in several micro-batches gives what the batch gives."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fleetwatch.config import BeliefConfig, WindowConfig
+from fleetwatch.config import BeliefConfig, EwmaConfig, GradientConfig, LossConfig, WindowConfig
 from fleetwatch.operators import audit as AU
 from fleetwatch.operators import beliefs as B
 from fleetwatch.operators import patterns as P
 from fleetwatch.operators import quarantine as Q
 from fleetwatch.sinks import writers as W
 from fleetwatch.sources import adapters as A
+from fleetwatch.streaming import event_time as ET
 from fleetwatch.streaming import stateful as SF
 from fleetwatch.streaming import streams as S
 
@@ -40,25 +43,126 @@ def test_beliefs(spark, landed, tmp_path):
     assert rows(got, *cols) == rows(B.gpu_beliefs(A.events_norm(spark, SF_DIR), CFG), *cols)
 
 
+def passed(df, e):
+    """Rows that a watermark without delay has passed at the end of the events."""
+    last = e.agg(F.max("ts_us")).first()[0]
+    return df.filter(F.expr(f"ts_us div 1000 < {last // 1000}"))
+
+
 def test_patterns(spark, landed, tmp_path):
     SF.use_rocksdb(spark)
-    s = SF.stream_patterns(A.as_events(S.read_stream(spark, landed, 1)), WIN.window_seconds)
-    got = S.run_to_table(s, str(tmp_path / "o"), str(tmp_path / "c"))
+    s = ET.stream_patterns(A.as_events(S.read_stream(spark, landed, 1)), WIN.window_seconds, "0 seconds")
+    got = ET.accepted(S.run_to_table(s, str(tmp_path / "o"), str(tmp_path / "c")))
+    e = A.events_norm(spark, SF_DIR)
     cols = ["event_id", "pattern", "sm_id", "contributing"]
-    assert rows(got, *cols) == rows(P.match_patterns(A.events_norm(spark, SF_DIR), WIN), *cols)
+    assert rows(got, *cols) == rows(passed(P.match_patterns(e, WIN), e), *cols)
+
+
+def test_late_rows_are_listed_and_silent_devices_forgotten(spark, tmp_path):
+    SF.use_rocksdb(spark)
+    path, out, cp = (str(tmp_path / x) for x in "ioc")
+    schema = "gpu_uuid string, event_id string, ts_us long, event_type string, sm_id int"
+    second = 1_000_000
+    batches = [
+        [("a", "1", 1000 * second, "probe_fail", 3), ("b", "2", 1001 * second, "probe_fail", None)],
+        [("a", "4", 1100 * second, "training_anomaly", None), ("a", "3", 1050 * second, "probe_fail", 3)],  # out of order, not late
+        [("c", "5", 5000 * second, "probe_pass", 1)],
+        [("a", "6", 1200 * second, "probe_fail", 3), ("c", "7", 5001 * second, "probe_pass", 1)],  # 6 is late
+    ]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
+        got = S.run_to_table(ET.stream_patterns(S.read_stream(spark, path), 300, "200 seconds"), out, cp)
+    assert rows(ET.late_rows(got), "gpu_uuid", "event_id") == [("a", "6")]
+    assert rows(ET.accepted(got), "event_id", "pattern", "sm_id", "contributing") == sorted(
+        [("3", "sm_localized", 3, 2), ("4", "sm_localized", 3, 2), ("4", "probe_and_anomaly", 3, 3), ("4", "multi_signal", None, 3)], key=str)
+    assert rows(ET.snapshot(spark, cp, "gpu_uuid"), "gpu_uuid") == [("c",)]  # a and b are silent: their state is gone
+
+
+def test_stopped_stream_goes_on_elsewhere(spark, landed, tmp_path):
+    SF.use_rocksdb(spark)
+    e = A.table(spark, SF_DIR, "events")
+    raw = [str(tmp_path / x) for x in ("one", "two", "both")]
+    e.filter("ts < '2024-01-16'").write.parquet(raw[0])
+    e.filter("ts >= '2024-01-16'").write.parquet(raw[1])
+
+    def run(name, path, records=None, floor=0):
+        table = S.read_stream(spark, path)
+        s = ET.stream_quarantine(ET.quarantine_inputs(A.as_events(table), A.as_actions(table)), CFG, 5, "0 seconds", records, floor)
+        return ET.accepted(S.run_to_table(s, str(tmp_path / f"o-{name}"), str(tmp_path / f"c-{name}")))
+
+    first = run("one", raw[0])
+    W.save_state(ET.snapshot(spark, str(tmp_path / "c-one"), "gpu_uuid"), str(tmp_path / "state"), ["gpu_uuid"], "seen_ms", 1)
+    records = W.load_state(spark, str(tmp_path / "state"), 1)
+    second = run("two", raw[1], records, ET.floor_of(records))
+    whole = run("both", landed)
+    cols = ["gpu_uuid", "ts_us", "source", "row_id", "action", "from_state", "to_state", "applied"]
+    assert first.count() and second.count() and rows(first.union(second), *cols) == rows(whole, *cols)
 
 
 def test_quarantine(spark, landed, tmp_path):
     SF.use_rocksdb(spark)
     raw = S.read_stream(spark, landed, 1)
-    s = SF.stream_quarantine(SF.quarantine_inputs(A.as_events(raw), A.as_actions(raw)), CFG, 5)
-    got = S.run_to_table(s, str(tmp_path / "o"), str(tmp_path / "c"))
-    traj = B.belief_trajectory(A.events_norm(spark, SF_DIR), CFG, WIN)
-    want = Q.quarantine_fsm(traj, A.operator_actions(spark, SF_DIR), 5, WIN)
+    s = ET.stream_quarantine(ET.quarantine_inputs(A.as_events(raw), A.as_actions(raw)), CFG, 5, "0 seconds")
+    got = ET.accepted(S.run_to_table(s, str(tmp_path / "o"), str(tmp_path / "c")))
+    e = A.events_norm(spark, SF_DIR)
+    want = passed(Q.quarantine_fsm(B.belief_trajectory(e, CFG, WIN), A.operator_actions(spark, SF_DIR), 5, WIN), e)
     cols = ["gpu_uuid", "ts_us", "source", "action", "from_state", "to_state", "applied"]
     assert rows(got, *cols) == rows(want, *cols)
 
 
+def _in_pieces(fold, frame, sizes):
+    state, at, parts = None, 0, []
+    for n in sizes:
+        out, state = fold(state, frame.iloc[at : at + n].reset_index(drop=True))
+        parts.append(out)
+        at += n
+    return pd.concat([p for p in parts if len(p)], ignore_index=True)
+
+
+def _series(n, seed=1):
+    rng = np.random.default_rng(seed)
+    v = rng.normal(10, 1, n).cumsum() / 20 + rng.normal(0, 1, n)
+    v[rng.integers(0, n, n // 40)] *= 6
+    v[::53] = np.nan
+    return pd.DataFrame({"ts_us": np.arange(n) * 1000, "pos": np.arange(n), "value": v})
+
+
+def test_losses_equal_one_by_one():
+    cfg = LossConfig(sigma=2.0)
+    p, frame = cfg.order, _series(900)
+    seen, want, m = [], [], np.zeros((p + 2, p + 2))
+    for r in frame.itertuples():
+        if not np.isfinite(r.value):
+            want.append((r.pos, "loss_nan", np.inf))
+            continue
+        if len(seen) >= cfg.warmup and m[0, 0] > 0:
+            a, b, k = m[1 : p + 1, 1 : p + 1], m[1 : p + 1, p + 1], m[0, 0]
+            c = np.linalg.solve(a + 1e-8 * np.eye(p), b)
+            mean = (m[0, p + 1] - c @ m[0, 1 : p + 1]) / k
+            std = np.sqrt(max((m[p + 1, p + 1] - 2 * c @ b + c @ a @ c) / k - mean**2, 0.0))
+            z = abs(r.value - c @ np.array(seen[: -p - 1 : -1])) / std if std >= 1e-12 else 0.0
+            if z > cfg.sigma:
+                want.append((r.pos, "loss_spike", z))
+        if len(seen) >= p:
+            row = np.array([1.0, *seen[: -p - 1 : -1], r.value])
+            m += np.outer(row, row)
+        seen.append(r.value)
+    for sizes in ([900], [3, 1, 2, 200, 94, 600], [1] * 900):
+        got = _in_pieces(ET.Losses(cfg).fold, frame, sizes).sort_values("pos")
+        assert [(a, b) for a, b, _ in want] == list(zip(got["pos"], got["anomaly_type"]))
+        np.testing.assert_allclose(got["score"].to_numpy(float), [w[2] for w in want], rtol=1e-6)
+
+
+def test_folds_do_not_depend_on_pieces():
+    frame = _series(700, 4)
+    for processor in (ET.Gradients(GradientConfig(sigma=1.0, warmup=5)), ET.Tracker(EwmaConfig(burn_in=10, limit=0.2))):
+        source = frame if isinstance(processor, ET.Gradients) else frame[np.isfinite(frame["value"])].reset_index(drop=True)
+        whole = _in_pieces(processor.fold, source, [len(source)])
+        for sizes in ([1] * len(source), [5, 300, len(source) - 305]):
+            pd.testing.assert_frame_equal(_in_pieces(processor.fold, source, sizes).astype(whole.dtypes), whole, rtol=1e-9)
+    assert len(whole) and whole["severity"].notna().any()
+
+
 def test_ledger_continues_over_micro_batches(spark, tmp_path):
     src, root = str(tmp_path / "in"), str(tmp_path / "ledger")
     o = A.table(spark, SF_DIR, "orders").orderBy("o_orderkey")
