@@ -51,7 +51,7 @@ def sealed_ledger(spark, d):
 @query(with_(PEND) + "SELECT seq, rn // 1000 AS batch_sequence, rn % 1000 AS pos FROM (SELECT seq, row_number() OVER (ORDER BY ts_us, seq) - 1 AS rn FROM pend)")
 def number_pending(spark, d):
     p = A.pending_entries(spark, d).withColumnRenamed("seq", "key")
-    n = AU.number_pending(p, "key", AuditConfig(), 180 * 86_400_000_000)
+    n = AU.number_pending(p, "key", AuditConfig())
     return n.select(F.col("key").alias("seq"), "batch_sequence", "pos")
 
 
@@ -92,7 +92,7 @@ def entries_with_roots(spark, d):
     return hexed(AU.entries_with_roots(e, AU.batch_roots(e)).select("entry_id", "batch_sequence", "merkle_root"), "merkle_root")
 
 
-@query(LED + "SELECT batch_sequence, batch_sequence % 3 = 1 AS root_mismatch FROM ledger GROUP BY 1")
+@query(LED + "SELECT batch_sequence, batch_sequence % 3 = 1 AS root_mismatch, 0::BIGINT AS chain_breaks, count(*) FILTER (unhex(sha256(encode(txt) || previous_hash)) <> entry_hash) AS hash_mismatches FROM ledger GROUP BY 1")
 def verify_batches(spark, d):
     e = led(spark, d)
     stored = AU.batch_roots(e).withColumn(
@@ -285,8 +285,8 @@ _LINKED = with_(PEND, "nump AS (SELECT *, rn // 1000 AS batch_sequence, rn % 100
 @query(_LINKED + "SELECT n.rn + 1 AS entry_id, n.seq, lower(hex(r.prev)) AS previous_hash, lower(hex(r.h)) AS entry_hash, n.batch_sequence FROM nump n JOIN lk_run r USING (batch_sequence, pos)")
 def seal_linked(spark, d):
     p = A.pending_entries(spark, d).withColumnRenamed("seq", "key")
-    n = AU.number_pending(p, "key", AuditConfig(), 180 * 86_400_000_000)
-    sealed = AU.seal_batches(n, AU.linked_seeds(n))
+    n = AU.number_pending(p, "key", AuditConfig())
+    sealed = AU.seal_linked(n)
     keys = n.select((F.col("seq") + 1).alias("entry_id"), F.col("key").alias("seq"))
     out = sealed.select("entry_id", "previous_hash", "entry_hash", "batch_sequence").join(keys, "entry_id")
     return hexed(out, "previous_hash", "entry_hash")

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from fleetwatch.config import AuditConfig
 from fleetwatch.functions.hashing import ZERO_HASH, chain_hash, hex_lower, merkle_roots, sha256
 from fleetwatch.functions.labels import ENTRY_TYPES, month_key
-from fleetwatch.plans.chunked import asof, running, time_chunk
+from fleetwatch.plans.chunked import asof, positions, running, time_chunk
 from fleetwatch.plans.ranks import with_previous
 
 _FIELDS = ["entry_type", "ts", "ts_us", "gpu_uuid", "sm_id", "data"]
@@ -33,14 +28,10 @@ def genesis_entry(spark: SparkSession, ts_us: int, payload: bytes = b"audit ledg
     )
 
 
-def number_pending(pending: DataFrame, tie: str, cfg: AuditConfig, chunk_us: int = 86_400_000_000) -> DataFrame:
+def number_pending(pending: DataFrame, tie: str, cfg: AuditConfig) -> DataFrame:
     """Order all rows by time and cut them into batches: (seq from 0, batch, pos)."""
-    n = running(pending, [], ["ts_us", tie], time_chunk("ts_us", chunk_us), {"_n": ("sum", F.lit(1))})
-    seq = F.col("_n") - 1
-    return n.select(
-        *pending.columns, seq.alias("seq"), F.floor(seq / cfg.batch_rows).alias("batch_sequence"),
-        (seq % cfg.batch_rows).alias("pos"),
-    )
+    n = positions(pending, ["ts_us", tie], "seq")
+    return n.withColumns({"batch_sequence": F.floor(F.col("seq") / cfg.batch_rows), "pos": F.col("seq") % cfg.batch_rows})
 
 
 def seal_batches(numbered: DataFrame, seeds: DataFrame | None = None, first_id: int = 1) -> DataFrame:
@@ -68,27 +59,6 @@ def seal_batches(numbered: DataFrame, seeds: DataFrame | None = None, first_id:
     )
 
 
-def seal_serial(numbered: DataFrame, last_hash: bytes, first_id: int = 1) -> DataFrame:
-    """Chain all rows one after another from `last_hash`, across batches. One task streams them in order of seq."""
-    rows = numbered.select((F.col("seq") + first_id).alias("entry_id"), *_FIELDS, "batch_sequence").repartition(1).sortWithinPartitions("entry_id")
-    schema = StructType([f for f in rows.schema.fields if f.name != "batch_sequence"])
-    schema = schema.add("previous_hash", "binary").add("entry_hash", "binary").add(rows.schema["batch_sequence"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = last_hash
-        for batch in batches:
-            hashes = [h]
-            for i, data in zip(batch.column("entry_id").to_pylist(), batch.column("data").to_pylist()):
-                if data is None:
-                    raise ValueError(f"entry {i} has no payload to seal")
-                h = hashlib.sha256(data + h).digest()
-                hashes.append(h)
-            columns = {n: batch.column(n) for n in batch.schema.names} | {"previous_hash": pa.array(hashes[:-1], pa.binary()), "entry_hash": pa.array(hashes[1:], pa.binary())}
-            yield pa.RecordBatch.from_arrays([columns[n] for n in schema.names], names=schema.names)
-
-    return rows.mapInArrow(run, schema)
-
-
 def linked_seeds(numbered: DataFrame) -> DataFrame:
     """Start hash of each batch: the Merkle root of the batch before's payload hashes.
 
@@ -102,6 +72,24 @@ def linked_seeds(numbered: DataFrame) -> DataFrame:
     )
 
 
+def seal_linked(numbered: DataFrame, seed: bytes | None = None, first_id: int = 1, first_batch: int = 0) -> DataFrame:
+    """Seal all batches in parallel, each from the payload root of the one before; the first from `seed` (zeros by default).
+
+    Ids and batch numbers go on from `first_id` and `first_batch`.
+    """
+    start = numbered.sparkSession.createDataFrame([(0, seed or bytes(32))], "batch_sequence long, seed binary")
+    last = numbered.agg(F.max("batch_sequence")).first()[0]
+    seeds = start if not last else linked_seeds(numbered).filter(F.col("batch_sequence") <= last).union(start)
+    return seal_batches(numbered, seeds, first_id).withColumn("batch_sequence", F.col("batch_sequence") + first_batch)
+
+
+def payload_root(entries: DataFrame) -> bytes:
+    """The payload root of one batch, from which the next one is sealed."""
+    first = entries.agg(F.min("entry_id")).first()[0]
+    leaves = entries.select(F.lit(0).alias("k"), (F.col("entry_id") - first).alias("pos"), sha256(F.col("data")).alias("leaf"))
+    return bytes(merkle_roots(leaves, ["k"], "pos", "leaf").first()["merkle_root"])
+
+
 def batch_roots(entries: DataFrame) -> DataFrame:
     """Root row of each batch over its entry hashes."""
     span = entries.groupBy("batch_sequence").agg(
@@ -153,28 +141,40 @@ def verify_chain(entries: DataFrame, expected_previous: bytes | None = None) ->
     return linked.select("entry_id", F.explode(kinds).alias("failure"))
 
 
+def _heads(entries: DataFrame) -> DataFrame:
+    """First id of each batch and the hash it must go on from: the payload root of the batch before, zeros for batch 0; NULL if that batch isn't there."""
+    start = entries.groupBy("batch_sequence").agg(F.min("entry_id").alias("entry_id"))
+    payload = entries.join(start.withColumnRenamed("entry_id", "_first"), "batch_sequence").select(
+        "batch_sequence", (F.col("entry_id") - F.col("_first")).alias("pos"), sha256(F.col("data")).alias("_leaf"))
+    seeds = merkle_roots(payload, ["batch_sequence"], "pos", "_leaf").select((F.col("batch_sequence") + 1).alias("batch_sequence"), F.col("merkle_root").alias("seed"))
+    zero = F.when(F.col("batch_sequence") == 0, F.unhex(F.lit(ZERO_HASH)))
+    return start.join(seeds, "batch_sequence", "left").select("batch_sequence", "entry_id", F.coalesce("seed", zero).alias("seed"))
+
+
 def verify_linked(entries: DataFrame) -> DataFrame:
-    """As `verify_chain` for a ledger sealed in parallel: the first row of a batch may
-    also continue from the payload root of the batch before."""
-    start = entries.groupBy("batch_sequence").agg(F.min("entry_id").alias("_first"))
-    payload = entries.join(start, "batch_sequence").select(
-        "batch_sequence", (F.col("entry_id") - F.col("_first")).alias("pos"), sha256(F.col("data")).alias("_leaf")
-    )
-    seeds = merkle_roots(payload, ["batch_sequence"], "pos", "_leaf")
-    heads = start.withColumn("_b", F.col("batch_sequence") - 1).join(
-        seeds.select(F.col("batch_sequence").alias("_b"), "merkle_root"), "_b"
-    ).select(F.col("_first").alias("entry_id"), F.col("merkle_root").alias("_seed"))
-    linked_ok = entries.select("entry_id", "previous_hash").join(heads, "entry_id").filter("previous_hash = _seed")
-    f = verify_chain(entries)
-    wrong = f.filter("failure = 'hash_mismatch'")
-    return wrong.unionByName(f.filter("failure = 'chain_break'").join(linked_ok.select("entry_id"), "entry_id", "left_anti"))
-
-
-def verify_batches(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """Batches whose recomputed root differs from the stored one, or that lack either."""
+    """As `verify_chain` for a ledger sealed in parallel: the first row of a batch goes on from the
+    payload root of the batch before and from nothing else."""
+    heads = _heads(entries)
+    broken = entries.select("entry_id", "previous_hash").join(heads, "entry_id").filter(_differs(F.col("previous_hash"), F.col("seed")))
+    inner = verify_chain(entries)
+    inside = inner.join(heads.select("entry_id", F.lit("chain_break").alias("failure")), ["entry_id", "failure"], "left_anti")
+    return inside.unionByName(broken.select("entry_id", F.lit("chain_break").alias("failure")))
+
+
+def verify_batches(entries: DataFrame, roots: DataFrame, linked: bool = False) -> DataFrame:
+    """Each batch: whether its recomputed root differs from the stored one (or either is missing), and its failures inside.
+
+    chain_breaks are links inside the batch and, for a `linked` ledger, from the batch before;
+    hash_mismatches are wrong entry hashes.
+    """
     again = batch_roots(entries).select("batch_sequence", F.col("merkle_root").alias("_again"))
-    j = roots.select("batch_sequence", "merkle_root").join(again, "batch_sequence", "full")
-    return j.select("batch_sequence", _differs(F.col("merkle_root"), F.col("_again")).alias("root_mismatch"))
+    heads = entries.groupBy("batch_sequence").agg(F.min("entry_id").alias("entry_id"))
+    found = verify_linked(entries) if linked else verify_chain(entries).join(heads.select("entry_id", F.lit("chain_break").alias("failure")), ["entry_id", "failure"], "left_anti")
+    counts = found.join(entries.select("entry_id", "batch_sequence"), "entry_id").groupBy("batch_sequence").agg(
+        F.count_if(F.col("failure") == "chain_break").alias("chain_breaks"), F.count_if(F.col("failure") == "hash_mismatch").alias("hash_mismatches"))
+    j = roots.select("batch_sequence", "merkle_root").join(again, "batch_sequence", "full").join(counts, "batch_sequence", "left")
+    return j.select("batch_sequence", _differs(F.col("merkle_root"), F.col("_again")).alias("root_mismatch"),
+                    F.coalesce("chain_breaks", F.lit(0)).alias("chain_breaks"), F.coalesce("hash_mismatches", F.lit(0)).alias("hash_mismatches"))
 
 
 def verification_summary(entries: DataFrame, failures: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetwatch.plans.cut import cut
+
 Aggs = Mapping[str, tuple[str, Column]]
 
 
@@ -202,3 +204,18 @@ def asof(
             value, F.when(hit[ts_us] >= F.col(ts_us) - F.lit(within_us), hit)
         )
     return out.drop("_at", "_side", "_tie", "_hit")
+
+
+def positions(df: DataFrame, order_by: Sequence[str], name: str) -> DataFrame:
+    """Number all rows from 0 in the order of `order_by`, whose values together must be distinct.
+
+    Spark samples splitters and deals the rows out by ranges of about equal size; each range is numbered by
+    itself, and the counts of the ranges before it are added. So the work spreads however the values
+    lie, also if all rows have one time. The dealt rows are written, as a range belongs to one run of the sampling.
+    """
+    dealt = cut(df.repartitionByRange(*order_by).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))  # a row for each range
+    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order_by))
+    return dealt.withColumn("_own", own).join(starts, "_range").select(*df.columns, (F.col("_start") + F.col("_own") - 1).cast("long").alias(name))

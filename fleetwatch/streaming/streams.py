@@ -98,35 +98,69 @@ def stream_heartbeat_lost(events: DataFrame, timeout: str = "120 seconds", late:
 
 
 def seal_stream(pending: DataFrame, root: str, checkpoint: str, tie: str, cfg: AuditConfig = AuditConfig()):
-    """Seal each micro-batch onto the ledger under `root`, as one unbroken serial chain.
+    """Seal a stream onto the ledger under `root` in batches of `cfg.batch_rows` entries.
 
-    Hashes follow from the order of the rows alone, not from how many arrive together. Each
-    needs the one before, so a micro-batch's rows stream through one task in order.
+    A micro-batch's whole batches are sealed in parallel, each from the payload root of the
+    batch before. What is left over waits in a buffer for the next micro-batch, so batches, hashes and roots
+    follow from the order of the rows alone, not from how many arrive together. `seal_rest` closes the last batch.
+    A ledger belongs to one checkpoint: commits are numbered by its micro-batches.
     """
     spark = pending.sparkSession
 
     def seal(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        last_id, last_hash, next_batch = ledger_tail(spark, root, batch_id)
-        n = AU.number_pending(batch, tie, cfg).withColumn("batch_sequence", F.col("batch_sequence") + next_batch)
-        write_audit_batch(cut(AU.seal_serial(cut(n), last_hash, last_id + 1)), root, batch_id)
+        if not batch.isEmpty():
+            _seal(spark, batch, root, 2 * batch_id, tie, cfg, False)
 
     return (
         pending.writeStream.foreachBatch(seal).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def ledger_tail(spark: SparkSession, root: str, before_commit: int) -> tuple[int, bytes, int]:
-    """(last entry id, its hash, next batch number) of earlier commits; zeros if none."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/roots")
-    if not path.getFileSystem(conf).exists(path):
-        return 0, bytes(32), 0
-    last = spark.read.parquet(f"{root}/roots").filter(F.col("commit") < before_commit).agg(
-        F.max("last_entry_id").alias("id"), F.max("batch_sequence").alias("seq")
-    ).first()
-    if last.id is None:
-        return 0, bytes(32), 0
-    tail = spark.read.parquet(f"{root}/entries").filter((F.col("commit") < before_commit) & (F.col("entry_id") == last.id))
-    return last.id, bytes(tail.select("entry_hash").first()[0]), last.seq + 1
+def seal_rest(spark: SparkSession, root: str, tie: str, cfg: AuditConfig = AuditConfig()) -> None:
+    """Seal what waits in the buffer as a batch of its own: a batch's time limit, or the end of a stream.
+
+    To be called while no stream seals onto the ledger. An empty buffer changes nothing.
+    """
+    done = _commits(spark, f"{root}/waiting")
+    if done:
+        waiting = spark.read.parquet(f"{root}/waiting/commit={done[-1]}")
+        if not waiting.isEmpty():
+            _seal(spark, None, root, done[-1] | 1, tie, cfg, True)
+
+
+def _seal(spark: SparkSession, batch: DataFrame | None, root: str, commit: int, tie: str, cfg: AuditConfig, close: bool) -> None:
+    """One commit: even numbers are micro-batches, the odd one after a micro-batch closes what it left over.
+
+    A commit reads only what earlier ones left and overwrites its own folders, so it can be run again.
+    """
+    earlier = [c for c in _commits(spark, f"{root}/waiting") if c < commit]
+    last_id, last_batch, seed = 0, -1, bytes(32)
+    if earlier:
+        waiting = spark.read.parquet(f"{root}/waiting/commit={earlier[-1]}")
+        batch = waiting if batch is None else waiting.unionByName(batch)
+        tail = spark.read.parquet(f"{root}/tail/commit={earlier[-1]}").first()  # one row
+        last_id, last_batch, seed = tail["entry_id"], tail["batch_sequence"], bytes(tail["seed"])
+    numbered = cut(AU.number_pending(batch, tie, cfg))
+    size = numbered.count()
+    sealed_rows = size if close else size - size % cfg.batch_rows
+    if sealed_rows:
+        entries = cut(AU.seal_linked(numbered.filter(F.col("seq") < sealed_rows), seed, last_id + 1, last_batch + 1))
+        write_audit_batch(entries, root, commit)
+        last_id, last_batch = last_id + sealed_rows, last_batch + -(-sealed_rows // cfg.batch_rows)
+        seed = AU.payload_root(entries.filter(F.col("batch_sequence") == last_batch))
+    spark.createDataFrame([(last_id, last_batch, seed)], "entry_id long, batch_sequence long, seed binary").write.mode("overwrite").parquet(f"{root}/tail/commit={commit}")
+    numbered.filter(F.col("seq") >= sealed_rows).select(*batch.columns).write.mode("overwrite").parquet(f"{root}/waiting/commit={commit}")
+    for old in earlier[:-1]:  # the one before this commit serves a second run of it
+        for kind in ("waiting", "tail"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{kind}/commit={old}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _commits(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the commit folders there that are complete."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(f.getPath().getName().split("=")[1]) for f in system.listStatus(path) if system.exists(done(f.getPath(), "_SUCCESS")))

@@ -83,8 +83,8 @@ def chain(spark, n=25, batch=10):
     p = spark.createDataFrame([("SystemEvent", i * SEC, f"p{i}", i) for i in range(n)], "entry_type string, ts_us long, txt string, key long")
     p = p.select("entry_type", "ts_us", F.timestamp_micros("ts_us").alias("ts"), F.lit(None).cast("string").alias("gpu_uuid"),
                  F.lit(None).cast("int").alias("sm_id"), F.encode("txt", "UTF-8").alias("data"), "key")
-    num = AU.number_pending(p, "key", AuditConfig(batch_rows=batch), 7 * SEC)
-    return AU.seal_batches(num, AU.linked_seeds(num))
+    num = AU.number_pending(p, "key", AuditConfig(batch_rows=batch))
+    return AU.seal_linked(num)
 
 
 def test_linked_ledger_verifies_and_tampering_shows(spark):

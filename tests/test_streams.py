@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fleetwatch.config import BeliefConfig, EwmaConfig, GradientConfig, LossConfig, WindowConfig
+from fleetwatch.config import AuditConfig, BeliefConfig, EwmaConfig, GradientConfig, LossConfig, WindowConfig
 from fleetwatch.operators import audit as AU
 from fleetwatch.operators import beliefs as B
 from fleetwatch.operators import patterns as P
@@ -163,31 +163,36 @@ def test_folds_do_not_depend_on_pieces():
     assert len(whole) and whole["severity"].notna().any()
 
 
-def test_ledger_continues_over_micro_batches(spark, tmp_path):
-    src, root = str(tmp_path / "in"), str(tmp_path / "ledger")
-    o = A.table(spark, SF_DIR, "orders").orderBy("o_orderkey")
-    for lo in (0, 500, 1000):
-        o.filter(F.col("o_orderkey").between(lo, lo + 499)).coalesce(1).write.mode("append").parquet(src)
-    p = A.as_pending(S.read_stream(spark, src, 1)).withColumnRenamed("seq", "key")
-    S.seal_stream(p, root, str(tmp_path / "c"), "key").awaitTermination()
-    entries, roots = W.read_committed(spark, root)
-    assert roots.count() == 3 and entries.count() == o.count()
-    # Micro-batches of at most a batch give one unbroken serial chain.
-    assert AU.verify_chain(entries).count() == 0
-
-
 def test_ledger_does_not_depend_on_how_rows_arrive(spark, tmp_path):
     o = A.table(spark, SF_DIR, "orders")
     p = A.as_pending(o).withColumnRenamed("seq", "key")
     times = [r[0] for r in p.select("ts_us").orderBy("ts_us").collect()]
-    edges = [times[0], times[400], times[800], times[-1] + 1]
-    got = {}
+    edges = [times[0], times[30], times[801], times[-1] + 1]
+    cfg, got = AuditConfig(batch_rows=100), {}
     for name, cuts in (("parts", edges), ("whole", [edges[0], edges[-1]])):
         src, root = str(tmp_path / f"in-{name}"), str(tmp_path / name)
         for lo, hi in zip(cuts, cuts[1:]):
             p.filter(F.col("ts_us").between(lo, hi - 1)).coalesce(1).write.mode("append").parquet(src)
-        S.seal_stream(S.read_stream(spark, src, 1), root, str(tmp_path / f"c-{name}"), "key").awaitTermination()
+        S.seal_stream(S.read_stream(spark, src, 1), root, str(tmp_path / f"c-{name}"), "key", cfg).awaitTermination()
         entries, _ = W.read_committed(spark, root)
-        assert AU.verify_chain(entries).count() == 0
-        got[name] = rows(entries, "entry_id", "ts_us", "data", "previous_hash", "entry_hash")
-    assert len(times) > 1000 and got["parts"] == got["whole"]
+        assert entries.count() == len(times) // 100 * 100  # the last batch waits
+        S.seal_rest(spark, root, "key", cfg)
+        S.seal_rest(spark, root, "key", cfg)  # nothing is left
+        entries, roots = W.read_committed(spark, root)
+        assert AU.verify_linked(entries).count() == 0
+        assert AU.verify_batches(entries, roots, linked=True).filter("root_mismatch OR chain_breaks + hash_mismatches > 0").count() == 0
+        got[name] = rows(entries, "entry_id", "ts_us", "data", "previous_hash", "entry_hash", "batch_sequence"), rows(roots, "batch_sequence", "entry_count", "first_entry_id", "last_entry_id", "merkle_root")
+    assert len(times) > 1400 and got["parts"] == got["whole"]
+
+
+def test_a_commit_can_be_run_again(spark, tmp_path):
+    p = A.as_pending(A.table(spark, SF_DIR, "orders")).withColumnRenamed("seq", "key")
+    root, cfg = str(tmp_path / "ledger"), AuditConfig(batch_rows=64)
+    parts = [p.filter(F.col("key") % 3 == k) for k in range(3)]
+    for k, part in enumerate(parts):
+        S._seal(spark, part, root, 2 * k, "key", cfg, False)
+        if k:
+            S._seal(spark, part, root, 2 * k, "key", cfg, False)
+    S.seal_rest(spark, root, "key", cfg)
+    entries, roots = W.read_committed(spark, root)
+    assert entries.count() == p.count() == entries.agg(F.max("entry_id")).first()[0] and AU.verify_linked(entries).count() == 0
