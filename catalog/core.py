@@ -157,7 +157,7 @@ def quarantine_fsm(spark, d):
 spans AS (SELECT s.gpu_uuid, s.started_us, (SELECT min(r.ts_us) FROM run r WHERE r.gpu_uuid = s.gpu_uuid AND r.applied AND r.from_state = 'DEEP_TEST' AND r.ts_us >= s.started_us) AS ended_us FROM starts s)
 SELECT s.gpu_uuid, s.started_us, s.ended_us, (SELECT count(*) FROM evn e WHERE e.gpu_uuid = s.gpu_uuid AND e.event_type = 'probe_pass' AND e.ts_us > s.started_us AND (s.ended_us IS NULL OR e.ts_us <= s.ended_us)) AS passes FROM spans s""")
 def deep_test_progress(spark, d):
-    return Q.deep_test_progress(quarantine_fsm(spark, d), ev(spark, d))
+    return Q.deep_test_progress(quarantine_fsm(spark, d), ev(spark, d), WIN)
 
 
 @query(with_(EV, TRAJ, GPUS, AUTO) + "SELECT a.gpu_uuid, a.event_id, a.ts_us, a.action, g.hostname FROM auto a JOIN gpus g USING (gpu_uuid) WHERE action = 'quarantine'")

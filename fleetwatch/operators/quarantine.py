@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetwatch.config import WindowConfig
-from fleetwatch.functions.labels import STATES, TIER_ACTIONS, TIER_STATES, lookup, transition
-from fleetwatch.plans.chunked import running, time_chunk
+from fleetwatch.functions.labels import STATES, TIER_ACTIONS, TIER_STATES, TRANSITIONS, lookup
+from fleetwatch.plans.chunked import asof, running, time_chunk
 from fleetwatch.plans.cut import cut
+from fleetwatch.plans.tree import tree_scan
+
+#: A time after all others: the end of a span that is still open.
+_FOREVER = 1 << 60
 
 # Tier changes the machine takes on its own.
 ESCALATIONS = {
@@ -74,72 +82,113 @@ def fsm_inputs(trajectory: DataFrame, actions: DataFrame, pass_count: int, win:
     return w.select("gpu_uuid", "ts_us", "is_action", "row_id", "passes", F.inline(kinds))
 
 
+LOG = "gpu_uuid string, ts_us bigint, source string, row_id string, action string, from_state string, to_state string, applied boolean"
+SOURCES = ("deep_test", "tier", "operator")
+Known = tuple[str, int]  # a state, and the passes counted when its deep test began (0 elsewhere)
+
+
+def _moved(state: str, k: int, action: str) -> str | None:
+    """Where a tier (k = 1) or an operator (k = 2) moves a state, if anywhere."""
+    to = TRANSITIONS.get(f"{state}|{action}")
+    return to if k == 2 or f"{state}|{to}" in ESCALATIONS else None
+
+
+class Moves:
+    """What a run of inputs makes of every state before it.
+
+    For all states but a deep test this is one state after it. A deep test that is under way ends at
+    the pass that its own start asks for: `ends` has what follows for each start whose end lies in the run, and `other` what
+    follows for the rest (None: still under way).
+    """
+
+    def __init__(self, plain: dict[str, Known] | None = None, ends: dict[int, Known] | None = None, other: Known | None = None):
+        self.plain = plain or {s: (s, 0) for s in STATES if s != "DEEP_TEST"}
+        self.ends, self.other = ends or {}, other
+
+    def after(self, state: str, since: int) -> Known:
+        if state != "DEEP_TEST":
+            return self.plain[state]
+        return self.ends.get(since) or self.other or (state, since)
+
+    def before(self, k: int, action: str, passes: int, pass_count: int) -> Moves:
+        """The run with one more input before it."""
+        if k == 0:
+            return Moves(self.plain, self.ends | {passes - pass_count: self.after("HEALTHY", 0)}, self.other)
+        plain = {s: self.after(_moved(s, k, action) or s, passes) for s in self.plain}
+        out = _moved("DEEP_TEST", k, action)
+        return Moves(plain, self.ends, self.other) if out is None else Moves(plain, {}, self.after(out, passes))
+
+    def then(self, later: Moves) -> Moves:
+        ends = {since: later.after(*known) for since, known in self.ends.items()}
+        if self.other is None:
+            return Moves({s: later.after(*known) for s, known in self.plain.items()}, later.ends | ends, later.other)
+        return Moves({s: later.after(*known) for s, known in self.plain.items()}, ends, later.after(*self.other))
+
+    def pack(self) -> bytes:
+        return json.dumps([self.plain, list(self.ends.items()), self.other]).encode()
+
+    @staticmethod
+    def unpack(data: bytes) -> Moves:
+        plain, ends, other = json.loads(data)
+        return Moves({s: tuple(v) for s, v in plain.items()}, {k: tuple(v) for k, v in ends}, tuple(other) if other else None)
+
+
 def quarantine_fsm(
     trajectory: DataFrame, actions: DataFrame, pass_count: int = 1000, win: WindowConfig = WindowConfig()
 ) -> DataFrame:
-    """Every applied transition and every rejected operator action, in order.
+    """Every applied transition and every rejected operator action.
 
-    What is gathered per device is bounded by its operator actions (a few rows each).
+    Inputs of a chunk compose to one map of states, so a device's chunks are scanned as a tree.
     """
     rows = fsm_inputs(trajectory, actions, pass_count, win)
-    ordered = rows.groupBy("gpu_uuid").agg(
-        F.array_sort(F.collect_list(F.struct("ts_us", "is_action", "row_id", "k", "action", "passes"))).alias("inputs")
-    )
-    init = F.struct(
-        F.lit("HEALTHY").alias("state"),
-        F.lit(0).cast("long").alias("since"),
-        F.expr(
-            "cast(array() as array<struct<ts_us:bigint,source:string,row_id:string,action:string,"
-            "from_state:string,to_state:string,applied:boolean>>)"
-        ).alias("log"),
-    )
 
-    def step(acc, x):
-        legal = transition(acc["state"], x["action"])
-        key = F.concat_ws("|", acc["state"], legal)
-        tested = (acc["state"] == "DEEP_TEST") & (x["passes"] == acc["since"] + pass_count)
-        nxt = (
-            F.when(x["k"] == 0, F.when(tested, "HEALTHY"))
-            .when(x["k"] == 1, F.when(key.isin(*sorted(ESCALATIONS)), legal))
-            .otherwise(legal)
-        )
-        source = F.when(x["k"] == 0, "deep_test").when(x["k"] == 1, "tier").otherwise("operator")
-        entry = F.struct(
-            x["ts_us"].alias("ts_us"), source.alias("source"), x["row_id"].alias("row_id"),
-            x["action"].alias("action"), acc["state"].alias("from_state"),
-            F.coalesce(nxt, acc["state"]).alias("to_state"), nxt.isNotNull().alias("applied"),
-        )
-        keep = nxt.isNotNull() | (x["k"] == 2)
-        return F.struct(
-            F.coalesce(nxt, acc["state"]).alias("state"),
-            F.when(nxt == "DEEP_TEST", x["passes"]).otherwise(acc["since"]).alias("since"),
-            F.when(keep, F.concat(acc["log"], F.array(entry))).otherwise(acc["log"]).alias("log"),
-        )
+    def summed(chunk: pd.DataFrame) -> bytes:
+        moves = Moves()
+        for k, action, passes in zip(chunk["k"].tolist()[::-1], chunk["action"].tolist()[::-1], chunk["passes"].tolist()[::-1]):
+            moves = moves.before(k, action, passes, pass_count)
+        return moves.pack()
 
-    return ordered.select("gpu_uuid", F.explode(F.aggregate("inputs", init, step)["log"]).alias("_t")).select(
-        "gpu_uuid", "_t.*"
-    )
+    def composed(maps: list[bytes]) -> bytes:
+        return reduce(Moves.then, map(Moves.unpack, maps)).pack()
 
+    def applied(moves: bytes, state: bytes) -> bytes:
+        return json.dumps(Moves.unpack(moves).after(*json.loads(state))).encode()
 
-def deep_test_progress(fsm: DataFrame, events: DataFrame) -> DataFrame:
-    """Probe passes since each deep test began, up to its end; 0-length tests keep 0."""
-    applied = fsm.filter("applied").select("gpu_uuid", "ts_us", "row_id", "from_state", "to_state")
-    starts = applied.filter("to_state = 'DEEP_TEST'").select("gpu_uuid", F.col("ts_us").alias("started_us"))
-    ends = applied.filter("from_state = 'DEEP_TEST'").select("gpu_uuid", F.col("ts_us").alias("e"))
-    spans = (
-        starts.join(ends, "gpu_uuid", "left")
-        .groupBy("gpu_uuid", "started_us")
-        .agg(F.min(F.when(F.col("e") >= F.col("started_us"), F.col("e"))).alias("ended_us"))
-    )
-    passes = events.filter("event_type = 'probe_pass'").select("gpu_uuid", "ts_us")
-    inside = (F.col("ts_us") > F.col("started_us")) & (
-        F.col("ended_us").isNull() | (F.col("ts_us") <= F.col("ended_us"))
-    )
-    return (
-        spans.join(passes, "gpu_uuid", "left")
-        .groupBy("gpu_uuid", "started_us", "ended_us")
-        .agg(F.count_if(inside).alias("passes"))
-    )
+    def replayed(chunk: pd.DataFrame, before: bytes) -> pd.DataFrame:
+        state, since = json.loads(before)
+        log = []
+        for gpu, ts, row, k, action, passes in zip(*(chunk[c].tolist() for c in ("gpu_uuid", "ts_us", "row_id", "k", "action", "passes"))):
+            if k == 0:
+                to = "HEALTHY" if state == "DEEP_TEST" and passes == since + pass_count else None
+            else:
+                to = _moved(state, k, action)
+            if to is not None or k == 2:
+                log.append((gpu, ts, SOURCES[k], row, action, state, to or state, to is not None))
+            if to is not None:
+                state, since = to, passes if to == "DEEP_TEST" else 0
+        return pd.DataFrame(log, columns=[x.split()[0] for x in LOG.split(", ")])
+
+    order = ["ts_us", "is_action", "row_id", "k"]
+    return tree_scan(rows, ["gpu_uuid"], order, time_chunk("ts_us", win.chunk_us), summed, composed, applied, replayed, json.dumps(["HEALTHY", 0]).encode(), LOG)
+
+
+def deep_test_progress(fsm: DataFrame, events: DataFrame, win: WindowConfig = WindowConfig()) -> DataFrame:
+    """Probe passes since each deep test began, up to its end; 0-length tests keep 0.
+
+    Ends and counts of passes are found by as-of joins on running counts.
+    """
+    applied = fsm.filter("applied").select("gpu_uuid", "ts_us", "from_state", "to_state")
+    starts = applied.filter("to_state = 'DEEP_TEST'").select("gpu_uuid", F.col("ts_us").alias("started_us")).distinct()
+    ends = applied.filter("from_state = 'DEEP_TEST'").select("gpu_uuid", F.col("ts_us").alias("ended_us"), (-F.col("ts_us")).alias("_back")).distinct()
+    # The first end at or after a start is the last one at or before it in time that runs backwards.
+    spans = asof(starts.withColumn("_back", -F.col("started_us")), ends, ["gpu_uuid"], "_back", win.chunk_us, "_end")
+    spans = spans.select("gpu_uuid", "started_us", F.col("_end.ended_us").alias("ended_us"))
+    passes = events.filter("event_type = 'probe_pass'").select("gpu_uuid", "ts_us", F.lit(1).alias("_one"))
+    at = F.explode(F.array(F.struct(F.lit("low").alias("side"), F.col("started_us").alias("ts_us")), F.struct(F.lit("high").alias("side"), F.coalesce("ended_us", F.lit(_FOREVER)).alias("ts_us"))))
+    points = spans.select("gpu_uuid", "started_us", "ended_us", at.alias("_at")).select("gpu_uuid", "started_us", "ended_us", "_at.*", F.lit(0).alias("_one"))
+    counted = running(points.unionByName(passes, allowMissingColumns=True), ["gpu_uuid"], ["ts_us"], time_chunk("ts_us", win.chunk_us), {"_n": ("sum", F.col("_one"))}, peers=True)
+    return counted.filter("side IS NOT NULL").groupBy("gpu_uuid", "started_us", "ended_us").agg(
+        F.sum(F.when(F.col("side") == "high", F.col("_n")).otherwise(-F.col("_n"))).alias("passes"))
 
 
 def current_states(transitions: DataFrame, known: DataFrame) -> DataFrame:
