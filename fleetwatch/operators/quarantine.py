@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +81,7 @@ def fsm_inputs(trajectory: DataFrame, actions: DataFrame, pass_count: int, win:
     return w.select("gpu_uuid", "ts_us", "is_action", "row_id", "passes", F.inline(kinds))
 
 
-LOG = "gpu_uuid string, ts_us bigint, source string, row_id string, action string, from_state string, to_state string, applied boolean"
+LOG = "ts_us bigint, source string, row_id string, action string, from_state string, to_state string, applied boolean"
 SOURCES = ("deep_test", "tier", "operator")
 Known = tuple[str, int]  # a state, and the passes counted when its deep test began (0 elsewhere)
 
@@ -142,9 +141,9 @@ def quarantine_fsm(
     """
     rows = fsm_inputs(trajectory, actions, pass_count, win)
 
-    def summed(chunk: pd.DataFrame) -> bytes:
+    def summed(chunk: list[tuple]) -> bytes:
         moves = Moves()
-        for k, action, passes in zip(chunk["k"].tolist()[::-1], chunk["action"].tolist()[::-1], chunk["passes"].tolist()[::-1]):
+        for _, _, _, k, action, passes in reversed(chunk):
             moves = moves.before(k, action, passes, pass_count)
         return moves.pack()
 
@@ -154,22 +153,22 @@ def quarantine_fsm(
     def applied(moves: bytes, state: bytes) -> bytes:
         return json.dumps(Moves.unpack(moves).after(*json.loads(state))).encode()
 
-    def replayed(chunk: pd.DataFrame, before: bytes) -> pd.DataFrame:
+    def replayed(chunk: list[tuple], before: bytes) -> list[tuple]:
         state, since = json.loads(before)
         log = []
-        for gpu, ts, row, k, action, passes in zip(*(chunk[c].tolist() for c in ("gpu_uuid", "ts_us", "row_id", "k", "action", "passes"))):
+        for ts, _, row, k, action, passes in chunk:
             if k == 0:
                 to = "HEALTHY" if state == "DEEP_TEST" and passes == since + pass_count else None
             else:
                 to = _moved(state, k, action)
             if to is not None or k == 2:
-                log.append((gpu, ts, SOURCES[k], row, action, state, to or state, to is not None))
+                log.append((ts, SOURCES[k], row, action, state, to or state, to is not None))
             if to is not None:
                 state, since = to, passes if to == "DEEP_TEST" else 0
-        return pd.DataFrame(log, columns=[x.split()[0] for x in LOG.split(", ")])
+        return log
 
-    order = ["ts_us", "is_action", "row_id", "k"]
-    return tree_scan(rows, ["gpu_uuid"], order, time_chunk("ts_us", win.chunk_us), summed, composed, applied, replayed, json.dumps(["HEALTHY", 0]).encode(), LOG)
+    order, start = ["ts_us", "is_action", "row_id", "k"], json.dumps(["HEALTHY", 0]).encode()
+    return tree_scan(rows, ["gpu_uuid"], order, ["action", "passes"], time_chunk("ts_us", win.chunk_us), summed, composed, applied, replayed, start, LOG)
 
 
 def deep_test_progress(fsm: DataFrame, events: DataFrame, win: WindowConfig = WindowConfig()) -> DataFrame:
