@@ -159,11 +159,15 @@ def drift_vs_reference(spark, d):
 fl AS (SELECT DISTINCT value, cume_dist() OVER (ORDER BY value) AS f FROM v),
 flb AS (SELECT value, f, coalesce(lag(f) OVER (ORDER BY value), 0) AS f0 FROM fl),
 gp AS (SELECT DISTINCT gpu_uuid, value, cume_dist() OVER (PARTITION BY gpu_uuid ORDER BY value) AS g FROM v),
-gpb AS (SELECT *, coalesce(lag(g) OVER (PARTITION BY gpu_uuid ORDER BY value), 0) AS g0 FROM gp)
-SELECT gpu_uuid, round(max(greatest(abs(g - f), abs(g0 - f0))), 6) AS ks FROM gpb JOIN flb USING (value) GROUP BY 1""")
+gpb AS (SELECT *, coalesce(lag(g) OVER (PARTITION BY gpu_uuid ORDER BY value), 0) AS g0 FROM gp),
+sizes AS (SELECT gpu_uuid, count(*) AS n, (SELECT count(*) FROM v) AS fleet_n FROM v GROUP BY 1),
+dist AS (SELECT gpu_uuid, max(greatest(abs(g - f), abs(g0 - f0))) AS ks FROM gpb JOIN flb USING (value) GROUP BY 1),
+tails AS (SELECT gpu_uuid, ks, n, fleet_n, ks * sqrt(n * fleet_n / (n + fleet_n)) AS t FROM dist JOIN sizes USING (gpu_uuid)),
+tested AS (SELECT gpu_uuid, ks, n, fleet_n, CASE WHEN t < 0.1 THEN 1.0 ELSE least(1, greatest(0, (SELECT 2 * sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * t * t)) FROM range(1, 200) r(k)))) END AS p FROM tails)
+SELECT gpu_uuid, n, fleet_n, round(ks, 6) AS ks, round(p, 6) AS p_value, p < 0.001 / (SELECT count(*) FROM sizes) AS rejected FROM tested""")
 def fleet_ks(spark, d):
     li = A.table(spark, d, "lineitem").select(A.gpu(F.col("l_suppkey")).alias("gpu_uuid"), F.col("l_extendedprice").alias("value"))
-    return rounded(I.fleet_ks(li).select("gpu_uuid", "ks"), "ks")
+    return rounded(I.fleet_ks(li), "ks", "p_value")
 
 
 @query()

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwatch.config import AlertConfig, WindowConfig
 from fleetwatch.functions.labels import event_key
 from fleetwatch.operators.patterns import consecutive_failures, distinct_sms_in_window
 from fleetwatch.plans.chunked import running, time_chunk
-from fleetwatch.plans.cut import cut
+from fleetwatch.plans.tree import tree_scan
 
 
 @dataclass(frozen=True)
@@ -140,53 +143,79 @@ def alert_rules(observations: DataFrame, rules: tuple[Rule, ...] = RULES) -> Dat
     return a.withColumn("alert_id", event_key(F.col("dedup_key"), F.col("observation_id")))
 
 
-def _cooled(rows: Column, start: Column, cooldown_us: Column) -> Column:
-    """Fold over a chunk's alerts in time order: (last sent time, ids sent)."""
-    init = F.struct(start.alias("last"), F.array().cast("array<string>").alias("ids"))
+class Sends:
+    """What a run of one key's alerts makes of the last sent time before it.
 
-    def step(acc: Column, r: Column) -> Column:
-        send = acc["last"].isNull() | (r["ts_us"] - acc["last"] >= cooldown_us)
-        return F.struct(
-            F.when(send, r["ts_us"]).otherwise(acc["last"]).alias("last"),
-            F.when(send, F.concat(acc["ids"], F.array(r["alert_id"]))).otherwise(acc["ids"]).alias("ids"),
-        )
+    An alert's chain is the alerts sent from it on: the next one is the first that is a cooldown later. Chains that
+    meet end alike, so the run is a short list of (time up to which the first sent alert may lie, last sent time then).
+    """
 
-    return F.aggregate(rows, init, step)
+    def __init__(self, steps: list[tuple[int, int]], cool: int):
+        self.steps, self.cool = steps, cool
+
+    @staticmethod
+    def of(times: list[int], cool: int) -> Sends:
+        """Times in order; the pointer to the next sendable alert moves with the alert, so this is one pass from the end."""
+        ends, steps, j = [0] * len(times), [], len(times)
+        for i in range(len(times) - 1, -1, -1):
+            while j > i + 1 and times[j - 1] >= times[i] + cool:
+                j -= 1
+            ends[i] = times[i] if j == len(times) else ends[j]
+            if not steps or steps[-1][1] != ends[i]:
+                steps.append((times[i], ends[i]))
+        return Sends(steps[::-1], cool)
+
+    def after(self, last: int | None) -> int | None:
+        """The last sent time after the run; None if none was ever sent."""
+        k = 0 if last is None else bisect_left(self.steps, (last + self.cool,))
+        return self.steps[k][1] if k < len(self.steps) else last
+
+    def then(self, later: Sends) -> Sends:
+        steps: list[tuple[int, int]] = []
+        for upto, end in [(t, later.after(e)) for t, e in self.steps] + later.steps:
+            if steps and steps[-1][1] == end:
+                steps[-1] = upto, end
+            else:
+                steps.append((upto, end))
+        return Sends(steps, self.cool)
+
+    def pack(self) -> bytes:
+        return json.dumps([self.steps, self.cool]).encode()
+
+    @staticmethod
+    def unpack(data: bytes) -> Sends:
+        steps, cool = json.loads(data)
+        return Sends([tuple(x) for x in steps], cool)
 
 
 def dedup_alerts(alerts: DataFrame, chunk_us: int = 86_400_000_000) -> DataFrame:
     """Keep an alert unless one with its key was sent less than its cooldown before.
 
-    The kept set depends on itself, so each (key, chunk) is folded from a start value:
-    the last sent time of the chunk before. All chunks first run as if nothing had been
-    sent; those whose start proves wrong run again until none does. A pause as long as
-    the cooldown makes a chunk independent of its start, so with
-    chunks much longer than the cooldown this takes two or three rounds.
+    A key's alerts share one cooldown, their rule's. The kept set depends on itself; a
+    chunk of a key's alerts composes to one short map of the last sent time, so chunks are scanned as a tree.
     """
     free = alerts.filter("cooldown_seconds = 0")
-    held = alerts.filter("cooldown_seconds > 0").withColumn("_chunk", time_chunk("ts_us", chunk_us))
-    groups = cut(
-        held.groupBy("dedup_key", "_chunk").agg(
-            F.array_sort(F.collect_list(F.struct("ts_us", "alert_id"))).alias("_rows"),
-            (F.max("cooldown_seconds").cast("long") * 1_000_000).alias("_cool"),
-        ).withColumn("_prev", F.lag("_chunk").over(Window.partitionBy("dedup_key").orderBy("_chunk")))
-    )
-    ids = ["dedup_key", "_chunk"]
-    run = lambda g: g.select(
-        *ids, F.col("_start").alias("_used"), _cooled(F.col("_rows"), F.col("_start"), F.col("_cool")).alias("_r")
-    )
-    done = cut(run(groups.withColumn("_start", F.lit(None).cast("long"))))
-    while True:
-        ends = done.select("dedup_key", F.col("_chunk").alias("_prev"), F.col("_r.last").alias("_start"))
-        want = groups.join(ends, ["dedup_key", "_prev"], "left")
-        stale = want.join(done.select(*ids, "_used"), ids).filter(~F.col("_start").eqNullSafe(F.col("_used")))
-        stale = cut(stale.drop("_used"))
-        if stale.isEmpty():
-            break
-        # A start that is already a cooldown old changes nothing; only its record is updated.
-        done = cut(done.join(stale.select(*ids), ids, "left_anti").unionByName(run(stale)))
-    sent = done.select(F.explode("_r.ids").alias("alert_id"))
-    return alerts.filter("cooldown_seconds > 0").join(sent, "alert_id", "left_semi").unionByName(free)
+    held = alerts.filter("cooldown_seconds > 0")
+
+    def summed(rows: list[tuple]) -> bytes:
+        return Sends.of([r[0] for r in rows], int(rows[0][2]) * 1_000_000).pack()
+
+    def composed(maps: list[bytes]) -> bytes:
+        return reduce(Sends.then, map(Sends.unpack, maps)).pack()
+
+    def applied(sends: bytes, last: bytes) -> bytes:
+        return json.dumps(Sends.unpack(sends).after(json.loads(last))).encode()
+
+    def replayed(rows: list[tuple], before: bytes) -> list[tuple]:
+        last, sent = json.loads(before), []
+        for ts, alert, cool in rows:
+            if last is None or ts - last >= cool * 1_000_000:
+                last = ts
+                sent.append((alert,))
+        return sent
+
+    sent = tree_scan(held, ["dedup_key"], ["ts_us", "alert_id"], ["cooldown_seconds"], time_chunk("ts_us", chunk_us), summed, composed, applied, replayed, b"null", "alert_id string")
+    return held.join(sent.select("alert_id"), "alert_id", "left_semi").unionByName(free)
 
 
 def cap_alerts(alerts: DataFrame, per_minute: int = AlertConfig().per_minute) -> DataFrame:

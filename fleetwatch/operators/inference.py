@@ -15,6 +15,7 @@ from fleetwatch.config import DistributionConfig, DivergenceConfig, EntropyConfi
 from fleetwatch.functions import vectors as V
 from fleetwatch.functions.special import ad_2sample, kolmogorov_sf, ks_2sample
 from fleetwatch.plans.chunked import running
+from fleetwatch.plans.ranks import bucket_of, splitters
 from fleetwatch.plans.scan import ewma, state_scan
 
 STAT_NAMES = ("mean", "variance", "kurtosis", "minimum", "maximum", "entropy")
@@ -193,19 +194,16 @@ def drift_vs_reference(current: DataFrame, reference: DataFrame, keys: list[str]
     return j.groupBy(*keys).agg(F.sum(p * F.ln(p / q)).alias("kl"), F.count("*").alias("bins_used"))
 
 
-def fleet_ks(values: DataFrame, key: str = "gpu_uuid", alpha: float = 0.001, cuts: int = 4096) -> DataFrame:
+def fleet_ks(values: DataFrame, key: str = "gpu_uuid", alpha: float = 0.001) -> DataFrame:
     """KS distance of each device's values from the whole fleet's, Bonferroni-corrected.
 
     Ranks come from running counts over value buckets, for the fleet and per device, so
-    neither the fleet nor a device is sorted in one task.
+    neither the fleet nor a device is sorted in one task. Buckets hold about equal numbers of rows.
     """
     counted = values.groupBy(key, "value").agg(F.count("*").alias("_n"))
-    span = values.agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    span = values.agg(splitters(F.col("value")).alias("_cuts"))
     c = counted.crossJoin(span)  # one row
-    bucket = F.when(
-        F.col("_hi") > F.col("_lo"), F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cuts)
-    ).otherwise(0).cast("long")
-    c = c.select(key, "value", "_n", bucket.alias("_b"))
+    c = c.select(key, "value", "_n", bucket_of(F.col("value"), F.col("_cuts")).cast("long").alias("_b"))
     fleet = running(c.groupBy("value", "_b").agg(F.sum("_n").alias("_n")), [], ["value"], F.col("_b"), {"_cf": ("sum", F.col("_n"))})
     fleet = fleet.select("value", "_cf", (F.col("_cf") - F.col("_n")).alias("_cf0"))
     own = running(c, [key], ["value"], F.col("_b"), {"_cg": ("sum", F.col("_n"))})

@@ -8,28 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def order_statistics(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    positions: Mapping[str, Column],
-    buckets: int = 4096,
-) -> DataFrame:
+def bucket_of(value: Column, splitters: Column, levels: int = 8) -> Column:
+    """How many of the sorted `splitters` (fewer than 2 ** levels) are at most `value`, by halving."""
+    step = F.array(*[F.lit(1 << k) for k in reversed(range(levels))])
+    return F.aggregate(step, F.lit(0), lambda at, s: F.when(F.get(splitters, at + s - 1) <= value, at + s).otherwise(at))
+
+
+def splitters(value: Column, buckets: int = 256) -> Column:
+    """An aggregate: up to `buckets` - 1 sorted values that cut a group's rows into about equal parts, from Spark's quantile sketch.
+
+    Outliers and infinities get no wider part than other values, as the cuts lie between rows and not between numbers.
+    """
+    return F.array_distinct(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 20 * buckets))
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, positions: Mapping[str, Column]) -> DataFrame:
     """Exact values at 0-based sorted positions per key.
 
     Each position is an expression over `n` (the group's row count). Three passes, each
-    partially aggregated before its shuffle: the range per key; row counts in equal-width
-    buckets, which locate every position; and value counts inside the buckets hit, a
+    partially aggregated before its shuffle: splitters per key from a quantile sketch; row counts in the
+    buckets between them, which locate every position; and value counts inside the buckets hit, a
     small share of the rows. The input is never shuffled as a whole or sorted by group.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
-    span = rows.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("n"))
-    placed = rows.join(span, list(keys)).withColumn(
-        "_b",
-        F.when(F.col("_hi") > F.col("_lo"),
-               F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets),
-                       F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int"),
-    )
+    span = rows.groupBy(*keys).agg(splitters(F.col("_x")).alias("_cuts"), F.count("*").alias("n"))
+    placed = rows.join(span, list(keys)).withColumn("_b", bucket_of(F.col("_x"), F.col("_cuts"))).drop("_cuts")
     per_bucket = placed.groupBy(*keys, "n", "_b").agg(F.count("*").alias("_bn"))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     wanted = F.explode(

@@ -1,13 +1,14 @@
 """Chunked plans against brute force; the answer must not depend on chunks or partitions."""
 
+import math
 import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from fleetwatch.plans.chunked import asof, distinct_in_window, running, sliding_counts, time_chunk
-from fleetwatch.plans.ranks import medians, with_previous
+from fleetwatch.plans.chunked import asof, distinct_in_window, positions, running, sliding_counts, time_chunk
+from fleetwatch.plans.ranks import bucket_of, medians, order_statistics, splitters, with_previous
 from fleetwatch.plans.scan import ewma, state_scan
 
 
@@ -130,3 +131,43 @@ def test_partition_count_does_not_change_results(spark, df):
         assert one == answer()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_outliers_and_infinities_leave_buckets_even(spark):
+    rng = random.Random(5)
+    values = [rng.gauss(0, 1) for _ in range(20_000)] + [1e300, -1e300, math.inf, -math.inf] + [0.25] * 3000
+    df = spark.createDataFrame([("k", v) for v in values], "k string, v double").repartition(4)
+    cut_at = df.groupBy("k").agg(splitters(F.col("v")).alias("c"))
+    sizes = df.filter("v <> 0.25").join(cut_at, "k").groupBy(bucket_of(F.col("v"), F.col("c")).alias("b")).count().collect()
+    assert len(sizes) > 200 and max(r["count"] for r in sizes) < 4 * len(values) / 256
+    n = F.col("n")
+    got = order_statistics(df, ["k"], "v", {"low": F.lit(0), "q": F.floor(n / 3), "high": n - 1, "p99": F.floor(n * 0.99)}).first()
+    s = sorted(values)
+    assert (got["low"], got["q"], got["high"], got["p99"]) == (-math.inf, s[len(s) // 3], math.inf, s[int(len(s) * 0.99)])
+
+
+def test_positions_of_rows_of_one_time(spark):
+    rows = [(7, f"{k:05}", k) for k in range(3000)] + [(k % 3, f"x{k}", k) for k in range(50)]
+    df = spark.createDataFrame(rows, "ts_us long, key string, v int").repartition(5)
+    got = positions(df, ["ts_us", "key"], "seq").collect()
+    assert [(r["ts_us"], r["key"]) for r in sorted(got, key=lambda r: r["seq"])] == sorted((t, k) for t, k, _ in rows)
+    assert sorted(r["seq"] for r in got) == list(range(len(rows)))
+
+
+def test_tree_of_cooldowns(spark):
+    from fleetwatch.operators.alerts import Sends
+
+    rng = random.Random(2)
+    for _ in range(300):
+        times = sorted(rng.randrange(60) for _ in range(rng.randrange(1, 30)))
+        cool, cuts = rng.randrange(1, 15), sorted(rng.randrange(31) for _ in range(2))
+        parts = [p for p in (times[a:b] for a, b in zip([0, *cuts], [*cuts, 99])) if p]
+        whole = Sends.of(parts[0], cool)
+        for p in parts[1:]:
+            whole = whole.then(Sends.unpack(Sends.of(p, cool).pack()))
+        for start in [None, *range(-20, 70, 3)]:
+            last = start
+            for t in times:
+                if last is None or t - last >= cool:
+                    last = t
+            assert whole.after(start) == last
