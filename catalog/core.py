@@ -71,6 +71,22 @@ def decayed_beliefs(spark, d):
     return rounded(b.drop("tier"), "alpha", "beta", "reliability")
 
 
+@query(with_(EV, f"""votes AS (SELECT l_orderkey AS canary_id, max(l_returnflag) FILTER (l_linenumber = 1) AS a, max(l_returnflag) FILTER (l_linenumber = 2) AS b, max(l_returnflag) FILTER (l_linenumber = 3) AS c,
+    max('GPU-' || l_suppkey) FILTER (l_linenumber = 1) AS g1, max('GPU-' || l_suppkey) FILTER (l_linenumber = 2) AS g2, max('GPU-' || l_suppkey) FILTER (l_linenumber = 3) AS g3
+  FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY sha256(l_returnflag), 'GPU-' || l_suppkey) = 1) GROUP BY 1)""",
+  f"""dissent AS (SELECT CASE WHEN b = c AND a <> b THEN g1 WHEN a = c AND a <> b THEN g2 WHEN a = b AND a <> c THEN g3 END AS gpu_uuid, {AS_OF} - canary_id % 700 * 3600000000 AS ts_us FROM votes)""",
+  f"""every AS (SELECT gpu_uuid, event_type, ts_us FROM evn UNION ALL SELECT gpu_uuid, 'tmr_dissent', ts_us FROM dissent WHERE gpu_uuid IS NOT NULL)""") + f"""SELECT gpu_uuid, {r6('alpha')}, {r6('beta')}, {r6('alpha / (alpha + beta)', 'reliability')} FROM (
+  SELECT gpu_uuid, 200.0 + sum(CASE WHEN event_type = 'probe_pass' THEN w ELSE 0 END) AS alpha,
+    CAST(0.1 AS DOUBLE) + sum(w * CASE WHEN event_type = 'probe_fail' THEN 1.0 WHEN event_type = 'tmr_dissent' THEN 2.0
+      WHEN event_type IN ('inference_anomaly','training_anomaly','invariant_violation','probe_error') THEN CAST(0.3 AS DOUBLE) ELSE 0 END) AS beta
+  FROM (SELECT *, pow(CAST(0.5 AS DOUBLE), ({AS_OF} - ts_us) / 3.6e9 / 168.0) AS w FROM every WHERE ts_us <= {AS_OF}) GROUP BY 1)""")
+def decayed_beliefs_tmr(spark, d):
+    """Dissents of canaries counted as evidence beside the events."""
+    votes = TR.majority_vote(A.tmr_results(spark, d)).withColumn("ts_us", F.lit(AS_OF) - F.col("canary_id") % 700 * 3_600_000_000)
+    e = ev(spark, d).select("gpu_uuid", "event_type", "ts_us").unionByName(B.dissent_events(votes))
+    return rounded(B.decayed_beliefs(e, AS_OF, 168.0, CFG).drop("tier"), "alpha", "beta", "reliability")
+
+
 @query(with_(EV) + f"""SELECT e.gpu_uuid,
     count(*) FILTER (e.event_type = 'probe_pass' AND ok) AS probe_passes,
     count(*) FILTER (e.event_type = 'probe_fail' AND ok) AS probe_failures,
@@ -228,6 +244,22 @@ def pattern_evidence(spark, d):
     return P.pattern_evidence(recent_patterns(spark, d), ev(spark, d), WIN)
 
 
+@query(with_(EV, FRAME, PATT) + f"""SELECT l.gpu_uuid, l.event_id AS trigger_id, l.pattern, CASE WHEN l.pattern = 'sm_localized' THEN l.sm_id END AS pattern_sm,
+    e.event_id, e.event_type, e.ts_us
+  FROM patterns l JOIN evn e ON e.gpu_uuid = l.gpu_uuid AND e.ts_us BETWEEN l.ts_us - {W_US} AND l.ts_us
+  WHERE CASE l.pattern
+    WHEN 'sm_localized' THEN e.event_type = 'probe_fail' AND e.sm_id = l.sm_id
+    WHEN 'thermal_correlated' THEN e.event_type IN ('probe_fail', 'thermal_spike')
+    WHEN 'power_correlated' THEN e.event_type IN ('probe_fail', 'power_anomaly')
+    WHEN 'ecc_correlated' THEN e.event_type IN ('ecc_error', 'probe_fail', 'inference_anomaly', 'training_anomaly')
+    WHEN 'multi_signal' THEN e.event_type IN ('ecc_error', 'probe_fail', 'inference_anomaly', 'training_anomaly', 'invariant_violation')
+    WHEN 'anomaly_without_probe' THEN e.event_type IN ('inference_anomaly', 'training_anomaly', 'invariant_violation')
+    ELSE e.event_type IN ('probe_fail', 'inference_anomaly', 'training_anomaly', 'invariant_violation') END""")
+def pattern_links(spark, d):
+    """The events behind every pattern row, not only the latest ones."""
+    return P.pattern_evidence(match_patterns(spark, d), ev(spark, d), WIN)
+
+
 @query(with_(EV) + f"""SELECT e.gpu_uuid, t.event_id AS trigger_id, e.event_id, e.event_type, e.ts_us FROM evn e
   JOIN (SELECT gpu_uuid, max_by(event_id, ts_us) AS event_id, max(ts_us) AS ts_us FROM evn GROUP BY 1) t
   ON e.gpu_uuid = t.gpu_uuid AND e.ts_us BETWEEN t.ts_us - {W_US} AND t.ts_us""")
@@ -242,12 +274,20 @@ _FAILING = "('probe_fail', 'inference_anomaly', 'training_anomaly')"
 
 @query(with_(EV) + f"""SELECT t.hostname, t.event_id, t.ts_us, 'node_correlated' AS pattern, CAST(0.7 AS DOUBLE) AS confidence, 3 AS severity,
     count(DISTINCT CASE WHEN f.event_type IN {_FAILING} THEN f.gpu_uuid END) AS failing_gpus, count(*) AS contributing
+  , arg_max(f.gpu_uuid, (f.ts_us, f.event_id)) FILTER (f.event_type IN {_FAILING}) AS gpu_uuid
   FROM evn t JOIN evn f ON f.hostname = t.hostname AND f.ts_us BETWEEN t.ts_us - {W_US} AND t.ts_us
   GROUP BY 1, 2, 3 HAVING failing_gpus >= 2""")
 def node_correlated(spark, d):
     return P.node_correlated(ev(spark, d), WIN)
 
 
+@query(with_(EV, f"""hits AS (SELECT t.hostname, t.event_id, t.ts_us FROM evn t JOIN evn f ON f.hostname = t.hostname AND f.ts_us BETWEEN t.ts_us - {W_US} AND t.ts_us
+  WHERE f.event_type IN {_FAILING} GROUP BY 1, 2, 3 HAVING count(DISTINCT f.gpu_uuid) >= 2)""") + f"""SELECT h.hostname, h.event_id AS trigger_id, e.event_id, e.gpu_uuid, e.event_type, e.ts_us
+  FROM hits h JOIN evn e ON e.hostname = h.hostname AND e.ts_us BETWEEN h.ts_us - {W_US} AND h.ts_us""")
+def node_evidence(spark, d):
+    return P.node_evidence(node_correlated(spark, d), ev(spark, d), WIN)
+
+
 @query(with_(EV, GPUS) + f"""SELECT t.firmware_version, t.event_id, t.ts_us, 'firmware_correlated' AS pattern, CAST(0.7 AS DOUBLE) AS confidence, 3 AS severity,
     count(DISTINCT f.gpu_uuid) AS failing_gpus
   FROM (SELECT e.*, g.firmware_version FROM evn e JOIN gpus g USING (gpu_uuid)) t

@@ -182,6 +182,11 @@ def page_after(spark, d):
     return H.page(A.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 500, 200)
 
 
+@query("SELECT o_orderkey, o_custkey, (SELECT count(*) FROM orders) AS total_count FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 200")
+def page_with_total(spark, d):
+    return H.page_with_total(A.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 500, 200)
+
+
 @query(with_(EV) + "SELECT gpu_uuid, event_id, score FROM evn WHERE event_type LIKE 'probe_%' ORDER BY score DESC, event_id")
 def sort_probes(spark, d):
     p = ev(spark, d).filter(F.col("event_type").startswith("probe_")).select("gpu_uuid", "event_id", "score")

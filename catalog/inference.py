@@ -213,6 +213,14 @@ def hamming_distance(spark, d):
     return t.select("doc_id", V.hamming128(a, b).cast("long").alias("hamming"))
 
 
+@query()
+def similar_fingerprints(spark, d):
+    """Links between different fingerprints at most 6 bits apart, among the captures and a slightly disturbed copy of each."""
+    c = cap(spark, d)
+    shifted = c.withColumn("request_id", -1 - F.col("request_id")).withColumn("logits", F.transform("logits", lambda x, i: F.when(i % 7 == 0, x + 0.05).otherwise(x)))
+    return I.similar_fingerprints(I.fingerprints(c.unionByName(shifted)), "request_id", 6)[1]
+
+
 @query()
 def fingerprint_copies(spark, d):
     return I.fingerprint_copies(I.fingerprints(cap(spark, d)), "request_id")

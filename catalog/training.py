@@ -85,9 +85,12 @@ ph AS (SELECT run_id, step, hash, count(*) AS n FROM gh GROUP BY ALL),
 dv AS (SELECT run_id, step, sum(n)::BIGINT AS ranks, count(*) AS unique_hashes, first(hash ORDER BY n DESC, hash) AS majority_hash, max(n) AS majority_count FROM ph GROUP BY 1, 2 HAVING count(*) > 1)"""
 
 
-@query(with_(HASH) + "SELECT run_id, step, CAST(ranks - majority_count AS DOUBLE) AS score, unique_hashes, majority_hash, majority_count FROM dv")
+@query(with_(HASH) + """SELECT run_id, step, CAST(ranks - majority_count AS DOUBLE) AS score, unique_hashes, majority_hash, majority_count,
+  (SELECT string_agg(hash || '=' || n, ',' ORDER BY hash) FROM ph WHERE ph.run_id = dv.run_id AND ph.step = dv.step) AS distribution FROM dv""")
 def cross_rank_divergence(spark, d):
-    return TN.cross_rank_divergence(A.grad_hashes(spark, d))
+    found = TN.cross_rank_divergence(A.grad_hashes(spark, d))
+    parts = F.transform(F.map_entries("distribution"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return found.withColumn("distribution", F.array_join(parts, ","))
 
 
 @query(with_(HASH) + "SELECT g.run_id, g.step, g.rank, g.hash FROM gh g JOIN dv USING (run_id, step) WHERE g.hash <> dv.majority_hash")

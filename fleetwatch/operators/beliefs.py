@@ -76,6 +76,11 @@ def credible_bounds(beliefs: DataFrame, confidence: float = 0.95) -> DataFrame:
     return beliefs.withColumn("lower_bound", ppf("alpha", "beta"))
 
 
+def dissent_events(votes: DataFrame) -> DataFrame:
+    """Events (gpu_uuid, event_type, ts_us) of the devices that a canary's majority disagreed with; `votes` carry the canary's ts_us."""
+    return votes.filter("outcome = 'dissent'").select(F.col("dissenter_gpu").alias("gpu_uuid"), F.lit("tmr_dissent").alias("event_type"), "ts_us")
+
+
 def decayed_beliefs(
     events: DataFrame, as_of_us: int | Column, half_life_hours: float = 168.0, cfg: BeliefConfig = BeliefConfig()
 ) -> DataFrame:

@@ -250,6 +250,11 @@ def page(df: DataFrame, key: str, after: int | None, limit: int) -> DataFrame:
     return q.orderBy(key).limit(limit)
 
 
+def page_with_total(df: DataFrame, key: str, after: int | None, limit: int) -> DataFrame:
+    """A page whose rows also tell how many rows there are in all."""
+    return page(df, key, after, limit).crossJoin(df.agg(F.count("*").alias("total_count")))  # one row
+
+
 def sort_by(df: DataFrame, field: str, descending: bool = False, tie: str = "gpu_uuid") -> DataFrame:
     c = F.col(field)
     return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), tie)

@@ -15,6 +15,7 @@ from fleetwatch.config import DistributionConfig, DivergenceConfig, EntropyConfi
 from fleetwatch.functions import vectors as V
 from fleetwatch.functions.special import ad_2sample, kolmogorov_sf, ks_2sample
 from fleetwatch.plans.chunked import running
+from fleetwatch.plans.cut import cut
 from fleetwatch.plans.ranks import bucket_of, splitters
 from fleetwatch.plans.scan import ewma, state_scan
 
@@ -363,6 +364,45 @@ def fingerprint_copies(prints: DataFrame, id_col: str) -> DataFrame:
     return prints.join(first, "fingerprint").select(id_col, "first_id", "copies")
 
 
+def _cut_bytes(places: list[int], parts: int) -> list[list[int]]:
+    """Byte places dealt out to `parts` runs of about equal length."""
+    edge = [len(places) * k // parts for k in range(parts + 1)]
+    return [places[a:b] for a, b in zip(edge, edge[1:])]
+
+
+def band_keys(fingerprint: Column, radius: int) -> Column:
+    """Keys of which two 16-byte fingerprints within `radius` bits share at least one.
+
+    Of radius + 1 bands two such fingerprints agree in one whole band; of radius + 1 parts of the other bytes they then
+    agree in one part as well. Keys name a band and a part, so a value that very many fingerprints have in a band is split.
+    """
+    keys = []
+    for k, band in enumerate(_cut_bytes(list(range(16)), radius + 1)):
+        rest = [b for b in range(16) if b not in band]
+        for j, part in enumerate(_cut_bytes(rest, radius + 1)):
+            keys.append(F.concat(F.lit(bytes([k, j])), *[F.substring(fingerprint, b + 1, 1) for b in [*band, *part]]))
+    return F.array(*keys)
+
+
+def similar_fingerprints(prints: DataFrame, id_col: str, radius: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Near-equal fingerprints: members (id, representative, copies) and links between representatives.
+
+    Equal fingerprints are one representative, the smallest id, ; links (a < b) are all pairs of
+    representatives at most `radius` bits apart, from an equi join on band keys verified by the bits that differ. Copies
+    are never expanded into pairs. `radius` is at most 6, so that no part is empty. NULL fingerprints and those of another length are in neither.
+    """
+    if not 0 <= radius <= 6:
+        raise ValueError("radius must lie between 0 and 6")
+    sound = prints.filter(F.octet_length("fingerprint") == 16)
+    first = cut(sound.groupBy("fingerprint").agg(F.min(id_col).alias("representative"), F.count("*").alias("copies")))
+    members = sound.select(id_col, "fingerprint").join(first, "fingerprint").select(id_col, "representative", "copies")
+    keyed = first.select("representative", "fingerprint", F.explode(band_keys(F.col("fingerprint"), radius)).alias("_key"))
+    a = keyed.select("_key", F.col("representative").alias("a"), F.col("fingerprint").alias("_fa"))
+    b = keyed.select("_key", F.col("representative").alias("b"), F.col("fingerprint").alias("_fb"))
+    near = a.join(b, "_key").filter("a < b").withColumn("hamming", V.hamming128(F.col("_fa"), F.col("_fb")))
+    return members, near.filter(F.col("hamming") <= radius).select("a", "b", "hamming").distinct()
+
+
 def check_invariants(captures: DataFrame, max_logit: float = 100.0, tolerance: float = 1e-4) -> DataFrame:
     """Rows that break a numeric rule, one row per (request, rule)."""
     x = F.col("logits")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwatch.config import WindowConfig
-from fleetwatch.plans.chunked import distinct_in_window, running, sliding_counts, time_chunk
+from fleetwatch.plans.chunked import asof, distinct_in_window, running, sliding_counts, time_chunk
 
 # Pattern name, confidence and severity.
 PATTERNS = {
@@ -42,20 +42,19 @@ def window_counts(events: DataFrame, win: WindowConfig = WindowConfig()) -> Data
     )
 
 
-def window_events(events: DataFrame, triggers: DataFrame, win: WindowConfig = WindowConfig()) -> DataFrame:
-    """Events in the trailing window of given triggers (gpu_uuid, trigger_id, trigger_us).
+def window_events(events: DataFrame, triggers: DataFrame, win: WindowConfig = WindowConfig(), key: str = "gpu_uuid") -> DataFrame:
+    """Events in the trailing window of given triggers (`key`, trigger_id, trigger_us).
 
-    Meant for a set of triggers such as each device's latest: its output is the sum of
-    their windows. Devices are cut into window-wide buckets, so the join spreads.
+    Its output is the sum of the triggers' windows. Keys are cut into window-wide buckets, so the join spreads.
     """
     b = win.window_us
     t = triggers.select(
-        "gpu_uuid", "trigger_id", "trigger_us",
+        key, "trigger_id", "trigger_us",
         F.explode(F.sequence(F.floor((F.col("trigger_us") - b) / b), F.floor(F.col("trigger_us") / b))).alias("_b"),
     )
     e = events.withColumn("_b", F.floor(F.col("ts_us") / b))
     keep = (F.col("ts_us") <= F.col("trigger_us")) & (F.col("ts_us") >= F.col("trigger_us") - b)
-    return e.join(t, ["gpu_uuid", "_b"]).filter(keep).drop("_b")
+    return e.join(t, [key, "_b"]).filter(keep).drop("_b")
 
 
 def _conditions() -> dict[str, Column]:
@@ -219,13 +218,25 @@ def correlated_group(
 
 
 def node_correlated(events: DataFrame, win: WindowConfig = WindowConfig(), min_gpus: int = 2) -> DataFrame:
-    """Also counts all events of the host in the frame, which are its evidence."""
+    """Also counts all events of the host in the frame, which are its evidence (`node_evidence`).
+
+    gpu_uuid is the device the pattern is put down to: that of the latest failure up to the event (ties: the largest event id).
+    """
     hits = correlated_group(events, "hostname", "node_correlated", win, min_gpus)
     all_rows = sliding_counts(
         events.select("hostname", "event_id", "ts_us"), ["hostname"], "ts_us", win.window_us, win.chunk_us,
         {"contributing": F.lit(True)},
     )
-    return hits.join(all_rows.select("event_id", "contributing"), "event_id")
+    failing = events.filter(F.col("event_type").isin(*FAILING)).select("hostname", "gpu_uuid", "event_id", "ts_us")
+    blamed = asof(hits.join(all_rows.select("event_id", "contributing"), "event_id"), failing, ["hostname"], "ts_us", win.chunk_us, "_f", tie="event_id")
+    return blamed.withColumn("gpu_uuid", F.col("_f.gpu_uuid")).drop("_f")
+
+
+def node_evidence(patterns: DataFrame, events: DataFrame, win: WindowConfig = WindowConfig()) -> DataFrame:
+    """The events behind host patterns: one row per (pattern row, event of the host in its window)."""
+    t = patterns.select("hostname", F.col("event_id").alias("trigger_id"), F.col("ts_us").alias("trigger_us"))
+    hit = window_events(events.select("hostname", "gpu_uuid", "event_id", "event_type", "ts_us"), t, win, "hostname")
+    return hit.select("hostname", "trigger_id", "event_id", "gpu_uuid", "event_type", "ts_us")
 
 
 def firmware_correlated(events: DataFrame, gpus: DataFrame, win: WindowConfig = WindowConfig(), min_gpus: int = 3):

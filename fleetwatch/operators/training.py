@@ -171,15 +171,19 @@ def improvement_plateau(
 # --- ranks and devices -----------------------------------------------------------
 
 def cross_rank_divergence(hashes: DataFrame) -> DataFrame:
-    """Steps whose ranks disagree: majority hash (ties: smallest) and suspect count."""
+    """Steps whose ranks disagree: majority hash (ties: smallest), suspect count and the ranks that hold each hash.
+
+    A step has at most as many hashes as ranks, so its distribution is a short map.
+    """
     per_hash = hashes.groupBy("run_id", "step", "hash").agg(F.count("*").alias("n"))
     s = per_hash.groupBy("run_id", "step").agg(
         F.sum("n").alias("ranks"), F.count("*").alias("unique_hashes"),
         F.min(F.struct((-F.col("n")).alias("n"), "hash")).alias("_m"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("hash", "n")))).alias("distribution"),
     )
     return s.filter("unique_hashes > 1").select(
         "run_id", "step", (F.col("ranks") + F.col("_m.n")).cast("double").alias("score"), "unique_hashes",
-        F.col("_m.hash").alias("majority_hash"), (-F.col("_m.n")).alias("majority_count"),
+        F.col("_m.hash").alias("majority_hash"), (-F.col("_m.n")).alias("majority_count"), "distribution",
     )
 
 
