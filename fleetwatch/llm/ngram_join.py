@@ -78,11 +78,11 @@ def _read_sets(n: int):
                         seen.add(k)
                         np.add.at(counts, (s & np.uint64(cells.CELLS - 1)).astype(np.int64), np.uint64(1))
                 size = j - i
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[i:j], "set": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[i:j], "text_key": batch.column("text_key")[i:j], "set": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
                                                   "block": pa.nulls(size, pa.int64()), "counts": pa.nulls(size, pa.binary())})
         found = list(cells.rows(counts))
         size = len(found)
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(size, pa.int64()), "set": pa.nulls(size, pa.int64()), "n": pa.nulls(size, pa.int64()),
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(size, pa.int64()), "text_key": pa.nulls(size, pa.int64()), "set": pa.nulls(size, pa.int64()), "n": pa.nulls(size, pa.int64()),
                                           "block": pa.array([b for b, _ in found], pa.int64()), "counts": pa.array([c for _, c in found], pa.binary())})
 
     return read
@@ -270,11 +270,12 @@ def _proposals(lists: DataFrame, maps: DataFrame, known: tuple[DataFrame, DataFr
 
 
 def classes(docs: DataFrame, limits: JoinLimits = JoinLimits()) -> tuple[DataFrame, DataFrame]:
-    """doc_id, set and n of each document; and node, root of the classes that are linked with another."""
+    """doc_id, text_key (a hash of the text), set and n of each document; and node, root of the classes that are linked with another."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    first = cut(texts.mapInArrow(_read_sets(limits.n), "doc_id long, set long, n long, block long, counts binary"))
-    members = first.where("block IS NULL").select("doc_id", "set", "n")
+    keyed = texts.withColumn("text_key", F.xxhash64("text"))
+    first = cut(keyed.mapInArrow(_read_sets(limits.n), "doc_id long, text_key long, set long, n long, block long, counts binary"))
+    members = first.where("block IS NULL").select("doc_id", "text_key", "set", "n")
     frequency = spark.sparkContext.broadcast(np.minimum(cells.gather(first.where("block IS NOT NULL").select("block", "counts")), np.uint64((1 << 24) - 1)))
 
     grams = texts.select("text").mapInArrow(_read_prefixes(limits, frequency), "gram long, set long, n long")
@@ -341,9 +342,23 @@ def near_duplicates(docs: DataFrame, limits: JoinLimits = JoinLimits()) -> DataF
 
 
 def keep_one(docs: DataFrame, limits: JoinLimits = JoinLimits()) -> DataFrame:
-    """The document with the smallest id of each component, all columns. Rows without an id stay; of rows that repeat an id and a text one stays."""
-    found = cut(near_duplicates(docs, limits))
-    lost = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if again else kept
+    """One row of each component, all columns: that with the smallest id, and of texts with that id the one with the smallest hash.
+
+    Rows without an id stay, whatever they repeat. Rows without words are components of their own. Of rows that
+    repeat an id and a text one stays. Two texts with one id are two documents, each judged by its own component.
+    """
+    members, roots = classes(docs, limits)
+    rooted = members.where("doc_id IS NOT NULL").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    found = cut(rooted.groupBy("doc_id", "text_key", "n", "root").agg(F.count("*").alias("rows")))
+    row = F.struct("doc_id", "text_key")
+    best = found.where("n > 0").groupBy("root").agg(F.min(row).alias("best"))
+    judged = found.join(best, "root", "left").withColumn("lost", (F.col("n") > 0) & (row != F.col("best")))
+    key = ["doc_id", "text_key"]
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.xxhash64(F.col("text").cast("binary"))})
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+
+    lost, repeated = cut(named(judged.where("lost").select(*key))), cut(named(judged.where("NOT lost AND rows > 1").select(*key)))
+    single = keyed.join(lost.union(repeated), ["_id", "_key"], "left_anti")
+    return single.select(*docs.columns).union(keyed.join(repeated, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns))

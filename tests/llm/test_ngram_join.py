@@ -69,6 +69,16 @@ def test_one_of_each_group_stays(awkward, no_docs):
     assert ngram_join.keep_one(no_docs).count() == 0
 
 
+def test_keep_one_loses_no_text_and_no_row_without_an_id(spark):
+    a, b, c = ("".join(f"{p}{i} " for i in range(30)) for p in "abc")
+    rows = [(3, a, 1), (7, a, 2), (7, b, 3), (None, c, 4), (None, c, 5), (8, None, 6), (8, None, 6), (9, "", 7), (10, c, 8), (11, c, 9), (12, b, 10), (12, b, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int").repartition(3)
+    kept = sorted(r["k"] for r in ngram_join.keep_one(docs).collect())
+    assert kept == [1, 3, 4, 5, 6, 7, 8]
+    unrepeated = docs.where("k NOT IN (6, 10)")
+    assert sorted(r["k"] for r in ngram_join.keep_one(unrepeated).collect()) == [1, 3, 4, 5, 7, 8]
+
+
 def test_components_across_tasks(spark, monkeypatch):
     from fleetwatch.llm import components as module
 
