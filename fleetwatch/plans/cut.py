@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, kind: str = "cut") -> str:
     """A new path under the checkpoint folder; all of a session's paths share one sub-folder, so that it can be removed whole."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/fleetwatch-{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/fleetwatch-{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+#: Paths made inside each open `dropping`, innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def dropping(spark: SparkSession) -> Iterator[None]:
+    """Removes what is written to new shared paths inside, once its results have been written elsewhere.
+
+    Frames that read those paths can't be used after.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,5 +66,4 @@ def cut(df: DataFrame) -> DataFrame:
 
 def clean(spark: SparkSession) -> None:
     """Remove what this session wrote under the checkpoint folder; frames made from it can't be read after."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/fleetwatch-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, f"{checkpoint_dir(spark).rstrip('/')}/fleetwatch-{spark.sparkContext.applicationId}")
