@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetwatch.llm import co_training, host_rules, mixing, ngram_join, pieces
-from fleetwatch.plans.cut import shared_path
+from fleetwatch.plans.cut import dropping, shared_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,8 +24,11 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near and exact copies."""
-    return ngram_join.keep_one(docs).select(*COLUMNS)
+    """One document of each group of near and exact copies. The join's intermediates go once it is written."""
+    path = shared_path(spark, "unique")
+    with dropping(spark):
+        ngram_join.keep_one(docs).select(*COLUMNS).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
