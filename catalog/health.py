@@ -142,9 +142,12 @@ def text_search_documents(spark, d):
     return H.text_search(A.documents(spark, d), ["text", "source"], "LICENSE").select("doc_id", "lang", "source")
 
 
-@query(HV + f"SELECT gpu_uuid, state, state_since_us, tier, {r6('reliability')} FROM hv WHERE state <> 'HEALTHY'")
+@query(HV + f"""SELECT hv.gpu_uuid, state, state_since_us, hv.tier, {r6('hv.reliability', 'reliability')}, w.action AS reason, w.event_id AS reason_event, b.probe_failures, b.anomalies
+  FROM hv LEFT JOIN (SELECT * FROM auto QUALIFY row_number() OVER (PARTITION BY gpu_uuid ORDER BY ts_us DESC, event_id DESC) = 1) w ON w.gpu_uuid = hv.gpu_uuid
+  LEFT JOIN belief b ON b.gpu_uuid = hv.gpu_uuid WHERE state <> 'HEALTHY'""")
 def quarantine_queue(spark, d):
-    return rounded(Q.quarantine_queue(hv(spark, d)).select("gpu_uuid", "state", "state_since_us", "tier", "reliability"), "reliability")
+    queue = Q.quarantine_queue(hv(spark, d)).select("gpu_uuid", "state", "state_since_us", "tier", "reliability")
+    return rounded(Q.queue_reasons(queue, _auto(spark, d), B.gpu_beliefs(ev(spark, d), CFG)), "reliability")
 
 
 @query(HV + "SELECT gpu_uuid FROM states WHERE state = 'HEALTHY'")

@@ -217,6 +217,16 @@ def quarantine_queue(health: DataFrame, state: str | None = None) -> DataFrame:
     return q.filter(F.col("state") == state) if state else q
 
 
+def queue_reasons(queue: DataFrame, transitions: DataFrame, beliefs: DataFrame) -> DataFrame:
+    """The queue with why each device is in it: the action of its latest transition, the event behind it and the
+    evidence against it so far (`beliefs`: probe_failures, anomalies). NULL reason for a device without a transition."""
+    t = transitions.filter("applied") if "applied" in transitions.columns else transitions
+    row = "row_id" if "row_id" in t.columns else "event_id"
+    last = t.groupBy("gpu_uuid").agg(F.max_by(F.struct("action", F.col(row).alias("event_id")), F.struct("ts_us", row)).alias("_l"))
+    why = last.select("gpu_uuid", F.col("_l.action").alias("reason"), F.col("_l.event_id").alias("reason_event"))
+    return queue.join(why, "gpu_uuid", "left").join(beliefs.select("gpu_uuid", "probe_failures", "anomalies"), "gpu_uuid", "left")
+
+
 def filter_directives(transitions: DataFrame, gpus: DataFrame, hostname: str | None = None, action: str | None = None):
     """Applied transitions as directives, narrowed by host and action."""
     t = transitions if action is None else transitions.filter(F.col("action") == action)
