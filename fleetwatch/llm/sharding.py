@@ -77,7 +77,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 20240
     mixed = F.xxhash64(*[F.col("row")[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"])
     order = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed), *key), *key, mixed)
     dealt = plain.repartition(buckets, "bucket").withColumn("nth", F.row_number().over(order))
-    at = dealt.join(places, "bucket").select("row", (F.col("offset") + F.get("places", F.col("nth") - 1)).alias("at"))
+    # Both sides lie by bucket already. The places of all records are no table to broadcast, small as they look.
+    at = dealt.join(places.hint("merge"), "bucket").select("row", (F.col("offset") + F.get("places", F.col("nth") - 1)).alias("at"))
     at = at.withColumn("to", F.expr(f"at * {shards} div {rows}").cast("int"))
     out = at.select("row.*", F.col("to").alias(names[0]), F.expr(f"at - (to * {rows}L + {shards - 1}) div {shards}").alias(names[1]))
     out.sortWithinPartitions(*names).write.partitionBy(names[0]).parquet(path)
