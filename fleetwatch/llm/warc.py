@@ -27,7 +27,9 @@ RECORD = "page_id long, url string, record_type string, refers_to long, payload_
 #: Payloads below this many bytes are always written out.
 LEAST = 1000
 #: An archive ends at about so many bytes; ranges of a task stay within as many bytes of a file.
-ARCHIVE, SPAN = 1 << 30, 64 << 20
+ARCHIVE, SPAN = 1 << 30, 16 << 20
+#: Bytes of records that one reading task takes.
+TASK = 32 << 20
 #: Ranges no further apart than GAP are read at once, READ bytes at most.
 GAP, READ = 64 << 10, 8 << 20
 _PLAIN = re.compile(r"[\x00-\x20\x7f]")
@@ -163,7 +165,11 @@ def read_records(index: DataFrame) -> DataFrame:
 
     A record whose payload doesn't fit its digest raises an error.
     """
-    places = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / SPAN)).sortWithinPartitions("file", "offset")
+    places = cut(index.select("file", "offset", "length"))
+    total = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    # As many tasks as the bytes behind the index need: by the index's own size all would be one.
+    tasks = max(places.sparkSession.sparkContext.defaultParallelism, -(-total // TASK))
+    places = places.repartition(tasks, "file", F.floor(F.col("offset") / SPAN)).sortWithinPartitions("file", "offset")
     return places.mapInPandas(_read, RECORD)
 
 
