@@ -116,12 +116,20 @@ class Lattice:
         return out
 
     def search(self, text: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best paths, best first: score and ids. Fewer if there are fewer."""
+        """The n best paths, best first: score and ids. Fewer if there are fewer.
+
+        Of equal scores the path that has come furthest goes first. A node is passed n times at most, as the forward
+        scores are exact: a later path through it is no better than the n that end before it. So work is in
+        proportion to the text, however many paths are tied.
+        """
         best = self.forward(text)
-        order, found = itertools.count(), []
-        agenda = [(-best[-1], next(order), len(text), 0.0, None)]
+        order, found, passed = itertools.count(), [], [0] * (len(text) + 1)
+        agenda = [(-best[-1], len(text), next(order), 0.0, None)]
         while agenda and len(found) < n:
-            _, _, node, behind, path = heapq.heappop(agenda)
+            _, node, _, behind, path = heapq.heappop(agenda)
+            if passed[node] == n:
+                continue
+            passed[node] += 1
             if node == 0:
                 steps = []
                 while path is not None:
@@ -130,7 +138,7 @@ class Lattice:
                 found.append((behind, self.expand(text, steps)))
                 continue
             for start, i, v in self.edges_to(text, node):
-                heapq.heappush(agenda, (-(behind + v + best[start]), next(order), start, behind + v, ((start, i), path)))
+                heapq.heappush(agenda, (-(behind + v + best[start]), start, next(order), behind + v, ((start, i), path)))
         return found
 
     def best(self, segments: list[str]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
@@ -277,7 +285,10 @@ class Encoder:
         for k in few.tolist():
             name = int(at[k])
             if name not in self.paths:
-                self.paths[name] = self.lattice.search(self.names[name], self.n_best)
+                own = self.ids[self.offset[name] : self.offset[name + 1]].tolist()
+                found = self.lattice.search(self.names[name], self.n_best)
+                # Of tied best paths the one in use is the first, so no alternative repeats it.
+                self.paths[name] = [(found[0][0], own), *(x for x in found if x[1] != own)][: self.n_best]
             choices.append([(self.paths[name][0][0] - v, ids) for v, ids in self.paths[name]])
         start = (0,) * len(choices)
         agenda, seen, out = [(0.0, start)], {start}, []

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -78,3 +79,19 @@ def test_dropping_kept_segments_changes_nothing(vocabulary, monkeypatch):
     encoder = pieces.Encoder(vocabulary, 3)
     got = [(i.tolist(), s) for at in range(0, 60, 7) for i, s, _ in encoder.encode(texts[at : at + 7])]
     assert got == want
+
+
+def test_long_tied_segments_end_soon(vocabulary):
+    """Scores are whole ranks, so runs of one letter have very many best paths; none is lost and none is repeated."""
+    encoder = pieces.Encoder(vocabulary, 4)
+    texts = ["a" * 100_000, "ab" * 3000, "a" * 30]
+    before = time.process_time()
+    for text, (ids, scores, changes) in zip(texts, encoder.encode(texts)):
+        assert encoder.decode(ids).decode() == text and scores == sorted(scores, reverse=True) and len(scores) == 4
+        alternatives = [tuple(c[0][1]) for c in changes]
+        assert len({tuple(ids.tolist()), *alternatives}) == 4
+        rank = lambda path: sum(vocabulary.scores[i] for i in path)
+        assert [rank(ids.tolist()), *map(rank, alternatives)] == pytest.approx(scores)
+    assert time.process_time() - before < 60
+    short = "▁" + "a" * 12
+    assert [s for s, _ in encoder.lattice.search(short, 6)] == pytest.approx([s for s, _ in every_path(encoder.lattice, vocabulary, short)[:6]])
