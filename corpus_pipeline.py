@@ -18,8 +18,12 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that two co-trained views hold to be good."""
-    views = co_training.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that two co-trained views hold to be good.
+
+    The views learn from all documents, those too that the rules rejected: they are most of the known bad ones.
+    """
+    raw, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    views = co_training.fit(raw, labels)
     return co_training.score(docs, COLUMNS, views, only_kept=True).select(*COLUMNS)
 
 
