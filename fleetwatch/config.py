@@ -78,6 +78,9 @@ class SpectralConfig:
     baseline_window: int = 500
     hf_ratio: float = 0.3
     cutoff_fraction: float = 0.75
+    z_warning: float = 4.0
+    z_critical: float = 6.0
+    cosine: float = 0.8
 
 
 @dataclass(frozen=True)

@@ -232,37 +232,46 @@ def spectral_features(captures: DataFrame, cfg: SpectralConfig = SpectralConfig(
 
 FOUND = "stat_name string, observed double, baseline_n int, severity string"
 
-#: Limits on the share's z-score (warning, critical) and on the spectra's cosine.
-Z_LIMITS, COSINE_LIMIT = (4.0, 6.0), 0.8
 #: Significance levels that an index chooses from.
 LEVELS = (0.15, 0.10, 0.05, 0.025, 0.01)
 
 
-class CleanSpectra:
-    """Shares and spectra of the latest clean rows. Each row's checks are columns of a block."""
+#: Rows that are scored at once, at least and at most.
+RUN = (8, 256)
 
-    def __init__(self, size: int, saved: bytes):
-        self.size = size
-        self.rows: deque[tuple[float, bytes]] = deque(pickle.loads(saved) if saved else (), maxlen=size)
-
-    def z_score(self, share: float) -> float:
-        """0 while there are few rows or none of them differ."""
-        if 2 * len(self.rows) < self.size - self.size % 2:
-            return 0.0
-        shares = np.fromiter((r for r, _ in self.rows), float, len(self.rows))
-        spread = shares.std()
-        return (share - shares.mean()) / spread if spread > 1e-12 else 0.0
-
-    def cosine(self, spectrum: np.ndarray) -> float:
-        """With the mean spectrum of this length; 1 where there is nothing to compare with."""
-        if 2 * len(self.rows) < self.size - self.size % 2 or not self.rows or len(self.rows[-1][1]) != spectrum.nbytes:
-            return 1.0
-        mean = np.stack([np.frombuffer(b) for _, b in self.rows if len(b) == spectrum.nbytes]).mean(axis=0)
-        size = np.sqrt(spectrum @ spectrum), np.sqrt(mean @ mean)
-        return float(spectrum @ mean / (size[0] * size[1])) if min(size) > 1e-12 else 1.0
 
-    def save(self) -> bytes:
-        return pickle.dumps(list(self.rows), protocol=5)
+def _widened(spectra: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(spectra, ((0, 0), (0, width - spectra.shape[1])))
+
+
+def _recent_spread(shares: np.ndarray, held: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number, mean and standard deviation of the up to `size` values before each one from `held` on."""
+    count = np.minimum(np.arange(held, len(shares)), size)
+    views = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.zeros(size), shares)), size)[held : len(shares)]
+    inside = np.arange(size) >= size - count[:, None]
+    mean = (views * inside).sum(axis=1) / np.maximum(count, 1)
+    return count, mean, np.sqrt((((views - mean[:, None]) * inside) ** 2).sum(axis=1) / np.maximum(count, 1))
+
+
+def _recent_cosine(spectra: np.ndarray, lengths: np.ndarray, held: int, size: int) -> np.ndarray:
+    """Cosine of each spectrum from `held` on with the mean of those of its length among the up to `size` before it, by running sums."""
+    out, end = np.ones(len(lengths) - held), np.arange(held, len(lengths))
+    for length in np.unique(lengths[held:]):
+        same, at = lengths == length, end[lengths[held:] == length]
+        start = np.maximum(at - size, 0)
+        total = np.cumsum(np.vstack((np.zeros(length), np.where(same[:, None], spectra[:, :length], 0.0))), axis=0)
+        number = np.concatenate(([0], np.cumsum(same)))
+        mean = (total[at] - total[start]) / np.maximum(number[at] - number[start], 1)[:, None]
+        mine = spectra[at, :length]
+        a, b = np.linalg.norm(mine, axis=1), np.linalg.norm(mean, axis=1)
+        there = np.minimum(a, b) > 1e-12
+        out[at[there] - held] = (mine * mean).sum(axis=1)[there] / (a * b)[there]
+    return out
+
+
+def _off_limits(share, z, shape, cfg: SpectralConfig) -> tuple:
+    """The three checks, on arrays and on columns alike."""
+    return share > cfg.hf_ratio, (z > cfg.z_warning) | (z < -cfg.z_warning), shape < cfg.cosine
 
 
 def _found(rows: pd.DataFrame, keep: list[str], hits: list[tuple[int, str, float, int, str]]) -> pd.DataFrame:
@@ -276,27 +285,52 @@ def _found(rows: pd.DataFrame, keep: list[str], hits: list[tuple[int, str, float
 def spectral_monitor(
     features: DataFrame, keys: list[str], order_by: list[str], chunk: Column, cfg: SpectralConfig = SpectralConfig()
 ) -> DataFrame:
-    """High-frequency share, its z-score and spectrum shape against recent clean rows."""
-    keep = [*keys, *order_by]
+    """High-frequency share, its z-score and spectrum shape against recent clean rows.
+
+    Rows are scored in runs as if all of a run were clean; a run is used up to its first row that isn't, and the next
+    one starts behind it. The baseline holds the latest clean rows as arrays. A row with a missing or non-finite share
+    or spectrum gets no finding and doesn't join it; a spectrum without one of its length there has cosine 1.
+    """
+    keep, size = [*keys, *order_by], cfg.baseline_window
 
     def step(rows: pd.DataFrame, state: bytes) -> tuple[pd.DataFrame, bytes]:
-        clean, hits = CleanSpectra(cfg.baseline_window, state), []
-        for at, (share, raw) in enumerate(zip(rows["hf_ratio"].to_numpy(float), rows["psd"], strict=True)):
-            spectrum, n = np.asarray(raw, float), len(clean.rows)
-            z, shape = clean.z_score(share), clean.cosine(spectrum)
-            checks = (
-                ("high_freq_ratio", share, share > cfg.hf_ratio, False),
-                ("high_freq_z_score", z, abs(z) > Z_LIMITS[0], abs(z) > Z_LIMITS[1]),
-                ("psd_cosine_similarity", shape, shape < COSINE_LIMIT, False),
-            )
-            mine = [(at, name, float(v), n, "critical" if grave else "warning") for name, v, bad, grave in checks if bad]
-            hits += mine
-            if not mine:
-                clean.rows.append((float(share), spectrum.tobytes()))
-        return _found(rows, keep, hits), clean.save()
+        raw = [np.asarray(p if p is not None else (), float) for p in rows["psd"]]
+        share, length = rows["hf_ratio"].to_numpy(float), np.array([len(p) for p in raw], np.int64)
+        sound = np.isfinite(share) & np.array([len(p) > 0 and bool(np.isfinite(p).all()) for p in raw])
+        old = [np.frombuffer(x, t) for x, t in zip(pickle.loads(state), (float, np.int64, float))] if state else [np.zeros(0), np.zeros(0, np.int64), np.zeros(0)]
+        shares, lengths = old[0], old[1]
+        width = max(lengths.max(initial=0), length.max(initial=0))
+        spectra = _widened(old[2].reshape(len(shares), lengths.max(initial=0)), width)
+        z, shape, count = np.full(len(rows), np.nan), np.full(len(rows), np.nan), np.zeros(len(rows), np.int32)
+        at, run = 0, RUN[0]
+        while at < len(rows):
+            here, held = slice(at, min(at + run, len(rows))), len(shares)
+            block = np.stack([_widened(p[None], width)[0] for p in raw[here]])
+            s, n, x = np.concatenate((shares, share[here])), np.concatenate((lengths, length[here])), np.concatenate((spectra, block))
+            number, mean, spread = _recent_spread(s, held, size)
+            ready = (number > 0) & (number >= size // 2)
+            far = np.where(ready & (spread > 1e-12), (share[here] - mean) / np.maximum(spread, 1e-12), 0.0)
+            alike = np.where(ready, _recent_cosine(x, n, held, size), 1.0)
+            bad = np.logical_or.reduce(_off_limits(share[here], far, alike, cfg)) | ~sound[here]
+            clean = int(bad.argmax()) if bad.any() else len(bad)
+            used = min(clean + 1, len(bad))
+            z[at : at + used], shape[at : at + used], count[at : at + used] = far[:used], alike[:used], number[:used]
+            latest = slice(max(0, held + clean - size), held + clean)
+            shares, lengths, spectra = s[latest], n[latest], x[latest]
+            at, run = at + used, RUN[0] if bad.any() else min(2 * run, RUN[1])
+        scored = rows[keep].assign(share=np.where(sound, share, np.nan), z=np.where(sound, z, np.nan), shape=np.where(sound, shape, np.nan), baseline_n=count)
+        return scored, pickle.dumps((shares.tobytes(), lengths.tobytes(), spectra[:, : lengths.max(initial=0)].tobytes()), protocol=5)
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.select(*keep).schema.fields)
-    return state_scan(features.select(*keep, "hf_ratio", "psd"), keys, order_by, chunk, step, f"{ddl}, {FOUND}")
+    scored = state_scan(features.select(*keep, "hf_ratio", "psd"), keys, order_by, chunk, step, f"{ddl}, share double, z double, shape double, baseline_n int")
+    share, z, shape = (F.nanvl(c, F.lit(None).cast("double")) for c in ("share", "z", "shape"))
+    grave = F.abs(z) > cfg.z_critical
+    findings = [
+        F.when(bad, F.struct(F.lit(name).alias("stat_name"), value.alias("observed"), F.col("baseline_n"), F.when(worse, "critical").otherwise("warning").alias("severity")))
+        for (name, value, worse), bad in zip(
+            (("high_freq_ratio", share, F.lit(False)), ("high_freq_z_score", z, grave), ("psd_cosine_similarity", shape, F.lit(False))), _off_limits(share, z, shape, cfg))
+    ]
+    return scored.select(*keep, F.inline(F.array_compact(F.array(*findings))))
 
 
 class CleanValues:

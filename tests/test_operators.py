@@ -188,6 +188,34 @@ def test_spectral_monitor_does_not_depend_on_chunks(spark):
     assert runs[0] == runs[1]
 
 
+def test_spectral_monitor_equals_row_by_row(spark):
+    """Against the plain definition, one row after the other; a non-finite row is passed over."""
+    rows = I.spectral_features(captures(spark, 150, bad={50, 51, 90})).orderBy("pos").toPandas()
+    rows.at[70, "hf_ratio"] = float("nan")
+    cfg, clean, want = SpectralConfig(baseline_window=20, hf_ratio=0.35, z_warning=2.0, z_critical=2.5), [], []
+    for r in rows.itertuples():
+        if not np.isfinite(r.hf_ratio):
+            continue
+        base, mine, p = clean[-20:], [], np.array(r.psd)
+        if r.hf_ratio > 0.35:
+            mine.append((r.pos, "high_freq_ratio", r.hf_ratio, len(base), "warning"))
+        if len(base) >= 10:
+            h, mean = np.array([x for x, _ in base]), np.mean([x for _, x in base], axis=0)
+            z, cosine = (r.hf_ratio - h.mean()) / h.std(), p @ mean / np.linalg.norm(p) / np.linalg.norm(mean)
+            if abs(z) > 2.0:
+                mine.append((r.pos, "high_freq_z_score", z, len(base), "critical" if abs(z) > 2.5 else "warning"))
+            if cosine < 0.8:
+                mine.append((r.pos, "psd_cosine_similarity", cosine, len(base), "warning"))
+        want += mine
+        if not mine:
+            clean.append((r.hf_ratio, p))
+    f = spark.createDataFrame(rows[["model", "pos", "hf_ratio", "psd"]], "model string, pos long, hf_ratio double, psd array<double>")
+    got = I.spectral_monitor(f, ["model"], ["pos"], time_chunk("pos", 40), cfg).collect()
+    key = lambda x: (x[0], x[1], round(x[2], 8), x[3], x[4])
+    assert sorted(key((x.pos, x.stat_name, x.observed, x.baseline_n, x.severity)) for x in got) == sorted(map(key, want))
+    assert {x.stat_name for x in got} == {"high_freq_ratio", "high_freq_z_score", "psd_cosine_similarity"}
+
+
 def test_count_min_never_undercounts(spark):
     rng = random.Random(2)
     d = spark.createDataFrame([(rng.randrange(300),) for _ in range(2000)], "item int")
