@@ -421,7 +421,7 @@ def band_keys(fingerprint: Column, radius: int) -> Column:
 def similar_fingerprints(prints: DataFrame, id_col: str, radius: int = 3) -> tuple[DataFrame, DataFrame]:
     """Near-equal fingerprints: members (id, representative, copies) and links between representatives.
 
-    Equal fingerprints are one representative, the smallest id, ; links (a < b) are all pairs of
+    Equal fingerprints are one representative, the smallest id; links (a < b) are all pairs of
     representatives at most `radius` bits apart, from an equi join on band keys verified by the bits that differ. Copies
     are never expanded into pairs. `radius` is at most 6, so that no part is empty. NULL fingerprints and those of another length are in neither.
     """
