@@ -124,36 +124,33 @@ def transitive_trust(spark, d):
     return rounded(TR.transitive_trust(pairs, sparse_edges(spark, d), cfg), "trust")
 
 
-_AVAIL = """avail AS (SELECT DISTINCT 'C-' || c_custkey AS gpu_uuid FROM customer),
-targets AS (SELECT gpu_uuid FROM (SELECT 'C-' || c_custkey AS gpu_uuid, c_acctbal FROM customer) ORDER BY c_acctbal, gpu_uuid LIMIT 5)"""
-
-
-@query(with_(_SPARSE, _AVAIL, """scored AS (SELECT t.gpu_uuid, a.gpu_uuid AS a, b.gpu_uuid AS b,
-    round(0.4::DOUBLE * coalesce(m.trust, 0.5) + 0.2::DOUBLE * (coalesce(ta.trust, 0.5) + coalesce(tb.trust, 0.5))
-      + 0.1::DOUBLE * (coalesce(1.0 / (1 + ta.n), 2.0) + coalesce(1.0 / (1 + tb.n), 2.0)), 9) AS score
-  FROM targets t JOIN avail a ON a.gpu_uuid <> t.gpu_uuid JOIN avail b ON b.gpu_uuid <> t.gpu_uuid AND a.gpu_uuid < b.gpu_uuid
-  LEFT JOIN ways m ON m.src = a.gpu_uuid AND m.dst = b.gpu_uuid
-  LEFT JOIN ways ta ON ta.src = t.gpu_uuid AND ta.dst = a.gpu_uuid LEFT JOIN ways tb ON tb.src = t.gpu_uuid AND tb.dst = b.gpu_uuid)""")
-       + "SELECT gpu_uuid, a AS partner_a, b AS partner_b, score FROM scored QUALIFY row_number() OVER (PARTITION BY gpu_uuid ORDER BY score DESC, a, b) = 1")
+# Pairs of compared devices, and for targets whose best one has at most .8, all pairs: never compared ones have no more.
+_PARTNERS = """, near AS (SELECT t.gpu_uuid, y.dst AS gpu, 0.2::DOUBLE * y.trust + 0.1::DOUBLE / (1 + y.n) AS f FROM avail t JOIN ways y ON y.src = t.gpu_uuid),
+tested AS (SELECT t.gpu_uuid, m.src AS a, m.dst AS b, round(0.4::DOUBLE * m.trust + coalesce(fa.f, 0.3::DOUBLE) + coalesce(fb.f, 0.3::DOUBLE), 9) AS score
+  FROM avail t CROSS JOIN (SELECT y.* FROM ways y JOIN avail i ON i.gpu_uuid = y.src JOIN avail j ON j.gpu_uuid = y.dst WHERE y.src < y.dst) m
+  LEFT JOIN near fa ON fa.gpu_uuid = t.gpu_uuid AND fa.gpu = m.src LEFT JOIN near fb ON fb.gpu_uuid = t.gpu_uuid AND fb.gpu = m.dst
+  WHERE m.src <> t.gpu_uuid AND m.dst <> t.gpu_uuid),
+rest AS (SELECT gpu_uuid FROM avail EXCEPT SELECT gpu_uuid FROM tested WHERE score > 0.8),
+fresh AS (SELECT t.gpu_uuid, a.gpu_uuid AS a, b.gpu_uuid AS b, round(0.2::DOUBLE + coalesce(fa.f, 0.3::DOUBLE) + coalesce(fb.f, 0.3::DOUBLE), 9) AS score
+  FROM rest t JOIN avail a ON a.gpu_uuid <> t.gpu_uuid JOIN avail b ON b.gpu_uuid <> t.gpu_uuid AND a.gpu_uuid < b.gpu_uuid
+  LEFT JOIN near fa ON fa.gpu_uuid = t.gpu_uuid AND fa.gpu = a.gpu_uuid LEFT JOIN near fb ON fb.gpu_uuid = t.gpu_uuid AND fb.gpu = b.gpu_uuid
+  WHERE NOT EXISTS (SELECT 1 FROM ways y WHERE y.src = a.gpu_uuid AND y.dst = b.gpu_uuid))
+SELECT gpu_uuid, a AS partner_a, b AS partner_b, score FROM (SELECT * FROM tested UNION ALL SELECT * FROM fresh)
+QUALIFY row_number() OVER (PARTITION BY gpu_uuid ORDER BY score DESC, a, b) = 1"""
+
+
+@query(with_(_SPARSE, "avail AS (SELECT DISTINCT 'C-' || c_custkey AS gpu_uuid FROM customer)") + _PARTNERS)
 def select_tmr_partners(spark, d):
-    c = A.table(spark, d, "customer").select(F.concat(F.lit("C-"), F.col("c_custkey").cast("string")).alias("gpu_uuid"), "c_acctbal")
-    targets = c.orderBy("c_acctbal", "gpu_uuid").limit(5)
-    return TR.select_tmr_partners(targets, c, sparse_edges(spark, d))
+    c = A.table(spark, d, "customer").select(F.concat(F.lit("C-"), F.col("c_custkey").cast("string")).alias("gpu_uuid"))
+    return TR.select_tmr_partners(c, c, sparse_edges(spark, d))
 
 
 @query(with_(EDGES, """avail AS (SELECT gpu_a AS gpu_uuid FROM edges UNION SELECT gpu_b FROM edges),
-ways AS (SELECT gpu_a AS src, gpu_b AS dst, comparisons AS n, trust FROM edges UNION ALL SELECT gpu_b, gpu_a, comparisons, trust FROM edges),
-scored AS (SELECT t.gpu_uuid, a.gpu_uuid AS a, b.gpu_uuid AS b,
-    round(0.4::DOUBLE * coalesce(m.trust, 0.5) + 0.2::DOUBLE * (coalesce(ta.trust, 0.5) + coalesce(tb.trust, 0.5))
-      + 0.1::DOUBLE * (coalesce(1.0 / (1 + ta.n), 2.0) + coalesce(1.0 / (1 + tb.n), 2.0)), 9) AS score
-  FROM (SELECT gpu_uuid FROM avail ORDER BY gpu_uuid LIMIT 5) t JOIN avail a ON a.gpu_uuid <> t.gpu_uuid JOIN avail b ON b.gpu_uuid <> t.gpu_uuid AND a.gpu_uuid < b.gpu_uuid
-  LEFT JOIN ways m ON m.src = a.gpu_uuid AND m.dst = b.gpu_uuid
-  LEFT JOIN ways ta ON ta.src = t.gpu_uuid AND ta.dst = a.gpu_uuid LEFT JOIN ways tb ON tb.src = t.gpu_uuid AND tb.dst = b.gpu_uuid)""")
-       + "SELECT gpu_uuid, a AS partner_a, b AS partner_b, score FROM scored QUALIFY row_number() OVER (PARTITION BY gpu_uuid ORDER BY score DESC, a, b) = 1")
+ways AS (SELECT gpu_a AS src, gpu_b AS dst, comparisons AS n, trust FROM edges UNION ALL SELECT gpu_b, gpu_a, comparisons, trust FROM edges)""") + _PARTNERS)
 def select_tmr_partners_dense(spark, d):
     e = edges(spark, d)
     nodes = TR.endpoints(e)
-    return TR.select_tmr_partners(nodes.orderBy("gpu_uuid").limit(5), nodes, e)
+    return TR.select_tmr_partners(nodes, nodes, e)
 
 
 @query()

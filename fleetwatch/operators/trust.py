@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetwatch.config import TrustConfig
+from fleetwatch.plans.chunked import positions
+from fleetwatch.plans.cut import cut
 
 
 def _pair(a: str = "gpu_a", b: str = "gpu_b") -> list[Column]:
@@ -144,91 +148,232 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(ends), "trust", "comparisons")
 
 
+def _reach(ends: DataFrame, steps: DataFrame, hops: int) -> DataFrame:
+    """(end, node, product): the best product of trusts over at most `hops` steps from each end."""
+    best = ends.select("end", F.col("end").alias("node"), F.lit(1.0).alias("product"))
+    for _ in range(hops):
+        step = best.join(steps, best.node == steps.via).select(
+            "end", F.col("next").alias("node"), (F.col("product") * F.col("trust")).alias("product")
+        )
+        best = step.groupBy("end", "node").agg(F.max("product").alias("product"))
+    return best
+
+
 def transitive_trust(pairs: DataFrame, edges: DataFrame, cfg: TrustConfig = TrustConfig()) -> DataFrame:
     """Best product of trusts over paths of at most `max_hops` well-tested edges.
 
-    `pairs` are (src, dst). A direct edge wins at once. Only the sources asked for are
-    expanded; each hop keeps the best product per (src, node), found by a partially
-    aggregated max, so the frontier is at most sources x devices.
+    `pairs` are (src, dst). A direct edge wins at once. Sources go half of the hops, destinations
+    the other half, and a pair's frontiers meet at their common nodes; with two hops a frontier
+    is no more than its device's edges. Each pair walks its smaller frontier and looks the
+    nodes up in the other, so pairs that share a well-connected device don't walk its frontier each.
     """
     all_edges = both_ways(edges)
     direct = all_edges.select("src", "dst", F.col("trust").alias("direct"))
-    asked = pairs.select("src", "dst").distinct().join(direct, ["src", "dst"], "left")
+    asked = cut(pairs.select("src", "dst").distinct().join(direct, ["src", "dst"], "left"))
     usable = all_edges.filter(F.col("comparisons") >= cfg.min_comparisons).select(
         F.col("src").alias("via"), F.col("dst").alias("next"), "trust"
     )
     # A node's step to itself keeps shorter paths, so each hop reads the frontier once.
-    usable = usable.unionByName(
+    usable = cut(usable.unionByName(
         endpoints(edges).select(F.col("gpu_uuid").alias("via"), F.col("gpu_uuid").alias("next"), F.lit(1.0).alias("trust"))
-    )
+    ))
     open_pairs = asked.filter("direct is null").select("src", "dst")
-    best = open_pairs.select("src").distinct().select("src", F.col("src").alias("node"), F.lit(1.0).alias("product"))
-    for _ in range(cfg.max_hops - 1):
-        step = best.join(usable, best.node == usable.via).select(
-            "src", F.col("next").alias("node"), (F.col("product") * F.col("trust")).alias("product")
+    out = cut(_reach(open_pairs.select(F.col("src").alias("end")).distinct(), usable, cfg.max_hops // 2))
+    back = cut(_reach(open_pairs.select(F.col("dst").alias("end")).distinct(), usable, cfg.max_hops - cfg.max_hops // 2))
+    sizes = [f.groupBy("end").agg(F.count(F.lit(1)).alias(n)) for f, n in ((out, "n_out"), (back, "n_back"))]
+    sized = cut(
+        open_pairs.join(sizes[0].withColumnRenamed("end", "src"), "src").join(sizes[1].withColumnRenamed("end", "dst"), "dst")
+    )
+    met = []
+    for small, walked, looked, walk, look in (
+        (F.col("n_out") <= F.col("n_back"), "src", "dst", out, back), (F.col("n_out") > F.col("n_back"), "dst", "src", back, out),
+    ):
+        first = walk.select(F.col("end").alias(walked), "node", F.col("product").alias("_p"))
+        second = look.select(F.col("end").alias(looked), "node", "product")
+        met.append(
+            sized.filter(small).join(first, walked).join(second, [looked, "node"])
+            .groupBy("src", "dst").agg(F.max(F.col("_p") * F.col("product")).alias("product"))
         )
-        best = step.groupBy("src", "node").agg(F.max("product").alias("product"))
-    # The last hop starts at the destinations asked for instead of widening the frontier.
-    into = open_pairs.join(usable, F.col("dst") == F.col("next")).select("src", "dst", F.col("via").alias("node"), "trust")
-    last = best.join(into, ["src", "node"]).groupBy("src", "dst").agg(F.max(F.col("product") * F.col("trust")).alias("product"))
+    last = met[0].unionByName(met[1])
     return asked.join(last, ["src", "dst"], "left").select("src", "dst", F.coalesce("direct", "product", F.lit(0.0)).alias("trust"))
 
 
-def select_tmr_partners(targets: DataFrame, available: DataFrame, edges: DataFrame) -> DataFrame:
-    """Best pair of partners (partner_a < partner_b) per target (gpu_uuid).
+#: A device's part of a pair's score where target and device were never compared; compared ones have at most .25.
+_UNKNOWN = 0.3
+
+
+def _run_length(taken: DataFrame, place: str, first: int = 0) -> DataFrame:
+    """How many places from `first` on are taken without a gap, per target: (target, run). Places are distinct."""
+    w = Window.partitionBy("target").orderBy(place)
+    return (
+        taken.select("target", place, F.row_number().over(w).alias("_n")).groupBy("target")
+        .agg(F.count_if(F.col(place) - first + 1 == F.col("_n")).alias("run"))
+    )
 
-    score = .4 mutual + .2 (trust to a + trust to b) + .1 (bonus a + bonus b), so it is
-    .4 mutual + f(a) + f(b) for a per-target device score f. Pairs that were compared
-    come from one pass over the edges. All other pairs have mutual .5, so a device's
-    best one is its highest-ranked candidate that it has no edge to: the first rank
-    missing from its neighbours' ranks. No pairs of candidates are formed.
 
-    `targets` are one interval's targets, a handful, so the work is
-    targets x (devices + edges).
+def _best(pairs: DataFrame) -> DataFrame:
+    """Each target's pair of highest score, ties to the smallest names."""
+    best = pairs.groupBy("target").agg(F.min(F.struct((-F.col("score")).alias("s"), "gpu_a", "gpu_b")).alias("_b"))
+    return best.select("target", "_b.gpu_a", "_b.gpu_b", (-F.col("_b.s")).alias("score"))
+
+
+def _compared_pairs(t: DataFrame, near: DataFrame, ranked: DataFrame, n_devices: int, width: int) -> DataFrame:
+    """Pairs that were compared and may be a target's best one: (target, gpu_a, gpu_b, score).
+
+    Edges are read in blocks of falling trust. Of a block, the edges that touch a target's neighbours are
+    found by an equality join and scored; the first edge that touches none of them beats all later
+    edges, as no compared device adds more than an unknown one. So a target leaves with its first
+    untouched edge, or when its best pair is above what later edges can reach.
     """
-    t = targets.select(F.col("gpu_uuid").alias("target")).distinct()
-    ways = both_ways(edges)
-    known = ways.select(
-        F.col("src").alias("target"), F.col("dst").alias("gpu"),
-        (F.col("trust") * 0.2 + F.lit(0.1) / (F.col("comparisons") + 1)).alias("_f"),
-    ).join(t, "target")
-    free = available.select(F.col("gpu_uuid").alias("gpu")).distinct()
-    cand = (
-        free.join(F.broadcast(t), F.col("gpu") != F.col("target"))
-        .join(known, ["target", "gpu"], "left")
-        .select("target", "gpu", F.round(F.coalesce("_f", F.lit(0.3)), 12).alias("f"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("f"), "gpu")))
+    total = ranked.count()
+    parts = near.groupBy("target").agg(F.count(F.lit(1)).alias("_n"), F.max("f").alias("_f"))
+    others = F.lit(n_devices) - F.coalesce("_n", F.lit(0))
+    most = F.coalesce("_f", F.lit(0.0))
+    live = cut(t.join(parts, "target", "left").select(
+        "target", F.lit(-1.0).alias("top"),
+        F.when(others >= 2, 2 * _UNKNOWN).when(others == 1, _UNKNOWN + most).otherwise(2 * most).alias("reach"),
+    ))
+    found, low = [], 0
+    while low < total and not live.isEmpty():
+        high = min(low + width, total)
+        block = ranked.filter(F.col("place").between(low, high - 1))
+        least = block.agg(F.min("trust")).first()[0]
+        ends = block.select("place", F.inline(F.array(
+            F.struct(F.col("gpu_a").alias("gpu"), F.lit(True).alias("is_a")),
+            F.struct(F.col("gpu_b").alias("gpu"), F.lit(False).alias("is_a")),
+        )))
+        touched = cut(
+            near.join(live.select("target"), "target", "left_semi").join(ends, "gpu").groupBy("target", "place").agg(
+                F.max(F.when(F.col("is_a"), F.col("f"))).alias("fa"), F.max(F.when(~F.col("is_a"), F.col("f"))).alias("fb"),
+                F.bool_or(F.col("f").isNull()).alias("own"),
+            )
+        )
+        part = [F.coalesce(c, F.lit(_UNKNOWN)) for c in ("fa", "fb")]
+        scored = touched.filter("not own").join(block, "place").select(
+            "target", "gpu_a", "gpu_b", F.round(F.col("trust") * 0.4 + part[0] + part[1], 9).alias("score"), F.lit(False).alias("free")
+        )
+        free = (
+            live.join(_run_length(touched, "place", low), "target", "left")
+            .select("target", (F.coalesce("run", F.lit(0)) + low).alias("place")).join(block, "place")
+            .select("target", "gpu_a", "gpu_b", F.round(F.col("trust") * 0.4 + 2 * _UNKNOWN, 9).alias("score"), F.lit(True).alias("free"))
+        )
+        both = cut(scored.unionByName(free))
+        found.append(_best(both))
+        seen = both.groupBy("target").agg(F.bool_or("free").alias("free"), F.max("score").alias("_top"))
+        live = cut(
+            live.join(seen, "target", "left").select("target", F.greatest("top", "_top").alias("top"), "reach", "free")
+            .filter(~F.coalesce("free", F.lit(False)) & (F.col("top") <= F.col("reach") + least * 0.4 + 1e-9)).drop("free")
+        )
+        low, width = high, width * 8
+    return reduce(DataFrame.unionByName, found) if found else t.limit(0).select(
+        "target", F.lit("").alias("gpu_a"), F.lit("").alias("gpu_b"), F.lit(0.0).alias("score")
     )
-    a = cand.select("target", F.col("gpu").alias("gpu_a"), F.col("f").alias("fa"))
-    b = cand.select("target", F.col("gpu").alias("gpu_b"), F.col("f").alias("fb"))
-    compared = edges.select("gpu_a", "gpu_b", "trust").join(a, "gpu_a").join(b, ["target", "gpu_b"]).select(
-        "target", "gpu_a", "gpu_b", (F.col("trust") * 0.4 + F.col("fa") + F.col("fb")).alias("score")
+
+
+def _unknown_pairs(rest: DataFrame, near: DataFrame, devices: DataFrame, ways: DataFrame, n_devices: int, width: int) -> DataFrame:
+    """Per target the first two devices (by name) that neither it nor each other were compared with.
+
+    The first device is the first gap in the target's neighbours; the second is the first later gap in both
+    devices' neighbours, looked for in ranges that widen. Targets without a second device are left out.
+    """
+    near = near.join(rest, "target", "left_semi").select("target", "seat")
+    todo = cut(
+        rest.join(_run_length(near, "seat"), "target", "left").select("target", F.coalesce("run", F.lit(0)).alias("u"))
+        .filter(F.col("u") < n_devices)
+    )
+    seat = devices.select(F.col("gpu").alias("dst"), "seat")
+    beside = cut(
+        ways.join(devices.select(F.col("gpu").alias("src"), F.col("seat").alias("u")), "src").join(seat, "dst").select("u", "seat")
+    )
+    found, done = [], 0
+    while not todo.isEmpty():
+        place = F.col("seat") - F.col("u") - done - 1
+        taken = near.join(todo, "target").unionByName(todo.join(beside, "u").select("target", "seat", "u"))
+        taken = taken.select("target", place.alias("place")).filter(F.col("place").between(0, width - 1)).distinct()
+        step = cut(
+            todo.join(_run_length(taken, "place"), "target", "left").select("target", "u", F.coalesce("run", F.lit(0)).alias("run"))
+        )
+        v = F.col("u") + F.col("run") + done + 1
+        found.append(step.filter((F.col("run") < width) & (v < n_devices)).select("target", "u", v.alias("v")))
+        todo = cut(step.filter((F.col("run") >= width) & (F.col("u") + done + 1 + width < n_devices)).select("target", "u"))
+        done, width = done + width, width * 8
+    pairs = reduce(DataFrame.unionByName, found) if found else rest.limit(0).select("target", F.lit(0).alias("u"), F.lit(0).alias("v"))
+    return (
+        pairs.join(devices.select(F.col("seat").alias("u"), F.col("gpu").alias("gpu_a")), "u")
+        .join(devices.select(F.col("seat").alias("v"), F.col("gpu").alias("gpu_b")), "v")
+        .select("target", "gpu_a", "gpu_b", F.round(F.lit(0.2 + 2 * _UNKNOWN), 9).alias("score"))
     )
 
+
+def _fresh_pairs(rest: DataFrame, near: DataFrame, devices: DataFrame, ways: DataFrame, n_devices: int) -> DataFrame:
+    """Best pair that was never compared, for targets next to nearly all devices.
+
+    A device's best partner is the first in the target's order of devices that it has no edge to: the first
+    rank missing from its neighbours' ranks. The work is targets x (devices + edges).
+    """
+    known = near.join(rest, "target", "left_semi")
+    w = Window.partitionBy("target").orderBy("seat")
+    ends = known.select("target", "seat").unionByName(rest.select("target", F.lit(n_devices).cast("long").alias("seat")))
+    gaps = ends.select("target", F.coalesce(F.lag("seat").over(w) + 1, F.lit(0).cast("long")).alias("a"), (F.col("seat") - 1).alias("b"))
+    unknown = gaps.filter("a <= b").select("target", F.explode(F.sequence("a", "b")).alias("seat")).join(devices, "seat").select(
+        "target", "gpu", F.lit(_UNKNOWN).alias("f")
+    )
+    cand = cut(
+        unknown.unionByName(known.filter("f is not null").select("target", "gpu", "f"))
+        .withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("f"), "gpu")))
+    )
     ranks = cand.select("target", F.col("gpu").alias("dst"), F.col("rank").alias("taken"))
     taken = (
         ways.join(ranks, "dst").select("target", F.col("src").alias("gpu"), "taken")
         .unionByName(cand.select("target", "gpu", F.col("rank").alias("taken")))
     )
-    w = Window.partitionBy("target", "gpu").orderBy("taken")
     first_free = (
-        taken.withColumn("_n", F.row_number().over(w)).groupBy("target", "gpu")
+        taken.withColumn("_n", F.row_number().over(Window.partitionBy("target", "gpu").orderBy("taken"))).groupBy("target", "gpu")
         .agg((F.count_if(F.col("taken") == F.col("_n")) + 1).alias("rank"))
     )
     other = cand.select("target", F.col("gpu").alias("_o"), F.col("f").alias("_fo"), "rank")
-    fresh = (
+    return (
         first_free.join(cand.drop("rank"), ["target", "gpu"]).join(other, ["target", "rank"])
         .select("target", F.least("gpu", "_o").alias("gpu_a"), F.greatest("gpu", "_o").alias("gpu_b"),
-                (F.lit(0.2) + F.col("f") + F.col("_fo")).alias("score"))
-    )
-    both = compared.unionByName(fresh).withColumn("score", F.round("score", 9))
-    best = both.groupBy("target").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), "gpu_a", "gpu_b")).alias("_b")
+                F.round(F.lit(0.2) + F.col("f") + F.col("_fo"), 9).alias("score"))
     )
-    return best.select(
-        F.col("target").alias("gpu_uuid"), F.col("_b.gpu_a").alias("partner_a"),
-        F.col("_b.gpu_b").alias("partner_b"), (-F.col("_b.s")).alias("score"),
+
+
+def select_tmr_partners(targets: DataFrame, available: DataFrame, edges: DataFrame, width: int = 64) -> DataFrame:
+    """Best pair of partners (partner_a < partner_b) per target (gpu_uuid), for any number of targets.
+
+    score = .4 mutual + .2 (trust to a + trust to b) + .1 (bonus a + bonus b), so it is
+    .4 mutual + f(a) + f(b) for a per-target device score f: .3 for devices never compared with
+    the target, at most .25 for others. Ties go to the smallest names. All targets search one global order of
+    edges (`_compared_pairs`, blocks from `width` on). Only where that gives at most .8, what two
+    unknown devices that were never compared have, are such pairs looked for: first two unknown ones,
+    and for targets without any, all.
+    Targets with fewer than two other devices are left out; null names take no part.
+    """
+    t = cut(targets.select(F.col("gpu_uuid").alias("target")).filter("target is not null").distinct())
+    devices = cut(positions(available.select(F.col("gpu_uuid").alias("gpu")).filter("gpu is not null").distinct(), ["gpu"], "seat"))
+    n_devices = devices.count()
+    names = devices.select("gpu")
+    inside = edges.join(names.withColumnRenamed("gpu", "gpu_a"), "gpu_a").join(names.withColumnRenamed("gpu", "gpu_b"), "gpu_b")
+    order = (-F.round(F.col("trust") * 0.4 + 2 * _UNKNOWN, 9)).alias("_order")
+    ranked = cut(positions(inside.select("gpu_a", "gpu_b", "trust", order), ["_order", "gpu_a", "gpu_b"], "place"))
+    known = both_ways(edges).join(t, F.col("src") == F.col("target")).join(devices, F.col("dst") == F.col("gpu")).select(
+        "target", "gpu", "seat", F.round(F.col("trust") * 0.2 + F.lit(0.1) / (F.col("comparisons") + 1), 12).alias("f")
     )
+    own = t.join(devices, F.col("target") == F.col("gpu")).select("target", "gpu", "seat", F.lit(None).cast("double").alias("f"))
+    near = cut(known.unionByName(own))
+    best = cut(_best(_compared_pairs(t, near, ranked, n_devices, width)))
+
+    rest = cut(t.join(best.filter(F.col("score") > 0.2 + 2 * _UNKNOWN), "target", "left_anti"))
+    if not rest.isEmpty():
+        ways = both_ways(inside)
+        unknown = cut(_unknown_pairs(rest, near, devices, ways, n_devices, width))
+        best = best.unionByName(unknown)
+        crowded = cut(rest.join(unknown, "target", "left_anti"))
+        if not crowded.isEmpty():
+            best = best.unionByName(_fresh_pairs(crowded, near, devices, ways, n_devices))
+        best = _best(best)
+    return best.select(F.col("target").alias("gpu_uuid"), F.col("gpu_a").alias("partner_a"), F.col("gpu_b").alias("partner_b"), "score")
 
 
 def plan_canaries(states: DataFrame, edges: DataFrame, cfg: TrustConfig = TrustConfig(), seed: int = 0) -> DataFrame:
