@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from catalog.core import AUTO, CFG, FRAME, PATT, WIN, W_US, ev, rounded
@@ -11,8 +13,9 @@ from catalog.health import TEL
 from catalog.registry import EV, GPUS, TRAJ, query, r6, with_
 from fleetwatch.operators import alerts as AL
 from fleetwatch.operators import evaluation as EVAL
-from fleetwatch.plans.cut import cut
+from fleetwatch.plans.cut import cut, shared_path
 from fleetwatch.sources import adapters as A
+from fleetwatch.sources import readers as R
 
 _ARMS = []
 
@@ -66,6 +69,34 @@ def alert_rules(spark, d):
     return fired(spark, d).drop("channels")
 
 
+# Rules as a settings document, with nested conditions and channels of other names.
+_DOCUMENT = {
+    "global": {"default_cooldown_seconds": 300},
+    "rules": [
+        {"name": "probe_consecutive_failures", "condition": {"event_type": "probe_result", "result": "FAIL", "consecutive_count": 3},
+         "severity": "HIGH", "channels": ["talk", "pager"], "cooldown_seconds": 60},
+        {"name": "inference_anomaly_high", "condition": {"event_type": "anomaly", "source": "INFERENCE_MONITOR", "min_severity": "HIGH", "max_severity": "HIGH"},
+         "severity": "HIGH", "channels": ["talk"], "cooldown_seconds": 120, "group_by": "gpu_uuid"},
+        {"name": "gpu_condemned", "condition": {"event_type": "quarantine", "action": "CONDEMN"}, "severity": "CRITICAL", "channels": ["email"], "cooldown_seconds": 0},
+        {"name": "high_confidence_correlation", "condition": {"event_type": "correlation", "min_confidence": 0.8}, "severity": "HIGH", "cooldown_seconds": 120},
+        {"name": "gpu_thermal_throttle", "condition": {"event_type": "telemetry", "thermal_throttle": True}, "severity": "WARNING", "cooldown_seconds": 600},
+        {"name": "gpu_ecc_uncorrected", "condition": {"event_type": "telemetry", "ecc_uncorrected_gt": 0}, "severity": "CRITICAL", "cooldown_seconds": 0},
+        {"name": "probe_single_failure", "condition": {"event_type": "probe_result", "result": ["FAIL"], "window_seconds": 600}, "severity": "WARNING"},
+    ],
+}
+_NAMED = ", ".join(f"'{r['name']}'" for r in _DOCUMENT["rules"])
+
+
+@query(ALL + f"""SELECT rule, severity, cooldown_seconds, observation_id, ts_us, gpu_uuid, dedup_key, alert_id,
+  CASE rule WHEN 'probe_consecutive_failures' THEN 'chat,pager' WHEN 'inference_anomaly_high' THEN 'chat' WHEN 'gpu_condemned' THEN 'email' ELSE '' END AS channels
+  FROM alerts WHERE rule IN ({_NAMED})""")
+def rules_from_document(spark, d):
+    path = shared_path(spark, "rules")
+    spark.createDataFrame([(json.dumps(_DOCUMENT),)], "value string").coalesce(1).write.text(path)
+    rules = R.read_rules(spark, path, {"talk": "chat"})
+    return AL.alert_rules(observations(spark, d), rules).drop("hostname").withColumn("channels", F.array_join("channels", ","))
+
+
 # Coarser cooldowns than the rules' own, so that suppression happens in the test tables.
 _SLOW = "slow AS (SELECT *, cooldown_seconds * 1000::BIGINT AS cool FROM alerts)"
 DEDUP = """num AS (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY ts_us, alert_id) AS n FROM slow WHERE cool > 0),
@@ -159,7 +190,7 @@ def mismatch_details(spark, d):
     return m.groupBy("probe_type").agg(F.count("*").alias("details"))
 
 
-INJ = """inj AS (SELECT 'order-' || o_orderkey AS scenario, o_custkey % 50 AS gpu_index, epoch_us(o_orderdate) AS injected_us, CASE WHEN o_orderkey % 2 = 0 THEN 'probe' ELSE 'inference' END AS expected_layer, 8640000.0::DOUBLE AS expected_time_s FROM orders WHERE o_orderpriority = '1-URGENT'),
+INJ = """inj AS (SELECT 'order-' || o_orderkey AS scenario, o_custkey % 50 AS gpu_index, epoch_us(o_orderdate) AS injected_us, CASE WHEN o_orderkey % 2 = 0 THEN 'probe' ELSE 'inference' END AS expected_layer, 8640000.0::DOUBLE AS expected_time_s FROM orders),
 det AS (SELECT l_suppkey % 50 AS gpu_index, epoch_us(l_shipdate) AS ts_us, CASE WHEN l_returnflag = 'R' THEN 'probe' WHEN l_returnflag = 'A' THEN 'inference' ELSE 'training' END AS layer, l_discount AS confidence FROM lineitem WHERE l_suppkey % 50 < 45 OR l_shipdate < TIMESTAMP '1996-01-01'),
 scd AS (SELECT i.*, coalesce(d.n, 0) > 0 AS detected, d.t FROM inj i LEFT JOIN (SELECT i.scenario, count(*) AS n, min(d.ts_us) FILTER (d.layer = i.expected_layer) AS t FROM inj i JOIN det d ON d.gpu_index = i.gpu_index AND d.ts_us >= i.injected_us GROUP BY 1) d USING (scenario)),
 res AS (SELECT scenario, gpu_index, injected_us, expected_layer, expected_time_s, detected, (t - injected_us) / 1e6 AS latency_s, t IS NOT NULL AS layer_match, coalesce((t - injected_us) / 1e6 <= expected_time_s, false) AS within_budget FROM scd)"""
@@ -167,7 +198,7 @@ res AS (SELECT scenario, gpu_index, injected_us, expected_layer, expected_time_s
 
 def scored(spark, d):
     o, li = A.table(spark, d, "orders"), A.table(spark, d, "lineitem")
-    inj = o.filter("o_orderpriority = '1-URGENT'").select(
+    inj = o.select(
         F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("scenario"), (F.col("o_custkey") % 50).alias("gpu_index"),
         A.micros(F.col("o_orderdate")).alias("injected_us"), F.when(F.col("o_orderkey") % 2 == 0, "probe").otherwise("inference").alias("expected_layer"),
         F.lit(8_640_000.0).alias("expected_time_s"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.core import ev, rounded
 from catalog.registry import EV, query, r6, with_
-from fleetwatch.config import GradientConfig, LossConfig
+from fleetwatch.config import GradientConfig, LossConfig, TrainingLimits
 from fleetwatch.operators import training as TN
 from fleetwatch.plans.chunked import time_chunk
 from fleetwatch.sources import adapters as A
@@ -147,6 +147,21 @@ def checkpoint_drift(spark, d):
     return rounded(TN.checkpoint_drift(e, ["run_id"], "step", time_chunk("step", 100), 1.2), "score")
 
 
+@query("""WITH s AS (SELECT label AS run_id, vec_id AS step, list_transform(embedding, lambda x: x::DOUBLE) AS w, (vec_id % 13) / 10 AS rate FROM embeddings),
+m AS (SELECT *, list_max(list_transform(w, lambda x: abs(x))) AS largest, list_contains(list_transform(w, lambda x: vec_id_nan AND x > 0.3), true) AS nan_g,
+    list_max(list_transform(list_zip(w, lag(w) OVER (PARTITION BY run_id ORDER BY step)), lambda z: abs(z[1] - z[2]))) AS moved FROM (SELECT *, step % 11 = 0 AS vec_id_nan FROM s))
+SELECT run_id, step, 'nan_gradient' AS rule, CAST(NULL AS DOUBLE) AS value FROM m WHERE nan_g UNION ALL SELECT run_id, step, 'weight_magnitude', round(largest, 6) FROM m WHERE largest > 0.35
+UNION ALL SELECT run_id, step, 'weight_update', round(moved, 6) FROM m WHERE moved > 0.5 UNION ALL SELECT run_id, step, 'learning_rate', round(rate, 6) FROM m WHERE rate <= 0 OR rate >= 1""")
+def training_invariants(spark, d):
+    v = F.col("embedding").cast("array<double>")
+    steps = A.table(spark, d, "embeddings").select(
+        F.col("label").alias("run_id"), F.col("vec_id").alias("step"), v.alias("weights"), (F.col("vec_id") % 13 / 10).alias("learning_rate"),
+        F.transform(v, lambda x: F.when((F.col("vec_id") % 11 == 0) & (x > 0.3), float("nan")).otherwise(x)).alias("gradients"),
+    )
+    found = TN.training_invariants(steps, ["run_id"], "step", F.floor(F.col("step") / 1000), TrainingLimits(max_weight=0.35, max_update=0.5))
+    return rounded(found, "value")
+
+
 @query()
 def gradient_hashes(spark, d):
     return TN.gradient_hashes(checkpoints(spark, d), ["run_id", "step"], 64)

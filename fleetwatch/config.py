@@ -106,6 +106,13 @@ class LossConfig:
     plateau_tolerance: float = 1e-7
 
 
+@dataclass(frozen=True)
+class TrainingLimits:
+    max_weight: float = 1000.0
+    max_update: float = 10.0
+    max_learning_rate: float = 1.0
+
+
 @dataclass(frozen=True)
 class AuditConfig:
     batch_rows: int = 1000

@@ -437,17 +437,29 @@ def similar_fingerprints(prints: DataFrame, id_col: str, radius: int = 3) -> tup
     return members, near.filter(F.col("hamming") <= radius).select("a", "b", "hamming").distinct()
 
 
-def check_invariants(captures: DataFrame, max_logit: float = 100.0, tolerance: float = 1e-4) -> DataFrame:
-    """Rows that break a numeric rule, one row per (request, rule)."""
+def check_invariants(captures: DataFrame, max_logit: float = 100.0, tolerance: float = 1e-4, probs: str | None = None) -> DataFrame:
+    """Rows that break a numeric rule, one row per (request, rule).
+
+    `probs` names a column of probabilities, where captures carry them: none may be negative, and they instead of the
+    logits' softmax must sum to one. Null or empty probabilities break no rule.
+    """
     x = F.col("logits")
     bad = lambda v: F.isnan(v) | (F.abs(v) == float("inf"))
     broken = F.exists(x, bad)
-    p_sum = V.let(V.softmax(x), lambda p: F.aggregate(p, F.lit(0.0), lambda s, v: s + v))
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda s, v: s + v)
+    if probs is None:
+        off = broken | (F.abs(V.let(V.softmax(x), total) - 1.0) > tolerance)
+        negative = F.lit(False)
+    else:
+        p = F.col(probs).cast("array<double>")
+        off = (F.size(p) > 0) & (F.exists(p, bad) | (F.abs(total(p) - 1.0) > tolerance))
+        negative = F.exists(p, lambda v: v < 0)
     rules = F.array_compact(
         F.array(
             F.when(broken, F.lit("non_finite")),
             F.when(F.exists(x, lambda v: F.abs(v) > max_logit), F.lit("logit_magnitude")),
-            F.when(broken | (F.abs(p_sum - 1.0) > tolerance), F.lit("softmax_sum")),
+            F.when(off, F.lit("softmax_sum")),
+            F.when(negative, F.lit("negative_probability")),
         )
     )
     return captures.select("request_id", F.explode(rules).alias("rule"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwatch.config import GradientConfig, LossConfig
+from fleetwatch.config import GradientConfig, LossConfig, TrainingLimits
 from fleetwatch.functions import vectors as V
 from fleetwatch.functions.hashing import merkle_roots
 from fleetwatch.plans.chunked import running, sliding_sums
@@ -268,6 +268,30 @@ def checkpoint_drift(
     )
 
 
+def training_invariants(steps: DataFrame, keys: list[str], step: str, chunk: Column, limits: TrainingLimits = TrainingLimits()) -> DataFrame:
+    """Rules that a training step breaks: (keys, step, rule, value), `value` being what broke it (null for NaN and infinity).
+
+    `steps` has `weights` and `gradients` (arrays; one row per chunk of a long tensor, the chunk being among the keys) and
+    `learning_rate`. An update is compared with the key's step before; elements that are null, NaN or missing on one side
+    are left to the other rules, and a null array or rate breaks none. Steps of a key are distinct.
+    """
+    w, g, rate = F.col("weights"), F.col("gradients"), F.col("learning_rate").cast("double")
+    infinite = lambda v: F.abs(v) == float("inf")
+    finite = lambda a: F.filter(a, lambda v: ~F.isnan(v) & ~infinite(v))
+    moved = F.array_max(finite(F.zip_with(w, "_before", lambda a, b: F.abs(a.cast("double") - b.cast("double")))))
+    largest = F.array_max(F.transform(finite(w), lambda v: F.abs(v.cast("double"))))
+    none = F.lit(None).cast("double")
+    rule = lambda name, broken, value: F.when(broken, F.struct(F.lit(name).alias("rule"), value.alias("value")))
+    broken = F.array_compact(F.array(
+        rule("nan_weight", F.exists(w, F.isnan), none), rule("infinite_weight", F.exists(w, infinite), none),
+        rule("nan_gradient", F.exists(g, F.isnan), none), rule("weight_magnitude", largest > limits.max_weight, largest),
+        rule("weight_update", moved > limits.max_update, moved),
+        rule("learning_rate", ~((rate > 0) & (rate < limits.max_learning_rate)), rate),
+    ))
+    before = running(steps, keys, [step], chunk, {"_before": ("last", w)}, exclusive=True)
+    return before.select(*keys, step, F.inline(broken))
+
+
 def state_divergence(a: DataFrame, b: DataFrame, keys: list[str], limit: float = 1e-5) -> DataFrame:
     """Largest relative distance over shared parameters of two replays of a state.
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetwatch.functions.labels import ANOMALY_SOURCES, PROBE_RESULTS
+from fleetwatch.operators.alerts import Rule
+from fleetwatch.operators.rules import rules_from
 
 GPU_TYPE = "struct<uuid:string,hostname:string,device_index:int,model:string,driver_version:string,firmware_version:string>"
 PROBE_BATCH = (
@@ -110,6 +116,42 @@ def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_document(spark: SparkSession, path: str, most_bytes: int = 1 << 20) -> dict[str, Any]:
+    """A nested document of settings (YAML; JSON where no YAML library is installed), read by Spark from any store.
+
+    It goes to the driver, so larger ones than `most_bytes` are refused; an empty one is {}.
+    """
+    files = spark.read.format("binaryFile").load(path).filter("length > 0")
+    if files.filter(F.col("length") > most_bytes).limit(1).count():
+        raise ValueError(f"{path} is larger than {most_bytes} bytes")
+    rows = files.select("content").take(2)
+    if len(rows) > 1:
+        raise ValueError(f"{path} is more than one document")
+    text = bytes(rows[0].content).decode() if rows else ""
+    try:
+        import yaml
+    except ModuleNotFoundError:
+        return json.loads(text) if text.strip() else {}
+    return yaml.safe_load(text) or {}
+
+
+def read_rules(spark: SparkSession, path: str, channels: dict[str, str] | None = None) -> tuple[Rule, ...]:
+    """Alert rules of a settings document, as `alert_rules` takes them."""
+    return rules_from(read_document(spark, path), channels)
+
+
+def read_parameters(spark: SparkSession, path: str) -> DataFrame:
+    """A nested settings document as (name, value) rows: names joined by dots, list items numbered from 0, values as JSON text."""
+    def leaves(name: str, value: Any) -> Iterator[tuple[str, str]]:
+        if isinstance(value, (dict, list)) and value:
+            for k, v in value.items() if isinstance(value, dict) else enumerate(value):
+                yield from leaves(f"{name}.{k}" if name else str(k), v)
+        elif name:
+            yield name, value if isinstance(value, str) else json.dumps(value)
+
+    return spark.createDataFrame(list(leaves("", read_document(spark, path))), "name string, value string")
+
+
 def read_events(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Date-partitioned events; date bounds prune folders before any file is opened."""
     e = spark.read.parquet(path)
