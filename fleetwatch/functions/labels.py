@@ -93,16 +93,24 @@ def rfc3339(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
+def _fixed(x: Column, decimals: int) -> Column:
+    """`x` with fixed decimals, rounded as the binary number it is, ties to even, as C's printf does; format_string rounds its
+    shortest decimal form instead, so 1.005 would become 1.01."""
+    x = x.cast("double")
+    pattern = "0." + "0" * decimals if decimals else "0"
+    exact = F.call_function("format_number", x, F.lit(pattern))
+    return F.when(F.abs(x) < float("inf"), exact).when(x.isNotNull(), F.format_string(f"%.{decimals}f", x))
+
+
 def format_percent(x: Column, decimals: int = 2) -> Column:
-    return F.format_string(f"%.{decimals}f%%", x * 100)
+    return F.concat(_fixed(x * 100, decimals), F.lit("%"))
 
 
 def format_quantity(x: Column, decimals: int = 2) -> Column:
-    fmt = f"%.{decimals}f"
     return (
-        F.when(x >= 1e6, F.format_string(fmt + "M", x / 1e6))
-        .when(x >= 1e3, F.format_string(fmt + "K", x / 1e3))
-        .otherwise(F.format_string(fmt, x.cast("double")))
+        F.when(x >= 1e6, F.concat(_fixed(x / 1e6, decimals), F.lit("M")))
+        .when(x >= 1e3, F.concat(_fixed(x / 1e3, decimals), F.lit("K")))
+        .otherwise(_fixed(x, decimals))
     )
 
 

@@ -113,3 +113,14 @@ def test_merkle_rounds_follow_the_largest_key(spark):
     rows = [(0, i, bytearray(hashlib.sha256(str(i).encode()).digest())) for i in range(1025)] + [(1, 0, bytearray(b"x" * 32))]
     got = {r.b: bytes(r.merkle_root) for r in H.merkle_roots(spark.createDataFrame(rows, "b int, pos long, h binary"), ["b"], "pos", "h").collect()}
     assert got == {0: merkle([bytes(r[2]) for r in rows[:-1]]), 1: b"x" * 32}
+
+
+def test_fixed_decimals_round_the_binary_number(spark):
+    values = [0.125, 0.375, 1.005, 2.675, 1706659195.005, 99.985, -0.001, 0.0, -2.5] + [k / 8000 for k in range(200)]
+    d = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in d.select("v", L.format_percent(F.col("v")).alias("p"), L.format_quantity(F.col("v") * 1e6).alias("m")).collect():
+        assert r.p == "%.2f%%" % (r.v * 100)
+        if r.v >= 1:
+            assert r.m == "%.2fM" % (r.v * 1e6 / 1e6)
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "v double")
+    assert [r[0] for r in odd.select(L.format_percent(F.col("v"))).collect()] == ["NaN%", "Infinity%", None]
