@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetwatch.plans.cut import cut
+
 
 def bucket_of(value: Column, splitters: Column, levels: int = 8) -> Column:
     """How many of the sorted `splitters` (fewer than 2 ** levels) are at most `value`, by halving."""
@@ -29,9 +31,10 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, positions:
     partially aggregated before its shuffle: splitters per key from a quantile sketch; row counts in the
     buckets between them, which locate every position; and value counts inside the buckets hit, a
     small share of the rows. The input is never shuffled as a whole or sorted by group.
+    The splitters are written, as a sketch made anew from parts merged in another order gives other buckets.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
-    span = rows.groupBy(*keys).agg(splitters(F.col("_x")).alias("_cuts"), F.count("*").alias("n"))
+    span = cut(rows.groupBy(*keys).agg(splitters(F.col("_x")).alias("_cuts"), F.count("*").alias("n")))  # one row per group
     placed = rows.join(span, list(keys)).withColumn("_b", bucket_of(F.col("_x"), F.col("_cuts"))).drop("_cuts")
     per_bucket = placed.groupBy(*keys, "n", "_b").agg(F.count("*").alias("_bn"))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -171,3 +171,15 @@ def test_tree_of_cooldowns(spark):
                 if last is None or t - last >= cool:
                     last = t
             assert whole.after(start) == last
+
+
+def test_statistics_hold_if_each_sketch_cuts_elsewhere(spark, monkeypatch):
+    """Parts of a quantile sketch merge in any order, so another run of the plan may cut a group's rows elsewhere."""
+    from fleetwatch.plans import ranks
+
+    draw = F.udf(lambda top: sorted({random.SystemRandom().uniform(0, top) for _ in range(200)}), "array<double>").asNondeterministic()
+    monkeypatch.setattr(ranks, "splitters", lambda v: draw(F.max(v)))
+    data = [(f"k{i % 2}", float(i * 37 % 401)) for i in range(401)]
+    got = {r.k: r.m for r in medians(spark.createDataFrame(data, "k string, v double"), ["k"], "v", "m").collect()}
+    want = {k: sorted(v for x, v in data if x == k) for k in ("k0", "k1")}
+    assert got == {k: (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2 for k, v in want.items()}
