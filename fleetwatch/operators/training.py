@@ -24,7 +24,7 @@ def finite(c: Column) -> Column:
 
 def ew_zscore(
     values: DataFrame, keys: list[str], order_by: list[str], chunk: Column, value: str,
-    cfg: GradientConfig = GradientConfig(),
+    cfg: GradientConfig = GradientConfig(), rows_per_chunk: int = 65_536,
 ) -> DataFrame:
     """z of each value against the exponentially weighted mean and variance before it.
 
@@ -33,7 +33,8 @@ def ew_zscore(
     """
     x = values.filter(finite(F.col(value)))
     n = numbered(x, keys, order_by, chunk, "n")
-    m = cut(ewma(n, keys, order_by, chunk, value, cfg.alpha, "ew_mean"))
+    chunk = F.floor((F.col("n") - 1) / rows_per_chunk)  # by rows, so that a short series is one chunk
+    m = ewma(n, keys, order_by, chunk, value, cfg.alpha, "ew_mean")
     d = F.col(value) - F.col("ew_mean_prev")
     m = m.withColumn("_d2", F.when(F.col("n") == 1, 0.0).otherwise((1 - cfg.alpha) * d * d))
     v = ewma(m, keys, order_by, chunk, "_d2", cfg.alpha, "ew_var")

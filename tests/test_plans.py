@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -183,3 +184,21 @@ def test_statistics_hold_if_each_sketch_cuts_elsewhere(spark, monkeypatch):
     got = {r.k: r.m for r in medians(spark.createDataFrame(data, "k string, v double"), ["k"], "v", "m").collect()}
     want = {k: sorted(v for x, v in data if x == k) for k in ("k0", "k1")}
     assert got == {k: (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2 for k, v in want.items()}
+
+
+def test_ewma_of_many_chunks_and_batches(spark):
+    """Chunks of one row, chunks longer than an Arrow batch, and a start that no chunk forgets."""
+    rng = random.Random(9)
+    data = [("a" if i % 40 else "b", i, rng.gauss(1e6, 3)) for i in range(30_000)]
+    d = spark.createDataFrame(data, "k string, i long, x double")
+    want, y = {}, {}
+    for k, i, x in data:
+        before = y.get(k, x)
+        y[k] = x if k not in y else 0.001 * x + 0.999 * y[k]
+        want[i] = (y[k], before)
+    for width in (3, 26_000):
+        started = time.monotonic()
+        got = {r.i: (r.y, r.y_prev) for r in ewma(d, ["k"], ["i"], time_chunk("i", width), "x", 0.001, "y").collect()}
+        assert got.keys() == want.keys()
+        assert all(got[i] == pytest.approx(want[i], rel=1e-12) for i in want)
+        assert time.monotonic() - started < 60  # composing the starts anew for every chunk took longer
