@@ -199,12 +199,13 @@ def fleet_ks(values: DataFrame, key: str = "gpu_uuid", alpha: float = 0.001) ->
     """KS distance of each device's values from the whole fleet's, Bonferroni-corrected.
 
     Ranks come from running counts over value buckets, for the fleet and per device, so
-    neither the fleet nor a device is sorted in one task. Buckets hold about equal numbers of rows.
+    neither the fleet nor a device is sorted in one task. Buckets hold about equal numbers of rows. They and the
+    counts are written once, as five passes read them and a sketch made anew gives other buckets.
     """
     counted = values.groupBy(key, "value").agg(F.count("*").alias("_n"))
-    span = values.agg(splitters(F.col("value")).alias("_cuts"))
+    span = cut(values.agg(splitters(F.col("value")).alias("_cuts")))
     c = counted.crossJoin(span)  # one row
-    c = c.select(key, "value", "_n", bucket_of(F.col("value"), F.col("_cuts")).cast("long").alias("_b"))
+    c = counted = cut(c.select(key, "value", "_n", bucket_of(F.col("value"), F.col("_cuts")).cast("long").alias("_b")))
     fleet = running(c.groupBy("value", "_b").agg(F.sum("_n").alias("_n")), [], ["value"], F.col("_b"), {"_cf": ("sum", F.col("_n"))})
     fleet = fleet.select("value", "_cf", (F.col("_cf") - F.col("_n")).alias("_cf0"))
     own = running(c, [key], ["value"], F.col("_b"), {"_cg": ("sum", F.col("_n"))})

@@ -225,3 +225,20 @@ def test_state_scan_of_a_state_that_never_forgets(spark, monkeypatch):
         total[k] += x
         assert got[k, i] == total[k]
     assert len(written) < 20
+
+
+def test_fleet_ks_counts_once_and_holds_for_any_cuts(spark, monkeypatch, tmp_path):
+    from fleetwatch.operators import inference
+
+    draw = F.udf(lambda top: sorted({random.SystemRandom().uniform(0, top) for _ in range(40)}), "array<double>").asNondeterministic()
+    monkeypatch.setattr(inference, "splitters", lambda v: draw(F.max(v)))
+    data = [(f"g{i % 3}", float(i * 37 % 211)) for i in range(300)]
+    fleet = [v for _, v in data]
+    share = lambda values, x: sum(v <= x for v in values) / len(values)
+    spark.createDataFrame(data, "gpu_uuid string, value double").write.parquet(f"{tmp_path}/values")
+    found = inference.fleet_ks(spark.read.parquet(f"{tmp_path}/values"))
+    assert not any(str(tmp_path / "values") in f for f in found.inputFiles())  # later passes read the written counts
+    got = {r.gpu_uuid: r.ks for r in found.collect()}
+    for g in ("g0", "g1", "g2"):
+        own = [v for k, v in data if k == g]
+        assert got[g] == pytest.approx(max(abs(share(own, x) - share(fleet, x)) for x in fleet))
