@@ -196,3 +196,35 @@ def test_a_commit_can_be_run_again(spark, tmp_path):
     S.seal_rest(spark, root, "key", cfg)
     entries, roots = W.read_committed(spark, root)
     assert entries.count() == p.count() == entries.agg(F.max("entry_id")).first()[0] and AU.verify_linked(entries).count() == 0
+
+
+def test_calls_and_records_grow_with_groups_not_keys(spark, tmp_path):
+    SF.use_rocksdb(spark)
+    second, n = 1_000_000, 40
+    schema = "gpu_uuid string, event_id string, ts_us long, event_type string, sm_id int"
+    out = "event_id string, ts_us bigint, pattern string, confidence double, severity int, sm_id int, contributing bigint"
+    names = [None, *(f"g{k}" for k in range(1, n))]  # a device without a name is one as well
+    halves = [
+        [(g, f"{k}-{i}", (1000 + 10 * i + k) * second, "probe_fail", None if i == 1 else k % 3) for k, g in enumerate(names) for i in range(3)],
+        [(g, f"{k}-x", (1100 + k) * second, "ecc_error", None) for k, g in enumerate(names)] + [("end", "e", 9000 * second, "probe_pass", 0), ("end", "f", None, "probe_pass", 0)],
+    ]
+
+    def run(name, part, records=None, groups=4):
+        path, cp = str(tmp_path / f"i-{name}"), str(tmp_path / f"c-{name}")
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(path)
+        s = ET.run_in_order(S.read_stream(spark, path), "gpu_uuid", ET.Patterns(300 * second), out, "1 hour", records, groups)
+        return S.run_to_table(s, str(tmp_path / f"o-{name}"), cp), cp
+
+    first, cp = run("one", halves[0])
+    assert first.count() == 0  # all wait
+    assert 0 < spark.read.format("statestore").option("stateVarName", "record").load(cp).count() <= 4
+    held = ET.snapshot(spark, cp, "gpu_uuid")
+    assert sorted(r[0] or "" for r in held.select("gpu_uuid").collect()) == sorted(x or "" for x in names)
+    records = spark.createDataFrame(held.collect(), held.schema)
+    (resumed, _), (whole, _) = run("two", halves[1], records, 7), run("both", halves[0] + halves[1])
+    cols = ["gpu_uuid", "event_id", "pattern", "sm_id", "contributing"]
+    assert rows(ET.accepted(resumed), *cols) == rows(ET.accepted(whole), *cols)
+    got = [(r["gpu_uuid"], r["event_id"], r["pattern"], r["sm_id"], r["contributing"]) for r in ET.accepted(whole).collect()]
+    assert [r for r in got if r[1] == "0-x"].count((None, "0-x", "ecc_correlated", None, 4)) == 1
+    assert got.count(("g4", "4-2", "sm_localized", 1, 2)) == 1 and sum(r[2] == "ecc_correlated" for r in got) == n
+    assert rows(ET.late_rows(whole), "event_id", "ts_us") == [("f", None)]  # a row without a time can't be folded
