@@ -228,3 +228,23 @@ def test_calls_and_records_grow_with_groups_not_keys(spark, tmp_path):
     assert [r for r in got if r[1] == "0-x"].count((None, "0-x", "ecc_correlated", None, 4)) == 1
     assert got.count(("g4", "4-2", "sm_localized", 1, 2)) == 1 and sum(r[2] == "ecc_correlated" for r in got) == n
     assert rows(ET.late_rows(whole), "event_id", "ts_us") == [("f", None)]  # a row without a time can't be folded
+
+
+def test_cooldowns_share_records_and_are_forgotten(spark, tmp_path):
+    SF.use_rocksdb(spark)
+    path, out, cp = (str(tmp_path / x) for x in "ioc")
+    second = 1_000_000
+    schema = "dedup_key string, alert_id string, ts_us long, cooldown_seconds int"
+    keys = [None, *(f"k{k}" for k in range(1, 30))]
+    counts = []
+    for part in (
+        [(k, f"{k}-{t}", t * second, 0 if k == "k3" else 100) for k in keys for t in (1000, 1050, 1100)],
+        [(k, f"{k}-{t}", t * second, 100) for k in keys for t in (1150, 1201)],
+        [("far", "far", 90_000 * second, 100)],
+    ):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        got = S.run_to_table(SF.stream_dedup_alerts(S.read_stream(spark, path), 200, "10 minutes", groups=5), out, cp)
+        counts.append(spark.read.format("statestore").option("stateVarName", "last").load(cp).count())
+    want = [(str(k), t) for k in keys for t in ((1000, 1050, 1100, 1201) if k == "k3" else (1000, 1100, 1201))] + [("far", 90_000)]
+    assert sorted((str(r["dedup_key"]), r["ts_us"] // second) for r in got.collect()) == sorted(want)
+    assert max(counts) <= 5 and counts[-1] == 1  # all but the last key are forgotten
