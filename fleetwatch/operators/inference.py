@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 from collections import deque
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -431,11 +432,16 @@ def similar_fingerprints(prints: DataFrame, id_col: str, radius: int = 3) -> tup
     sound = prints.filter(F.octet_length("fingerprint") == 16)
     first = cut(sound.groupBy("fingerprint").agg(F.min(id_col).alias("representative"), F.count("*").alias("copies")))
     members = sound.select(id_col, "fingerprint").join(first, "fingerprint").select(id_col, "representative", "copies")
-    keyed = first.select("representative", "fingerprint", F.explode(band_keys(F.col("fingerprint"), radius)).alias("_key"))
-    a = keyed.select("_key", F.col("representative").alias("a"), F.col("fingerprint").alias("_fa"))
-    b = keyed.select("_key", F.col("representative").alias("b"), F.col("fingerprint").alias("_fb"))
-    near = a.join(b, "_key").filter("a < b").withColumn("hamming", V.hamming128(F.col("_fa"), F.col("_fb")))
-    return members, near.filter(F.col("hamming") <= radius).select("a", "b", "hamming").distinct()
+    keys, links = band_keys(F.col("fingerprint"), radius), []
+    # Keys take far more room than the table they come from, so Spark must not take its size for theirs and broadcast them;
+    # each band is joined by itself, so a task holds one band's keys.
+    for band in range(radius + 1):
+        keyed = first.select("representative", "fingerprint", F.explode(F.slice(keys, band * (radius + 1) + 1, radius + 1)).alias("_key"))
+        a = keyed.select("_key", F.col("representative").alias("a"), F.col("fingerprint").alias("_fa"))
+        b = keyed.select("_key", F.col("representative").alias("b"), F.col("fingerprint").alias("_fb"))
+        near = a.hint("merge").join(b, "_key").filter("a < b").withColumn("hamming", V.hamming128(F.col("_fa"), F.col("_fb")))
+        links.append(near.filter(F.col("hamming") <= radius).select("a", "b", "hamming"))
+    return members, reduce(DataFrame.unionByName, links).distinct()
 
 
 def check_invariants(captures: DataFrame, max_logit: float = 100.0, tolerance: float = 1e-4, probs: str | None = None) -> DataFrame:

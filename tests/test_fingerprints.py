@@ -28,3 +28,9 @@ def test_links_equal_brute_force(spark, radius):
     want = {(i, j, (a ^ b).bit_count()) for a, i in first.items() for b, j in first.items() if i < j and (a ^ b).bit_count() <= radius}
     assert {tuple(r) for r in links.collect()} == want and links.count() == len(want)
     assert radius == 0 or len(want) > 20
+
+
+def test_keys_are_never_broadcast(spark):
+    prints = spark.createDataFrame([(k, bytes([k] * 16)) for k in range(50)], "request_id long, fingerprint binary")
+    plan = I.similar_fingerprints(prints, "request_id", 3)[1]._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 4
