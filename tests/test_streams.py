@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +249,32 @@ def test_cooldowns_share_records_and_are_forgotten(spark, tmp_path):
     want = [(str(k), t) for k in keys for t in ((1000, 1050, 1100, 1201) if k == "k3" else (1000, 1100, 1201))] + [("far", 90_000)]
     assert sorted((str(r["dedup_key"]), r["ts_us"] // second) for r in got.collect()) == sorted(want)
     assert max(counts) <= 5 and counts[-1] == 1  # all but the last key are forgotten
+
+
+def test_held_rows_are_folded_in_pieces():
+    class Held:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = lambda self, value: setattr(self, "value", value)
+        clear = lambda self: setattr(self, "value", None)
+
+    class Handle:
+        getValueState = lambda self, name, schema: Held()
+        registerTimer = deleteTimer = lambda self, at: None
+
+    class Clock:
+        def __init__(self, now):
+            self.getCurrentWatermarkInMs = lambda: now
+
+    sizes, got = [], {}
+    frame = pd.concat([_series(500, k).assign(series=f"s{k}") for k in range(3)]).sample(frac=1, random_state=1)
+    for piece in (ET.InOrder.piece, 70):
+        p = ET.Losses(LossConfig(sigma=2.0))
+        p.piece, p.row_schema, fold = piece, pa.schema([("series", "string"), ("ts_us", "int64"), ("pos", "int64"), ("value", "double")]), p.fold
+        p.fold = lambda state, rows: sizes.append(len(rows)) or fold(state, rows)  # noqa: B023
+        p.init(Handle())
+        assert list(p.handleInputRows((0,), iter([frame]), Clock(0))) == []
+        got[piece] = pd.concat(p.handleExpiredTimer((0,), Clock(10**9), None)).sort_values(["series", "pos"], ignore_index=True)
+    assert max(sizes[3:]) <= 70 and sum(sizes[3:]) == len(frame) and len(got[70])
+    pd.testing.assert_frame_equal(*got.values(), rtol=1e-9)
