@@ -12,6 +12,7 @@ from fleetwatch.operators import beliefs as B
 from fleetwatch.operators import causal as C
 from fleetwatch.operators import quarantine as Q
 from fleetwatch.operators import trust as TR
+from fleetwatch.plans.cut import cut
 from fleetwatch.sources import adapters as A
 
 EDGES = """edges AS (SELECT gpu_a, gpu_b, agreements, disagreements, last_us, agreements + disagreements AS comparisons,
@@ -148,7 +149,7 @@ def select_tmr_partners(spark, d):
 @query(with_(EDGES, """avail AS (SELECT gpu_a AS gpu_uuid FROM edges UNION SELECT gpu_b FROM edges),
 ways AS (SELECT gpu_a AS src, gpu_b AS dst, comparisons AS n, trust FROM edges UNION ALL SELECT gpu_b, gpu_a, comparisons, trust FROM edges)""") + _PARTNERS)
 def select_tmr_partners_dense(spark, d):
-    e = edges(spark, d)
+    e = cut(edges(spark, d))
     nodes = TR.endpoints(e)
     return TR.select_tmr_partners(nodes, nodes, e)
 

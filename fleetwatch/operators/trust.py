@@ -202,11 +202,11 @@ def transitive_trust(pairs: DataFrame, edges: DataFrame, cfg: TrustConfig = Trus
 _UNKNOWN = 0.3
 
 
-def _run_length(taken: DataFrame, place: str, first: int = 0) -> DataFrame:
+def _run_length(taken: DataFrame, place: str, first: int = 0, by: tuple[str, ...] = ("target",)) -> DataFrame:
     """How many places from `first` on are taken without a gap, per target: (target, run). Places are distinct."""
-    w = Window.partitionBy("target").orderBy(place)
+    w = Window.partitionBy(*by).orderBy(place)
     return (
-        taken.select("target", place, F.row_number().over(w).alias("_n")).groupBy("target")
+        taken.select(*by, place, F.row_number().over(w).alias("_n")).groupBy(*by)
         .agg(F.count_if(F.col(place) - first + 1 == F.col("_n")).alias("run"))
     )
 
@@ -217,24 +217,100 @@ def _best(pairs: DataFrame) -> DataFrame:
     return best.select("target", "_b.gpu_a", "_b.gpu_b", (-F.col("_b.s")).alias("score"))
 
 
+def _owned(ranked: DataFrame) -> DataFrame:
+    """Each edge under its end with more edges: (owner, other, gpu_a, gpu_b, trust, place). Few devices own the edges of stars."""
+    many = ranked.select(F.explode(F.array("gpu_a", "gpu_b")).alias("gpu")).groupBy("gpu").agg(F.count(F.lit(1)).alias("_d"))
+    e = ranked.join(many.select(F.col("gpu").alias("gpu_a"), F.col("_d").alias("_da")), "gpu_a").join(
+        many.select(F.col("gpu").alias("gpu_b"), F.col("_d").alias("_db")), "gpu_b"
+    )
+    first = F.col("_da") >= F.col("_db")
+    return e.select(
+        F.when(first, F.col("gpu_a")).otherwise(F.col("gpu_b")).alias("owner"),
+        F.when(first, F.col("gpu_b")).otherwise(F.col("gpu_a")).alias("other"), "gpu_a", "gpu_b", "trust", "place",
+    )
+
+
+def _owned_pairs(live: DataFrame, near: DataFrame, owned: DataFrame, width: int) -> DataFrame:
+    """As `_compared_pairs` for the `live` targets, with a list of edges of falling trust for each owner.
+
+    A target walks each owner's list to the first device that it wasn't compared with: no later edge of that
+    owner is better. Lists are read in pieces, and one is left when what it can reach is below the target's best.
+    The first pieces take targets x owners steps; later ones are read by targets that know a whole piece.
+    """
+    lists = cut(positions(owned, ["owner", "place"], "spot"))
+    owners = cut(lists.groupBy("owner").agg(F.min("spot").alias("start"), F.count(F.lit(1)).alias("size"), F.max("trust").alias("least")))
+    known = near.select("target", F.col("gpu").alias("owner"), F.col("f").alias("_f"), F.lit(True).alias("_near"))
+    met = F.coalesce("_near", F.lit(False))
+    within = F.col("least") * 0.4 + F.col("f") + F.col("rest") + 1e-9 >= F.col("top")
+    walks = cut(
+        live.crossJoin(owners.select("owner", "size", "least")).join(known, ["target", "owner"], "left")
+        .filter(~met | F.col("_f").isNotNull())  # not the target itself
+        .select(
+            "target", "owner", "size", "least", "top", F.coalesce("_f", F.lit(_UNKNOWN)).alias("f"),
+            F.when(F.col("others") - F.when(met, 0).otherwise(1) >= 1, _UNKNOWN).otherwise(F.coalesce("most", F.lit(0.0))).alias("rest"),
+        ).filter(within)
+    )
+    found, low, key = [], 0, ["target", "owner"]
+    while not walks.isEmpty():
+        high = low + width
+        nth = F.col("spot") - F.col("start")
+        piece = cut(
+            lists.join(owners.join(walks.select("owner").distinct(), "owner", "left_semi").select("owner", "start"), "owner")
+            .filter(nth.between(low, high - 1)).select("owner", nth.alias("nth"), "other", "gpu_a", "gpu_b", "trust")
+        )
+        mine = F.col("owner") == F.col("gpu_a")
+        score = lambda other: F.round(
+            F.col("trust") * 0.4 + F.when(mine, F.col("f")).otherwise(other) + F.when(mine, other).otherwise(F.col("f")), 9
+        )
+        touched = cut(
+            near.select("target", F.col("gpu").alias("other"), F.col("f").alias("_fo"))
+            .join(walks.select("target").distinct(), "target", "left_semi").join(piece, "other")
+            .join(walks.select(*key, "f"), key).select(*key, "nth", "gpu_a", "gpu_b", score(F.col("_fo")).alias("score"))
+        )
+        free = (
+            walks.select(*key, "f").join(_run_length(touched, "nth", low, ("target", "owner")), key, "left")
+            .withColumn("nth", F.coalesce("run", F.lit(0)) + low).join(piece, ["owner", "nth"])
+            .select(*key, "gpu_a", "gpu_b", score(F.lit(_UNKNOWN)).alias("score"), F.lit(True).alias("free"))
+        )
+        seen = cut(
+            touched.filter("score is not null").select(*key, "gpu_a", "gpu_b", "score", F.lit(False).alias("free")).unionByName(free)
+        )
+        found.append(_best(seen))
+        tops = seen.groupBy("target").agg(F.max("score").alias("_top"))
+        least = piece.groupBy("owner").agg(F.min("trust").alias("least"))
+        walks = cut(
+            walks.filter(F.col("size") > high).drop("least").join(seen.filter("free").select(*key), key, "left_anti")
+            .join(least, "owner").join(tops, "target", "left").withColumn("top", F.greatest("top", "_top")).drop("_top").filter(within)
+        )
+        low, width = high, width * 8
+    return reduce(DataFrame.unionByName, found)
+
+
 def _compared_pairs(t: DataFrame, near: DataFrame, ranked: DataFrame, n_devices: int, width: int) -> DataFrame:
     """Pairs that were compared and may be a target's best one: (target, gpu_a, gpu_b, score).
 
     Edges are read in blocks of falling trust. Of a block, the edges that touch a target's neighbours are
     found by an equality join and scored; the first edge that touches none of them beats all later
     edges, as no compared device adds more than an unknown one. So a target leaves with its first
-    untouched edge, or when its best pair is above what later edges can reach.
+    untouched edge, or when its best pair is above what later edges can reach. Where fewer devices than a block has
+    edges own all edges, as in stars, targets still there walk the owners' edges instead of further blocks.
     """
     total = ranked.count()
-    parts = near.groupBy("target").agg(F.count(F.lit(1)).alias("_n"), F.max("f").alias("_f"))
-    others = F.lit(n_devices) - F.coalesce("_n", F.lit(0))
-    most = F.coalesce("_f", F.lit(0.0))
-    live = cut(t.join(parts, "target", "left").select(
-        "target", F.lit(-1.0).alias("top"),
+    parts = near.groupBy("target").agg(F.count(F.lit(1)).alias("_n"), F.max("f").alias("most"))
+    others = F.col("others")
+    most = F.coalesce("most", F.lit(0.0))
+    live = cut(t.join(parts, "target", "left").withColumn("others", F.lit(n_devices) - F.coalesce("_n", F.lit(0))).select(
+        "target", F.lit(-1.0).alias("top"), "others", "most",
         F.when(others >= 2, 2 * _UNKNOWN).when(others == 1, _UNKNOWN + most).otherwise(2 * most).alias("reach"),
     ))
-    found, low = [], 0
+    found, low, n_owners = [], 0, None
     while low < total and not live.isEmpty():
+        if low:
+            if n_owners is None:
+                n_owners = _owned(ranked).select("owner").distinct().count()
+            if n_owners <= width:
+                found.append(_owned_pairs(live, near, _owned(ranked), width))
+                break
         high = min(low + width, total)
         block = ranked.filter(F.col("place").between(low, high - 1))
         least = block.agg(F.min("trust")).first()[0]
@@ -261,7 +337,7 @@ def _compared_pairs(t: DataFrame, near: DataFrame, ranked: DataFrame, n_devices:
         found.append(_best(both))
         seen = both.groupBy("target").agg(F.bool_or("free").alias("free"), F.max("score").alias("_top"))
         live = cut(
-            live.join(seen, "target", "left").select("target", F.greatest("top", "_top").alias("top"), "reach", "free")
+            live.join(seen, "target", "left").select("target", F.greatest("top", "_top").alias("top"), "others", "most", "reach", "free")
             .filter(~F.coalesce("free", F.lit(False)) & (F.col("top") <= F.col("reach") + least * 0.4 + 1e-9)).drop("free")
         )
         low, width = high, width * 8
@@ -345,7 +421,7 @@ def select_tmr_partners(targets: DataFrame, available: DataFrame, edges: DataFra
     score = .4 mutual + .2 (trust to a + trust to b) + .1 (bonus a + bonus b), so it is
     .4 mutual + f(a) + f(b) for a per-target device score f: .3 for devices never compared with
     the target, at most .25 for others. Ties go to the smallest names. All targets search one global order of
-    edges (`_compared_pairs`, blocks from `width` on). Only where that gives at most .8, what two
+    edges (`_compared_pairs`, blocks from `width` on), or the lists of few devices that own all edges (`_owned_pairs`). Only where that gives at most .8, what two
     unknown devices that were never compared have, are such pairs looked for: first two unknown ones,
     and for targets without any, all.
     Targets with fewer than two other devices are left out; null names take no part.

@@ -75,3 +75,19 @@ def test_frontiers_meet_at_the_best_path(spark, hops):
     assert len(got) == len(set(pairs))
     for r in got:
         assert r.trust == pytest.approx(direct.get((r.src, r.dst), best.get((r.src, r.dst), 0.0)))
+
+
+def test_targets_of_stars_read_edges_once_for_each_owner(spark, monkeypatch):
+    """Three hubs know all devices, so no edge is free of a target's neighbours; targets x edges steps were taken."""
+    rng = random.Random(5)
+    hubs, leaves = ["h0", "h1", "h2"], [f"d{i:02}" for i in range(90)]
+    edges = [(min(h, x), max(h, x), rng.choice([0.5, 0.8, 1.0]), rng.randint(1, 6)) for h in hubs for x in leaves]
+    edges += [("h0", "h1", 0.5, 4), ("h0", "h2", 0.5, 4), ("h1", "h2", 0.5, 4)]
+    written = []
+    cut = TR.cut
+    monkeypatch.setattr(TR, "cut", lambda df: written.append(cut(df)) or written[-1])
+    names = spark.createDataFrame([(n,) for n in hubs + leaves], "gpu_uuid string")
+    found = TR.select_tmr_partners(names, names, spark.createDataFrame(edges, EDGE), width=4).collect()
+    assert {r.gpu_uuid: (r.partner_a, r.partner_b) for r in found} == expected_partners(hubs + leaves, hubs + leaves, edges)
+    steps = sum(w.count() for w in written)
+    assert steps < 15 * (len(edges) + len(names.collect())), steps  # targets x edges are 25,000
