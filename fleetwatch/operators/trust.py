@@ -454,11 +454,12 @@ def select_tmr_partners(targets: DataFrame, available: DataFrame, edges: DataFra
 
 def plan_canaries(states: DataFrame, edges: DataFrame, cfg: TrustConfig = TrustConfig(), seed: int = 0) -> DataFrame:
     """Targets of one interval with their partners: suspects first, then healthy devices
-    in a seeded order, up to the configured count. Partners must be healthy."""
+    in a seeded order, up to the configured count. Partners must be healthy. States and edges are read more than once, so they are written first."""
+    states, edges = cut(states.select("gpu_uuid", "state")), cut(edges)
     ranked = states.filter(F.col("state").isin("SUSPECT", "HEALTHY")).orderBy(
         F.desc(F.col("state") == "SUSPECT"), F.xxhash64("gpu_uuid", F.lit(seed)), "gpu_uuid"
     )
-    targets = ranked.select("gpu_uuid", "state").limit(cfg.canaries_per_interval)
+    targets = cut(ranked.select("gpu_uuid", "state").limit(cfg.canaries_per_interval))
     healthy = states.filter("state = 'HEALTHY'").select("gpu_uuid")
     return targets.join(select_tmr_partners(targets, healthy, edges), "gpu_uuid")
 

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetwatch.config import TrustConfig
 from fleetwatch.operators import trust as TR
@@ -91,3 +92,20 @@ def test_targets_of_stars_read_edges_once_for_each_owner(spark, monkeypatch):
     assert {r.gpu_uuid: (r.partner_a, r.partner_b) for r in found} == expected_partners(hubs + leaves, hubs + leaves, edges)
     steps = sum(w.count() for w in written)
     assert steps < 15 * (len(edges) + len(names.collect())), steps  # targets x edges are 25,000
+
+
+def test_canaries_read_states_and_edges_once(spark):
+    """Both may be long plans: targets and partners shouldn't run them again."""
+    names, edges = graph("mixed")
+    seen = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def told(counter):
+        return F.udf(lambda v: counter.add(1) or v, "string")
+
+    rows = [(n, "SUSPECT" if n in ("g01", "g02") else "CONDEMNED" if n == "g05" else "HEALTHY") for n in names]
+    states = spark.createDataFrame(rows, "gpu_uuid string, _s string").select("gpu_uuid", told(seen[0])("_s").alias("state"))
+    known = spark.createDataFrame(edges, EDGE).withColumn("gpu_b", told(seen[1])("gpu_b"))
+    found = TR.plan_canaries(states, known, TrustConfig(canaries_per_interval=2)).collect()
+    healthy = [n for n, s in rows if s == "HEALTHY"]
+    assert {r.gpu_uuid: (r.partner_a, r.partner_b) for r in found} == expected_partners(["g01", "g02"], healthy, edges)
+    assert [c.value for c in seen] == [len(names), len(edges)]
