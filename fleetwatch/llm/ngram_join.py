@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from fleetwatch.llm import cells
 from fleetwatch.llm.components import components
 from fleetwatch.llm.text import blocks, mix, shingle_sets
-from fleetwatch.plans.cut import cut
+from fleetwatch.plans.cut import cut, dropping, shared_path
 
 
-#: So many set ids, of eight bytes each, are sent to all tasks to choose the n-grams that a round needs.
+#: So many set ids or keys of texts are sent to all tasks at most, to choose the n-grams that a round needs and the texts that go.
 SENT = 200_000
 
 
@@ -347,18 +347,22 @@ def keep_one(docs: DataFrame, limits: JoinLimits = JoinLimits()) -> DataFrame:
     Rows without an id stay, whatever they repeat. Rows without words are components of their own. Of rows that
     repeat an id and a text one stays. Two texts with one id are two documents, each judged by its own component.
     """
-    members, roots = classes(docs, limits)
-    rooted = members.where("doc_id IS NOT NULL").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    found = cut(rooted.groupBy("doc_id", "text_key", "n", "root").agg(F.count("*").alias("rows")))
-    row = F.struct("doc_id", "text_key")
-    best = found.where("n > 0").groupBy("root").agg(F.min(row).alias("best"))
-    judged = found.join(best, "root", "left").withColumn("lost", (F.col("n") > 0) & (row != F.col("best")))
-    key = ["doc_id", "text_key"]
+    spark = docs.sparkSession
+    places = {kind: shared_path(spark, kind) for kind in ("lost", "repeated")}
+    with dropping(spark):  # what the join wrote goes here; the keys stay
+        members, roots = classes(docs, limits)
+        rooted = members.where("doc_id IS NOT NULL").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+        found = cut(rooted.groupBy("doc_id", "text_key", "n", "root").agg(F.count("*").alias("rows")))
+        row = F.struct("doc_id", "text_key")
+        best = found.where("n > 0").groupBy("root").agg(F.min(row).alias("best"))
+        judged = cut(found.join(best, "root", "left").withColumn("lost", F.coalesce((F.col("n") > 0) & (row != F.col("best")), F.lit(False))))
+        for kind, which in (("lost", "lost"), ("repeated", "NOT lost AND rows > 1")):
+            judged.where(which).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).write.parquet(places[kind])
+    lost, repeated = (spark.read.schema("_id long, _key long").parquet(path) for path in places.values())
+    gone = lost.union(repeated)
+    if gone.count() <= SENT:  # else the texts are dealt out to meet the keys
+        gone, repeated = F.broadcast(gone), F.broadcast(repeated)
+    key = ["_id", "_key"]
     keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.xxhash64(F.col("text").cast("binary"))})
-
-    def named(rows: DataFrame) -> DataFrame:
-        return rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-
-    lost, repeated = cut(named(judged.where("lost").select(*key))), cut(named(judged.where("NOT lost AND rows > 1").select(*key)))
-    single = keyed.join(lost.union(repeated), ["_id", "_key"], "left_anti")
-    return single.select(*docs.columns).union(keyed.join(repeated, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns))
+    single = keyed.join(gone, key, "left_anti")
+    return single.select(*docs.columns).union(keyed.join(repeated, key, "left_semi").dropDuplicates(key).select(*docs.columns))

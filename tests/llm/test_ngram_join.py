@@ -79,6 +79,27 @@ def test_keep_one_loses_no_text_and_no_row_without_an_id(spark):
     assert sorted(r["k"] for r in ngram_join.keep_one(unrepeated).collect()) == [1, 3, 4, 5, 7, 8]
 
 
+def test_keep_one_leaves_keys_only_and_deals_out_no_text(spark):
+    from pathlib import Path
+
+    from fleetwatch.plans.cut import shared_path
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(words) + f" end{k}") for k in range(6)] + [(k, f"text {k} " * 9) for k in range(6, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = Path(shared_path(spark)).parent
+    before = set(folder.glob("*"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngram_join.keep_one(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(p.name.split("-")[0] for p in set(folder.glob("*")) - before) == ["lost", "repeated"]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(6, 12)]
+
+
 def test_components_across_tasks(spark, monkeypatch):
     from fleetwatch.llm import components as module
 
