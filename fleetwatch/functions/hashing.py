@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -28,8 +29,6 @@ def hex_lower(data: Column) -> Column:
 
 def hmac_sha256(key: bytes, data: Column) -> Column:
     """HMAC composed from SHA-256, so it stays in generated code."""
-    import hashlib
-
     k = hashlib.sha256(key).digest() if len(key) > 64 else key
     k = k.ljust(64, b"\0")
     inner = F.lit(bytes(b ^ 0x36 for b in k))
@@ -55,6 +54,14 @@ def _fold_pairs(leaves: Column) -> Column:
     return F.get(F.aggregate(F.sequence(F.lit(1), F.lit(10)), leaves, pair_up), 0)
 
 
+def fold_pairs(nodes: list[bytes | None]) -> bytes | None:
+    """As `_fold_pairs`, for a list inside a task; a missing node leaves all above it missing."""
+    while len(nodes) > 1:
+        paired = [None if a is None or b is None else hashlib.sha256(a + b).digest() for a, b in zip(nodes[::2], nodes[1::2])]
+        nodes = paired + nodes[2 * len(paired):]
+    return nodes[0]
+
+
 def merkle_roots(df: DataFrame, keys: Sequence[str], position: str, leaf: str, rounds: int | None = None) -> DataFrame:
     """Merkle root per key over leaves in order (`position` counts from 0).
 

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+from functools import partial, reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetwatch.config import AuditConfig
-from fleetwatch.functions.hashing import ZERO_HASH, chain_hash, hex_lower, merkle_roots, sha256
+from fleetwatch.functions.hashing import ZERO_HASH, chain_hash, fold_pairs, hex_lower, merkle_roots, sha256
 from fleetwatch.functions.labels import ENTRY_TYPES, month_key
 from fleetwatch.plans.chunked import asof, positions, running, time_chunk
+from fleetwatch.plans.cut import cut
 from fleetwatch.plans.ranks import with_previous
 
 _FIELDS = ["entry_type", "ts", "ts_us", "gpu_uuid", "sm_id", "data"]
+#: Neighbouring batches that one task seals, one after another.
+_NEAR = 64
 
 
 # --- sealing ---------------------------------------------------------------------
@@ -34,33 +42,48 @@ def number_pending(pending: DataFrame, tie: str, cfg: AuditConfig) -> DataFrame:
     return n.withColumns({"batch_sequence": F.floor(F.col("seq") / cfg.batch_rows), "pos": F.col("seq") % cfg.batch_rows})
 
 
-def seal_batches(numbered: DataFrame, seeds: DataFrame | None = None, first_id: int = 1) -> DataFrame:
+def seal_batches(numbered: DataFrame, seeds: DataFrame | None = None, first_id: int = 1, linked: bool = False) -> DataFrame:
     """Chain the rows inside each batch; batches run in parallel.
 
     `seeds` (batch_sequence, seed) gives the hash each batch starts from; zeros
-    otherwise. A batch has at most `batch_rows` rows, so its rows are folded in one go.
+    otherwise. Neighbouring batches are dealt out together, so a task's rows lie in few months;
+    they pass through it in order. With `linked`, only the first of a task's `_NEAR` neighbours needs a seed:
+    the others start from the payload root of the one before.
     """
-    rows = F.array_sort(F.collect_list(F.struct("pos", "seq", *_FIELDS)))
-    batches = numbered.groupBy("batch_sequence").agg(rows.alias("rows"))
-    if seeds is not None:
-        batches = batches.join(seeds, "batch_sequence", "left")
-    else:
-        batches = batches.withColumn("seed", F.unhex(F.lit(ZERO_HASH)))
-    start = F.array(F.coalesce("seed", F.unhex(F.lit(ZERO_HASH))))
-    hashes = F.aggregate(
-        "rows", start, lambda acc, r: F.concat(acc, F.array(chain_hash(r["data"], F.element_at(acc, -1))))
-    )
-    return batches.select("batch_sequence", "rows", hashes.alias("_h")).select(
-        "batch_sequence", F.posexplode("rows").alias("_i", "_r"), "_h"
-    ).select(
-        (F.col("_r.seq") + first_id).alias("entry_id"), *[F.col(f"_r.{f}").alias(f) for f in _FIELDS],
-        F.get("_h", F.col("_i")).alias("previous_hash"), F.get("_h", F.col("_i") + 1).alias("entry_hash"),
-        "batch_sequence",
-    )
+    seed = numbered.withColumn("seed", F.lit(None).cast("binary")) if seeds is None else numbered.join(seeds, "batch_sequence", "left")
+    rows = seed.select((F.col("seq") + first_id).alias("entry_id"), *_FIELDS, F.col("seed").alias("previous_hash"), "batch_sequence", "pos")
+    in_order = rows.repartition(F.floor(F.col("batch_sequence") / _NEAR)).sortWithinPartitions("batch_sequence", "pos")
+    sealed = rows.withColumn("entry_hash", F.col("previous_hash")).select("entry_id", *_FIELDS, "previous_hash", "entry_hash", "batch_sequence")
+    return in_order.mapInArrow(partial(_chained, linked=linked), sealed.schema)
+
+
+def _chained(parts: Iterator[pa.RecordBatch], linked: bool) -> Iterator[pa.RecordBatch]:
+    """Rows in order of batch and position, with their hashes; `previous_hash` comes as the batch's seed. A missing payload leaves the batch's further hashes missing."""
+    batch, last, leaves = None, None, []
+    for part in parts:
+        before, after = [], []
+        for b, seed, data in zip(*(_listed(part.column(c)) for c in ("batch_sequence", "previous_hash", "data"))):
+            if b != batch:
+                if seed is None and linked and leaves and b % _NEAR:
+                    seed = fold_pairs(leaves)
+                batch, last, leaves = b, bytes(32) if seed is None else seed, []
+            before.append(last)
+            last = None if data is None or last is None else hashlib.sha256(data + last).digest()
+            after.append(last)
+            if linked:
+                leaves.append(None if data is None else hashlib.sha256(data).digest())
+        names = ["entry_id", *_FIELDS, "previous_hash", "entry_hash", "batch_sequence"]
+        made = {"previous_hash": pa.array(before, pa.binary()), "entry_hash": pa.array(after, pa.binary())}
+        yield pa.RecordBatch.from_arrays([made[n] if n in made else part.column(n) for n in names], names)
+
+
+def _listed(column: pa.Array | pa.ChunkedArray) -> list:
+    """Its values; by way of NumPy, which is far faster but has no missing integers."""
+    return column.to_pylist() if column.null_count and pa.types.is_integer(column.type) else column.to_numpy(zero_copy_only=False).tolist()
 
 
 def linked_seeds(numbered: DataFrame) -> DataFrame:
-    """Start hash of each batch: the Merkle root of the batch before's payload hashes.
+    """Start hash of the batch after each: the Merkle root of a batch's payload hashes.
 
     An entry-by-entry chain across batches can only be built one batch after another.
     Seeding from payload roots ties every batch to the one before it just as firmly
@@ -77,10 +100,11 @@ def seal_linked(numbered: DataFrame, seed: bytes | None = None, first_id: int =
 
     Ids and batch numbers go on from `first_id` and `first_batch`.
     """
-    start = numbered.sparkSession.createDataFrame([(0, seed or bytes(32))], "batch_sequence long, seed binary")
+    start = numbered.sparkSession.range(1).select(F.col("id").alias("batch_sequence"), F.lit(seed or bytes(32)).alias("seed"))
     last = numbered.agg(F.max("batch_sequence")).first()[0]
-    seeds = start if not last else linked_seeds(numbered).filter(F.col("batch_sequence") <= last).union(start)
-    return seal_batches(numbered, seeds, first_id).withColumn("batch_sequence", F.col("batch_sequence") + first_batch)
+    ends = numbered.filter((F.col("batch_sequence") % _NEAR == _NEAR - 1) & (F.col("batch_sequence") < F.lit(last)))
+    seeds = start if not last or last < _NEAR else cut(linked_seeds(ends).union(start))
+    return seal_batches(numbered, seeds, first_id, linked=True).withColumn("batch_sequence", F.col("batch_sequence") + first_batch)
 
 
 def payload_root(entries: DataFrame) -> bytes:
@@ -165,18 +189,63 @@ def verify_batches(entries: DataFrame, roots: DataFrame, linked: bool = False) -
     """Each batch: whether its recomputed root differs from the stored one (or either is missing), and its failures inside.
 
     chain_breaks are links inside the batch and, for a `linked` ledger, from the batch before;
-    hash_mismatches are wrong entry hashes.
+    hash_mismatches are wrong entry hashes. A row goes on from the one before it in order of ids, as in `verify_chain`: where ids
+    follow each other that is the batch's own, so the entries are dealt out once, in blocks of 1,024 ids of a batch. Only rows after
+    a gap, which another batch's rows may fill, are looked up in `verify_chain`.
     """
-    again = batch_roots(entries).select("batch_sequence", F.col("merkle_root").alias("_again"))
-    heads = entries.groupBy("batch_sequence").agg(F.min("entry_id").alias("entry_id"))
-    found = verify_linked(entries) if linked else verify_chain(entries).join(heads.select("entry_id", F.lit("chain_break").alias("failure")), ["entry_id", "failure"], "left_anti")
-    counts = found.join(entries.select("entry_id", "batch_sequence"), "entry_id").groupBy("batch_sequence").agg(
-        F.count_if(F.col("failure") == "chain_break").alias("chain_breaks"), F.count_if(F.col("failure") == "hash_mismatch").alias("hash_mismatches"))
-    j = roots.select("batch_sequence", "merkle_root").join(again, "batch_sequence", "full").join(counts, "batch_sequence", "left")
+    blocks = cut(_checked_blocks(entries))
+    ordered = Window.partitionBy("batch_sequence").orderBy("block")
+    edge = blocks.withColumns({"_id": F.lag("last_entry_id").over(ordered), "_hash": F.lag("last_hash").over(ordered)})
+    follows = F.coalesce(F.col("_id") + 1 == F.col("first_entry_id"), F.lit(False))
+    edge = edge.filter("block > 0").select("batch_sequence", "first_entry_id", follows.alias("_follows"), _differs(F.col("first_previous"), F.col("_hash")).alias("_broken"))
+    broken = [edge.filter("_follows AND _broken").groupBy("batch_sequence").agg(F.count("*").alias("_n")), blocks.groupBy("batch_sequence").agg(F.sum("chain_breaks").alias("_n"))]
+    gaps = blocks.select("batch_sequence", F.explode("gaps").alias("entry_id")).unionByName(
+        edge.filter("NOT _follows").select("batch_sequence", F.col("first_entry_id").alias("entry_id")))
+    if not gaps.isEmpty():
+        found = verify_chain(entries).filter("failure = 'chain_break'").select("entry_id")
+        broken.append(gaps.join(found, "entry_id", "left_semi").groupBy("batch_sequence").agg(F.count("*").alias("_n")))
+    if linked:
+        seeds = merkle_roots(blocks, ["batch_sequence"], "block", "payload_root").select((F.col("batch_sequence") + 1).alias("batch_sequence"), F.col("merkle_root").alias("seed"))
+        zero = F.when(F.col("batch_sequence") == 0, F.unhex(F.lit(ZERO_HASH)))
+        heads = blocks.filter("block = 0").join(seeds, "batch_sequence", "left")
+        broken.append(heads.select("batch_sequence", _differs(F.col("first_previous"), F.coalesce("seed", zero)).cast("long").alias("_n")))
+    again = merkle_roots(blocks, ["batch_sequence"], "block", "entry_root").withColumnRenamed("merkle_root", "_again")
+    wrong = blocks.groupBy("batch_sequence").agg(F.sum("hash_mismatches").alias("hash_mismatches"))
+    breaks = reduce(DataFrame.unionByName, broken).groupBy("batch_sequence").agg(F.sum("_n").alias("chain_breaks"))
+    j = roots.select("batch_sequence", "merkle_root").join(again, "batch_sequence", "full").join(breaks, "batch_sequence", "left").join(wrong, "batch_sequence", "left")
     return j.select("batch_sequence", _differs(F.col("merkle_root"), F.col("_again")).alias("root_mismatch"),
                     F.coalesce("chain_breaks", F.lit(0)).alias("chain_breaks"), F.coalesce("hash_mismatches", F.lit(0)).alias("hash_mismatches"))
 
 
+_BLOCK = """batch_sequence long, block long, first_entry_id long, last_entry_id long, first_previous binary, last_hash binary,
+  entry_root binary, payload_root binary, chain_breaks long, hash_mismatches long, gaps array<long>"""
+
+
+def _checked_blocks(entries: DataFrame) -> DataFrame:
+    """One row for each block of 1,024 ids of a batch: its ends, its roots over entry and payload hashes, its failures, and ids that don't follow the row before."""
+    e = entries.select(F.col("batch_sequence").cast("long").alias("batch_sequence"), F.col("entry_id").cast("long").alias("entry_id"), "data", "previous_hash", "entry_hash")
+    starts = cut(e.groupBy("batch_sequence").agg(F.min("entry_id").alias("_first")))
+    block = F.floor((F.col("entry_id") - F.col("_first")) / 1024).cast("long")
+    return e.join(starts, "batch_sequence").withColumn("block", block).drop("_first").groupBy("batch_sequence", "block").applyInArrow(_checked, _BLOCK)
+
+
+def _checked(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("entry_id")
+    ids, data, before, after = (_listed(rows.column(c)) for c in ("entry_id", "data", "previous_hash", "entry_hash"))
+    leaves = [None if d is None else hashlib.sha256(d).digest() for d in data]
+    wrong = sum(h is None or d is None or p is None or hashlib.sha256(d + p).digest() != h for d, p, h in zip(data, before, after))
+    breaks, gaps = 0, []
+    for i in range(1, len(ids)):
+        if ids[i] is None or ids[i] != ids[i - 1] + 1:
+            gaps.append(ids[i])
+        elif before[i] is None or before[i] != after[i - 1]:
+            breaks += 1
+    made = [key[0].as_py(), key[1].as_py(), ids[0], ids[-1], before[0], after[-1], fold_pairs(after), fold_pairs(leaves), breaks, wrong, gaps]
+    types = [pa.int64()] * 4 + [pa.binary()] * 4 + [pa.int64()] * 2 + [pa.list_(pa.int64())]
+    names = [c.split()[0] for c in _BLOCK.split(",")]
+    return pa.Table.from_arrays([pa.array([m], t) for m, t in zip(made, types)], names)
+
+
 def verification_summary(entries: DataFrame, failures: DataFrame) -> DataFrame:
     f = failures.agg(
         F.count_if(F.col("failure") == "chain_break").alias("chain_breaks"),

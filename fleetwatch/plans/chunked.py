@@ -209,13 +209,15 @@ def asof(
 def positions(df: DataFrame, order_by: Sequence[str], name: str) -> DataFrame:
     """Number all rows from 0 in the order of `order_by`, whose values together must be distinct.
 
-    Spark samples splitters and deals the rows out by ranges of about equal size; each range is numbered by
+    Spark samples splitters and deals the rows out by ranges of about equal size; each range is sorted and numbered by
     itself, and the counts of the ranges before it are added. So the work spreads however the values
-    lie, also if all rows have one time. The dealt rows are written, as a range belongs to one run of the sampling.
+    lie, also if all rows have one time. The dealt rows are written with their own numbers, as a range belongs to one
+    run of the sampling; the result reads them once and shuffles nothing, so it needs no further cut.
     """
-    dealt = cut(df.repartitionByRange(*order_by).withColumn("_range", F.spark_partition_id()))
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))  # a row for each range
+    ranges = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    # Increasing ids are consecutive inside a partition.
+    dealt = cut(ranges.withColumns({"_range": F.spark_partition_id(), "_own": F.monotonically_increasing_id()}))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"), F.min("_own").alias("_first"))  # a row for each range
     before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order_by))
-    return dealt.withColumn("_own", own).join(starts, "_range").select(*df.columns, (F.col("_start") + F.col("_own") - 1).cast("long").alias(name))
+    starts = cut(sizes.select("_range", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_start")))
+    return dealt.join(starts, "_range").select(*df.columns, (F.col("_start") + F.col("_own")).cast("long").alias(name))

@@ -46,13 +46,15 @@ def load_state(spark: SparkSession, root: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{root}/v={version}")
 
 
-def write_audit_batch(entries: DataFrame, root: str, batch_id: int) -> None:
+def write_audit_batch(entries: DataFrame, root: str, batch_id: int, in_order: bool = False) -> None:
     """Entries and their batch roots under one batch id; a retry overwrites itself.
-    The roots are written last and mark the batch as complete."""
-    e = entries.withColumn("month", month_key(F.col("ts")))
+    The roots are written last, from the entries as written, and mark the batch as complete.
+    `in_order`: a task's rows lie in few months already, as those of batches sealed by time do."""
+    path, e = f"{root}/entries/commit={batch_id}", entries.withColumn("month", month_key(F.col("ts")))
     # Rebalancing gathers a month's rows into few files and still splits a large month.
-    e.hint("rebalance", F.col("month")).write.mode("overwrite").partitionBy("month").parquet(f"{root}/entries/commit={batch_id}")
-    batch_roots(entries).write.mode("overwrite").parquet(f"{root}/roots/commit={batch_id}")
+    e = e if in_order else e.hint("rebalance", F.col("month"))
+    e.write.mode("overwrite").partitionBy("month").parquet(path)
+    batch_roots(entries.sparkSession.read.schema(entries.schema).parquet(path)).write.mode("overwrite").parquet(f"{root}/roots/commit={batch_id}")
 
 
 def read_committed(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

@@ -107,6 +107,81 @@ def test_single_batch_chain_matches_serial_hashing(spark):
         assert bytes(r.entry_hash) == h
 
 
+def _failures_by_batch(entries, roots, linked):
+    """The batches' failures as `verify_batches` made them before, row by row from `verify_linked` and `verify_chain`."""
+    again = AU.batch_roots(entries).select("batch_sequence", F.col("merkle_root").alias("again"))
+    j = roots.select("batch_sequence", "merkle_root").join(again, "batch_sequence", "full")
+    out = {r["batch_sequence"]: [r["merkle_root"] is None or r["merkle_root"] != r["again"], 0, 0] for r in j.collect()}
+    batch = {r["entry_id"]: r["batch_sequence"] for r in entries.select("entry_id", "batch_sequence").collect()}
+    heads = {min(i for i, b in batch.items() if b == x) for x in set(batch.values())}
+    found = AU.verify_linked(entries) if linked else AU.verify_chain(entries)
+    for r in found.collect():
+        if linked or r["failure"] != "chain_break" or r["entry_id"] not in heads:
+            out[batch[r["entry_id"]]][1 if r["failure"] == "chain_break" else 2] += 1
+    return {b: tuple(v) for b, v in out.items()}
+
+
+def test_batches_are_verified_row_by_row_or_in_blocks_alike(spark):
+    e = chain(spark, 5200, 2500).persist()  # batches of three blocks
+    roots = AU.batch_roots(e).persist()
+    small = chain(spark, 45, 10).persist()
+    where = lambda c, name, value: F.when(F.expr(c), value).otherwise(F.col(name)).alias(name)
+    evil = F.encode(F.lit("evil"), "UTF-8")
+    null = F.lit(None).cast("binary")
+    forms = [
+        (e, roots), (e.filter("entry_id NOT IN (1025, 2600, 4000)"), roots), (e.withColumn("data", where("entry_id IN (3, 2500, 5200)", "data", evil)), roots),
+        (e.withColumn("entry_hash", where("entry_id IN (1024, 2000)", "entry_hash", null)), roots),
+        (e.withColumn("previous_hash", where("entry_id IN (1025, 2501, 4)", "previous_hash", evil)), roots.filter("batch_sequence <> 1")),
+    ]
+    own = AU.batch_roots(small).persist()
+    forms += [
+        (small.withColumn("batch_sequence", where("entry_id IN (7, 8, 33)", "batch_sequence", F.lit(1).cast("long"))), own),  # rows of other batches on both sides
+        (small.filter("batch_sequence <> 2"), own), (small.withColumn("data", where("entry_id = 20", "data", null)), own),
+    ]
+    for k, (entries, stored) in enumerate(forms):
+        linked = k % 4 != 1
+        got = {r[0]: (r[1], r[2], r[3]) for r in AU.verify_batches(entries, stored, linked).select("batch_sequence", "root_mismatch", "chain_breaks", "hash_mismatches").collect()}
+        assert got == _failures_by_batch(entries, stored, linked)
+        assert k or not any(map(any, got.values()))
+
+
+def test_a_repeated_entry_fails_once(spark):
+    e = chain(spark, 20, 10).persist()
+    twice = e.union(e.filter("entry_id = 5"))
+    got = {r["batch_sequence"]: (r["root_mismatch"], r["chain_breaks"]) for r in AU.verify_batches(twice, AU.batch_roots(e), linked=True).collect()}
+    assert got == {0: (True, 1), 1: (False, 1)}
+
+
+@pytest.mark.parametrize("batch", [3, 50])
+def test_a_linked_ledger_equals_serial_hashing(spark, batch):
+    """More batches than one task seals: the first of its neighbours has its seed from a pass ahead."""
+    import hashlib
+
+    def root(nodes):
+        while len(nodes) > 1:
+            nodes = [hashlib.sha256(b"".join(nodes[i:i + 2])).digest() if len(nodes[i:i + 2]) == 2 else nodes[i] for i in range(0, len(nodes), 2)]
+        return nodes[0]
+
+    rows, seed = chain(spark, 401, batch).orderBy("entry_id").collect(), bytes(32)
+    assert [r.entry_id for r in rows] == list(range(1, 402))
+    for k in range(0, 401, batch):
+        h = seed
+        for r in rows[k:k + batch]:
+            assert (r.batch_sequence, bytes(r.previous_hash)) == (k // batch, h)
+            h = hashlib.sha256(bytes(r.data) + h).digest()
+            assert bytes(r.entry_hash) == h
+        seed = root([hashlib.sha256(bytes(r.data)).digest() for r in rows[k:k + batch]])
+
+
+def test_verified_batches_come_from_written_blocks(spark, tmp_path):
+    """Before, the result's plan read all entries again for each root, link and count."""
+    chain(spark, 3000, 100).write.parquet(str(tmp_path / "e"))
+    e = spark.read.parquet(str(tmp_path / "e"))
+    found = AU.verify_batches(e, AU.batch_roots(e).persist(), linked=True)
+    assert not set(e.inputFiles()) & set(found.select("batch_sequence", "chain_breaks", "hash_mismatches").inputFiles())
+    assert found.count() == 30 and found.filter("root_mismatch OR chain_breaks + hash_mismatches > 0").count() == 0
+
+
 def test_genesis(spark):
     g = AU.genesis_entry(spark, 0)
     assert g.select((sha256(F.concat("data", "previous_hash")) == F.col("entry_hash"))).first()[0]
